@@ -160,16 +160,17 @@ def zero_when_disengaged(win: Column, engaged: Column) -> Column:
 
 def pad_tokens(c: Column | str, n: int, all_ones: bool = False) -> Column:
     """Clip or zero-pad a token sequence ``array<array<double>>`` to ``n`` plus its mask."""
-    c = _col(c)
-    kept = F.least(F.size(c), F.lit(n))
-    width = F.size(F.get(c, F.lit(0)))
-    blank = F.array_repeat(F.lit(0.0), width)
-    tokens = F.concat(F.slice(c, 1, n), F.array_repeat(blank, (F.lit(n) - kept).cast("int")))
-    mask = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.lit(1) if all_ones else F.when(i < kept, 1).otherwise(0),
-    )
-    return F.struct(tokens.alias("tokens"), mask.alias("mask"))
+
+    def build(t: Column) -> Column:
+        blank = F.array_repeat(F.lit(0.0), F.size(F.get(t, F.lit(0))))
+        kept = F.least(F.size(t), F.lit(n))
+        fill = (F.lit(n) - kept).cast("int")
+        ones = F.array_repeat(F.lit(1), F.lit(n)) if all_ones else F.concat(
+            F.array_repeat(F.lit(1), kept), F.array_repeat(F.lit(0), fill)
+        )
+        return F.struct(F.concat(F.slice(t, 1, n), F.array_repeat(blank, fill)).alias("tokens"), ones.alias("mask"))
+
+    return let(_col(c), build)
 
 
 def _col(c: Column | str) -> Column:

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinetable.functions.text import norm_text, strip_punctuation, to_ascii
+from kinetable.functions.vectors import let
 
 CENSORED = "****"
 UNSAFE_FRAME_CUTOFF = 0.10
@@ -55,38 +56,51 @@ def exact_block(df: DataFrame, terms: Sequence[str], text: str = "text", out: st
     return normed.withColumn(out, F.when(hit, first)).drop("_norm")
 
 
-def _deletion_budget(lengths: Sequence[int], slack: float) -> tuple[int, int]:
-    """Most characters a candidate / a term can lose while the ratio still passes."""
-    most_c = most_t = 0
-    for n in lengths:
+def _deletion_budgets(words: Sequence[str], slack: float) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """How many characters candidates and terms may lose, by (word count, length).
+
+    A term of length ``n`` and a candidate of length ``m`` pass only if they share a
+    subsequence of at least ``(n - slack) * (m + n) / (2 * n)`` characters. Lengths that
+    are absent from the first table cannot pass at all.
+    """
+    cand: dict[tuple[int, int], int] = {}
+    term: dict[tuple[int, int], int] = {}
+    for w in words:
+        n, k = len(w), len(w.split())
         if slack >= n:
             raise ValueError("slack must be smaller than every term")
-        lo, hi = math.ceil(n * (n - slack) / (n + slack) - 1e-9), math.floor(n * (n + slack) / (n - slack) + 1e-9)
-        for m in range(max(lo, 1), hi + 1):
+        for m in range(1, math.floor(n * (n + slack) / (n - slack) + 1e-9) + 1):
             need = math.ceil((n - slack) * (m + n) / (2 * n) - 1e-9)
             if need <= min(m, n):
-                most_c, most_t = max(most_c, m - need), max(most_t, n - need)
-    return most_c, most_t
+                cand[k, m] = max(cand.get((k, m), 0), m - need)
+                term[k, n] = max(term.get((k, n), 0), n - need)
+    return cand, term
 
 
 def _with_deletions(c: Column, depth: int) -> Column:
     """All strings reachable by deleting up to ``depth`` characters, the string itself included."""
+
+    def shorter(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
+        )
+
     pool = F.array(c)
     for _ in range(depth):
-        shorter = F.flatten(
-            F.transform(
-                pool,
-                lambda s: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-                    lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
-                ),
-            )
-        )
-        pool = F.array_distinct(F.concat(pool, shorter))
+        pool = let(pool, lambda p: F.array_distinct(F.concat(p, F.flatten(F.transform(p, lambda s: shorter(s))))))
     return pool
 
 
-@F.pandas_udf("boolean")
+def _up_to(c: Column, depth: Column, most: int) -> Column:
+    out = None
+    for d in range(most):
+        out = F.when(depth == d, _with_deletions(c, d)) if out is None else out.when(depth == d, _with_deletions(c, d))
+    last = _with_deletions(c, most)
+    return last if out is None else out.otherwise(last)
+
+
+@F.pandas_udf(T.BooleanType())
 def _similar(candidate: pd.Series, term: pd.Series, floor: pd.Series) -> pd.Series:
     def ratio(a: str, b: str) -> float:
         return SequenceMatcher(None, a, b).ratio()
@@ -96,14 +110,16 @@ def _similar(candidate: pd.Series, term: pd.Series, floor: pd.Series) -> pd.Seri
 
 def word_ngrams(norm: Column, counts: Sequence[int]) -> Column:
     """Distinct runs of ``n`` words for every ``n`` in ``counts``."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
 
-    def runs(n: int) -> Column:
+    def runs(words: Column, n: int) -> Column:
+        if n == 1:
+            return words
         last = F.size(words) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(n))))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
 
-    return F.array_distinct(F.concat(*[runs(n) for n in counts]))
+    words = F.filter(F.split(norm, " "), lambda w: w != "")
+    return let(words, lambda ws: F.array_distinct(F.concat(*[runs(ws, n) for n in counts])))
 
 
 def partial_block(
@@ -121,18 +137,23 @@ def partial_block(
     kept = df.select(key, norm_text(text).alias("_norm"))
     if not words:
         return kept.select(key, F.lit(None).cast("string").alias("partial_term")).where("false")
-    drop_c, drop_t = _deletion_budget(sorted({len(w) for w in words}), slack)
+    cand, term = _deletion_budgets(words, slack)
     listed = spark.createDataFrame(
-        [(i, w, len(w.split()), (len(w) - slack) / len(w)) for i, w in enumerate(words)],
-        "term_order int, term string, n_words int, floor double",
+        [(i, w, len(w.split()), (len(w) - slack) / len(w), term[len(w.split()), len(w)]) for i, w in enumerate(words)],
+        "term_order int, term string, n_words int, floor double, depth int",
     )
     grams = kept.select(key, F.explode(word_ngrams(F.col("_norm"), sorted({len(w.split()) for w in words}))).alias("gram"))
-    if drop_c == 0 and drop_t == 0:
+    # Most runs of words have a length no term allows; they never leave this task.
+    budget = F.create_map(*[x for (k, m), d in sorted(cand.items()) for x in (F.lit(f"{k}|{m}"), F.lit(d))])
+    n_words = F.size(F.split("gram", " "))
+    depth = F.try_element_at(budget, F.concat_ws("|", n_words.cast("string"), F.length("gram").cast("string")))
+    grams = grams.withColumn("depth", depth).where(F.col("depth").isNotNull())
+    if not any(cand.values()) and not any(term.values()):
         hits = listed.select(F.col("term").alias("gram"), "term", "term_order")
     else:
-        once = grams.select("gram").distinct().withColumn("n_words", F.size(F.split("gram", " ")))
-        left = once.withColumn("_sig", F.explode(_with_deletions(F.col("gram"), drop_c)))
-        right = listed.withColumn("_sig", F.explode(_with_deletions(F.col("term"), drop_t)))
+        once = grams.select("gram", "depth").distinct().withColumn("n_words", n_words)
+        left = once.withColumn("_sig", F.explode(_up_to(F.col("gram"), F.col("depth"), max(cand.values())))).drop("depth")
+        right = listed.withColumn("_sig", F.explode(_up_to(F.col("term"), F.col("depth"), max(term.values())))).drop("depth")
         pairs = left.join(right, ["n_words", "_sig"], "inner").select("gram", "term", "term_order", "floor").distinct()
         hits = pairs.where(_similar("gram", "term", "floor")).select("gram", "term", "term_order")
     found = grams.join(hits, "gram", "inner")
@@ -203,7 +224,7 @@ def parse_category_codes(df: DataFrame, output: str = "output", names: dict[str,
     lines = F.split(F.trim(output), r"\r\n|\n|\r")
     rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
     cleaned = F.transform(rest, lambda l: F.trim(F.get(F.split(l, r"<\|eot_id\|>"), F.lit(0))))
-    codes = F.transform(F.flatten(F.transform(cleaned, lambda l: F.split(l, ","))), F.trim)
+    codes = F.transform(F.flatten(F.transform(cleaned, lambda l: F.split(l, ","))), lambda k: F.trim(k))
     known = F.filter(F.transform(codes, lambda k: F.try_element_at(table, k)), lambda n: n.isNotNull())
     unsafe = F.lower(output).contains("unsafe")
     text = F.concat_ws(", ", known)
