@@ -72,3 +72,10 @@ def screen_stream(stream: DataFrame, rules: Sequence[tuple[str, Column]], text:
     from kinetable.operators.safety import screen
 
     return screen(stream, rules, text)
+
+
+def latest_per_key(updates: DataFrame, keys: Sequence[str], version: str = "batch_id") -> DataFrame:
+    """Newest row per key of an update-mode table; a combinable aggregate."""
+    rest = [c for c in updates.columns if c not in keys and c != version]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r"))
+    return newest.select(*keys, "_r.*")
