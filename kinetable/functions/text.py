@@ -12,7 +12,8 @@ def to_ascii(c: Column | str) -> Column:
 
 def norm_text(c: Column | str) -> Column:
     """Collapse whitespace, trim, lower-case."""
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    # Lone spaces already are what they should become, so the pattern skips them.
+    return F.lower(F.trim(F.regexp_replace(c, r"\s{2,}|[\t\n\x0B\f\r]", " ")))
 
 
 def strip_punctuation(c: Column) -> Column:

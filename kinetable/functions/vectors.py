@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DOUBLES = "array<double>"
 
@@ -14,6 +14,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    The optimizer moves filters below projections and copies the projected expression
+    into them; it does not move them below a generator. Use this for costly text work.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def as_doubles(c: Column | str) -> Column:
     return _col(c).cast(DOUBLES)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.functions.hashing import pick_by_weight
+from kinetable.functions.vectors import with_once
 
 # Fixed phrase list of the camera-movement filter.
 CAMERA_MOVEMENT_PHRASES = (
@@ -40,7 +41,7 @@ def flag_captions(
     """
     if mode not in ("include", "exclude"):
         raise ValueError(f"mode must be include or exclude, got {mode!r}")
-    low = df.withColumn("_low", F.lower(caption))
+    low = with_once(df, "_low", F.lower(caption))
     found = F.lit(False)
     for k in dict.fromkeys(k.lower() for k in keywords):
         found = found | F.col("_low").contains(k)

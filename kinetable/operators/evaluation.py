@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from kinetable.operators.stats import exact_quantiles
+from kinetable.operators.stats import exact_quantiles, grouped_medians
 
 # Fixed frame ranges [start, end) of generated frames: chunk 1, chunks 2-3, chunks 4-6.
 PHASES = {"early": (0, 12), "mid": (12, 36), "late": (36, 72)}
@@ -50,19 +50,12 @@ def median_coverage(
 ) -> DataFrame:
     """Median over valid frames, percentage of valid frames, and phase medians."""
     phases = PHASES if phases is None else phases
-    tags = [F.lit("all")] + [
-        F.when((F.col(order) >= lo) & (F.col(order) < hi), F.lit(name)) for name, (lo, hi) in phases.items()
-    ]
-    rows = frames.withColumn("_v", _no_nan(metric)).withColumn("_phase", F.explode(F.array_compact(F.array(*tags))))
-    med = exact_quantiles(
-        rows, [*by, "_phase"], "_v", {"median": 0.5},
-        [(F.avg(F.col("_v").isNotNull().cast("double")) * 100.0).alias("coverage")],
-    )
-    pick = lambda p, c: F.max(F.when(F.col("_phase") == p, F.col(c)))
-    return med.groupBy(*by).agg(
-        pick("all", "median").alias(f"{metric}_score"), pick("all", "coverage").alias(f"{metric}_coverage"),
-        *[pick(p, "median").alias(f"{metric}_{p}_median") for p in phases],
-    )
+    valid = _no_nan(metric)
+    values = {f"{metric}_score": valid}
+    for name, (lo, hi) in phases.items():
+        values[f"{metric}_{name}_median"] = F.when((F.col(order) >= lo) & (F.col(order) < hi), valid)
+    coverage = (F.avg(valid.isNotNull().cast("double")) * 100.0).alias(f"{metric}_coverage")
+    return grouped_medians(frames, by, values, [coverage])
 
 
 def ci95(metric: str) -> list[Column]:
@@ -87,14 +80,16 @@ def aggregate_checkpoint(
     for m in [*propagate, *dropping]:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), *ci95(m)]
     aggs += [F.avg(m).alias(f"{m}_mean") for m in means]
+    base = df.groupBy(*by).agg(*aggs)
     if not (medians and dropping):
-        return df.groupBy(*by).agg(*aggs)
-    out, first = None, True
-    for m in dropping:
-        q = exact_quantiles(df, by, m, {f"{m}_median": 0.5}, aggs if first else ())
-        out = q if first else out.join(q, list(by), "left")
-        first = False
-    return out
+        return base
+    # All medians in one go: metrics become rows, so the data is read twice, not per metric.
+    rows = F.inline(F.array(*[F.struct(F.lit(m).alias("_metric"), F.col(m).alias("_value")) for m in dropping]))
+    med = exact_quantiles(df.select(*by, rows), [*by, "_metric"], "_value", {"_median": 0.5})
+    wide = med.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_metric") == m, F.col("_median"))).alias(f"{m}_median") for m in dropping]
+    )
+    return base.join(wide, list(by), "left")
 
 
 def breakdown(

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinetable.functions.text import norm_text, strip_punctuation, to_ascii
-from kinetable.functions.vectors import let
+from kinetable.functions.vectors import let, with_once
 
 CENSORED = "****"
 UNSAFE_FRAME_CUTOFF = 0.10
@@ -29,6 +29,8 @@ CODE_CATEGORIES = {
 }
 
 _TERMS_PER_PATTERN = 500
+# Up to this many terms, plain substring tests are cheaper than one more pattern pass.
+_SUBSTRING_TERMS = 200
 
 
 def normalize_terms(terms: Sequence[str]) -> list[str]:
@@ -37,20 +39,30 @@ def normalize_terms(terms: Sequence[str]) -> list[str]:
     return [t for t in seen if t]
 
 
+def _mentions(norm: Column, words: Sequence[str]) -> Column | None:
+    """Whether a normalised text contains any of the words at all; null for long lists."""
+    if len(words) > _SUBSTRING_TERMS:
+        return None
+    out = norm.contains(words[0])
+    for w in words[1:]:
+        out = out | norm.contains(w)
+    return out
+
+
 def exact_block(df: DataFrame, terms: Sequence[str], text: str = "text", out: str = "exact_term") -> DataFrame:
     """First listed term found as a whole word (case and spacing ignored), else null.
 
-    A few combined patterns decide whether a row matches at all; only matching rows
-    test single terms.
+    Cheap tests decide whether a row can match at all; only such rows test single terms.
     """
     words = normalize_terms(terms)
     if not words:
         return df.withColumn(out, F.lit(None).cast("string"))
     patterns = [rf"\b{re.escape(w)}\b" for w in words]
-    normed = df.withColumn("_norm", norm_text(text))
-    hit = F.lit(False)
-    for i in range(0, len(patterns), _TERMS_PER_PATTERN):
-        hit = hit | F.col("_norm").rlike("|".join(patterns[i : i + _TERMS_PER_PATTERN]))
+    normed = with_once(df, "_norm", norm_text(text))
+    hit = _mentions(F.col("_norm"), words)
+    for i in range(0, len(patterns) if hit is None else 0, _TERMS_PER_PATTERN):
+        part = F.col("_norm").rlike("|".join(patterns[i : i + _TERMS_PER_PATTERN]))
+        hit = part if hit is None else hit | part
     table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in zip(words, patterns)])
     first = F.get(F.filter(table, lambda t: F.rlike(F.col("_norm"), t["p"])), F.lit(0))["w"]
     return normed.withColumn(out, F.when(hit, first)).drop("_norm")
@@ -134,10 +146,14 @@ def partial_block(
     """
     words = [w for w in normalize_terms(terms) if len(w) >= min_chars]
     spark = df.sparkSession
-    kept = df.select(key, norm_text(text).alias("_norm"))
     if not words:
-        return kept.select(key, F.lit(None).cast("string").alias("partial_term")).where("false")
+        return df.select(key, F.lit(None).cast("string").alias("partial_term")).where("false")
+    kept = with_once(df.select(key, text), "_norm", norm_text(text)).select(key, "_norm")
     cand, term = _deletion_budgets(words, slack)
+    equal_only = not any(cand.values()) and not any(term.values())
+    mentions = _mentions(F.col("_norm"), words) if equal_only else None
+    if mentions is not None:
+        kept = kept.where(mentions)
     listed = spark.createDataFrame(
         [(i, w, len(w.split()), (len(w) - slack) / len(w), term[len(w.split()), len(w)]) for i, w in enumerate(words)],
         "term_order int, term string, n_words int, floor double, depth int",
@@ -148,7 +164,7 @@ def partial_block(
     n_words = F.size(F.split("gram", " "))
     depth = F.try_element_at(budget, F.concat_ws("|", n_words.cast("string"), F.length("gram").cast("string")))
     grams = grams.withColumn("depth", depth).where(F.col("depth").isNotNull())
-    if not any(cand.values()) and not any(term.values()):
+    if equal_only:
         hits = listed.select(F.col("term").alias("gram"), "term", "term_order")
     else:
         once = grams.select("gram", "depth").distinct().withColumn("n_words", n_words)
@@ -167,12 +183,12 @@ def censor(df: DataFrame, terms: Sequence[str], allow: Sequence[str] = (), text:
     """
     bad = sorted({t.strip().lower() for t in terms} - {a.strip().lower() for a in allow} - {""})
     table = F.array(*[F.lit(b) for b in bad]) if bad else F.array().cast("array<string>")
-    tokens = F.filter(F.split(F.regexp_replace(text, r"\s+", " "), " "), lambda t: t != "")
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
     masked = F.transform(
         tokens,
         lambda t: F.when(F.array_contains(table, F.lower(strip_punctuation(t))), F.lit(CENSORED)).otherwise(t),
     )
-    flagged = df.withColumn("censored", F.concat_ws(" ", masked))
+    flagged = with_once(df, "censored", F.concat_ws(" ", masked))
     return flagged.withColumn("blocked", F.col("censored").contains(CENSORED))
 
 
@@ -193,7 +209,7 @@ def blocklist_screen(
 ) -> DataFrame:
     """The full text screen: censor list, whole-word list, then partial matches on the rest."""
     exact_terms = terms if exact_terms is None else exact_terms
-    ascii_df = df.withColumn("_ascii", to_ascii(text))
+    ascii_df = with_once(df, "_ascii", to_ascii(text))
     cens = censor(ascii_df, terms, allow, "_ascii")
     exact = exact_block(cens, exact_terms, "_ascii")
     open_rows = exact.where("NOT blocked AND exact_term IS NULL")

@@ -58,7 +58,8 @@ def exact_quantiles(
         F.max(v).alias("_max"),
     )
     sketch = staged(sketch, "quantile-sketch")
-    targets = []
+    v_now = F.col("_v")
+    columns, keeps, targets = [], [], []
     for i, (name, p) in enumerate(probs.items()):
         at = F.lit(p) * (F.col("_n") - 1)
         at = F.floor(at).cast("double") if name in lower else at
@@ -66,22 +67,37 @@ def exact_quantiles(
         small = F.col("_n") <= 2 * accuracy
         lo = F.col("_min") if edges[2 * i] == 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_edges")[2 * i])
         hi = F.col("_max") if edges[2 * i + 1] == 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1])
-        targets.append(F.struct(F.lit(name).alias("q"), at.alias("at"), lo.alias("lo"), hi.alias("hi")))
-    wanted = sketch.where("_n > 0").select("_key", F.array(*targets).alias("_targets"))
+        columns += [at.alias(f"_at{i}"), lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+        # Upper quantiles are counted from the top, so only a tail leaves the scan.
+        top = p > 0.5
+        keep = v_now >= F.col(f"_lo{i}") if top else v_now <= F.col(f"_hi{i}")
+        inside = (v_now >= F.col(f"_lo{i}")) & (v_now <= F.col(f"_hi{i}"))
+        keeps.append(keep)
+        targets.append(F.struct(
+            F.lit(name).alias("q"), F.col(f"_at{i}").alias("at"), F.lit(top).alias("top"),
+            keep.alias("keep"), F.when(inside, v_now).alias("x"),
+        ))
+    wanted = sketch.where("_n > 0").select("_key", "_n", *columns)
     met = keyed.where(v.isNotNull()).select("_key", v.alias("_v")).join(wanted, "_key", "inner")
-    cls = met.select("_key", "_v", F.inline("_targets"))
+    any_keep = keeps[0]
+    for k in keeps[1:]:
+        any_keep = any_keep | k
     tallied = (
-        cls.where(F.col("_v") <= F.col("hi"))
-        .select("_key", "q", "at", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"))
-        .groupBy("_key", "q", "at", "_v")
+        met.where(any_keep)
+        .select("_key", "_n", F.inline(F.array(*targets)))
+        .where("keep")
+        .groupBy("_key", "_n", "q", "at", "top", "x")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    w = Window.partitionBy("_key", "q").orderBy(F.col("_v").asc_nulls_first())
-    ranked = tallied.withColumn("_upto", F.sum("_c").over(w)).withColumn("_from", F.col("_upto") - F.col("_c"))
+    # Nulls stand for the counted tail: before the bracket, or after it when counting from the top.
+    end = F.when(F.col("x").isNull(), F.when(F.col("top"), 1).otherwise(-1)).otherwise(0)
+    w = Window.partitionBy("_key", "q")
+    upto = F.sum("_c").over(w.orderBy(end, "x")) + F.when(F.col("top"), F.col("_n") - F.sum("_c").over(w)).otherwise(0)
+    ranked = tallied.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
 
     def pick(rank: Column) -> Column:
-        hit = (F.col("_from") <= rank) & (rank < F.col("_upto")) & F.col("_v").isNotNull()
-        return F.min(F.when(hit, F.col("_v")))
+        hit = (F.col("_from") <= rank) & (rank < F.col("_upto")) & F.col("x").isNotNull()
+        return F.min(F.when(hit, F.col("x")))
 
     picked = ranked.groupBy("_key", "q", "at").agg(pick(F.floor("at")).alias("_a"), pick(F.ceil("at")).alias("_b"))
     frac = F.col("at") - F.floor("at")
@@ -95,6 +111,31 @@ def exact_quantiles(
     return out.select(*[F.col(f"_key.{n}").alias(b) for n, b in zip(names, by)], *[c for c in out.columns if c != "_key"])
 
 
+def grouped_medians(
+    df: DataFrame, by: Sequence[str], values: dict[str, Column], aggs: Sequence[Column] = (), limit: int = 100_000,
+) -> DataFrame:
+    """Exact medians of several columns for very many, mostly small groups.
+
+    Groups up to ``limit`` rows use Spark's exact percentile, whose state is then
+    bounded. The (rare) larger ones are found by a cheap count first and go through
+    :func:`exact_quantiles`; nothing of that path is planned when there are none.
+    """
+    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+    big = staged(counted, "big-groups")
+    exact = [F.percentile(v, F.lit(0.5)).alias(n) for n, v in values.items()]
+    if big.isEmpty():
+        return df.groupBy(*by).agg(*aggs, *exact)
+    flagged = df.withColumn("_k", F.struct(*by))
+    keys = big.select(F.struct(*by).alias("_k"))
+    rest = flagged.join(keys, "_k", "left_anti").groupBy(*by).agg(*aggs, *exact)
+    large = flagged.join(keys, "_k", "left_semi")
+    rows = F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_value")) for n, v in values.items()]))
+    med = exact_quantiles(large.select("_k", rows), ["_k", "_name"], "_value", {"_median": 0.5})
+    wide = med.groupBy("_k").agg(*[F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in values])
+    base = large.groupBy("_k").agg(*[F.first(b).alias(b) for b in by], *aggs)
+    return rest.unionByName(base.join(wide, "_k", "inner").drop("_k"))
+
+
 def approx_quantiles(value: str, probs: dict[str, float], accuracy: int = QUANTILE_ACCURACY) -> list[Column]:
     return [F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()]
 

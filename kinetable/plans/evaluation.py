@@ -23,11 +23,11 @@ def _nulls(expr):
 
 
 @query("a10_frame_decay", view("eval_frames") + f""" SELECT checkpoint, episode_index, count(l1) AS num_frames, {rs('avg(l1)')} AS mean_l1, {rs('stddev_pop(l1)')} AS std_l1,
-    CASE WHEN count(DISTINCT frame_index) < 2 THEN -1 ELSE {rs('regr_slope(l1, frame_index)')} END AS l1_slope, {_nulls('avg(l1) FILTER (frame_index < 2)')} AS l1_early,
+    CASE WHEN count(DISTINCT frame_index) < 2 THEN -1 ELSE {rs('regr_slope(l1, frame_index)', 8)} END AS l1_slope, {_nulls('avg(l1) FILTER (frame_index < 2)')} AS l1_early,
     {_nulls('avg(l1) FILTER (frame_index >= 2 AND frame_index < 4)')} AS l1_mid, {_nulls('avg(l1) FILTER (frame_index >= 4)')} AS l1_late FROM eval_frames GROUP BY checkpoint, episode_index""")
 def _(t):
     d = E.frame_decay(t["eval_frames"], EP, SHORT)
-    return d.select(*EP, "num_frames", r("mean_l1").alias("mean_l1"), r("std_l1").alias("std_l1"), *[_null(c) for c in ("l1_slope", "l1_early", "l1_mid", "l1_late")])
+    return d.select(*EP, "num_frames", r("mean_l1").alias("mean_l1"), r("std_l1").alias("std_l1"), F.coalesce(r("l1_slope", 8), F.lit(-1.0)).alias("l1_slope"), *[_null(c) for c in ("l1_early", "l1_mid", "l1_late")])
 
 
 @query("a11_median_coverage", view("eval_frames") + f""" SELECT checkpoint, episode_index, {_nulls('median(gatc)')} AS gatc_score, {rs('100.0 * count(gatc) / count(*)')} AS gatc_coverage,

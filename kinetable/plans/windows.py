@@ -58,7 +58,7 @@ def _(t):
     return full.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("bases"), F.max("frame_index").alias("last_base"))
 
 
-@query("w4_enumerate_steps", view("episodes") + " SELECT dataset_id, episode_index, b.i AS base_index FROM episodes JOIN range(0, 100000) AS b(i) ON b.i < length")
+@query("w4_enumerate_steps", view("episodes") + " SELECT dataset_id, episode_index, b.i AS base_index FROM episodes, unnest(range(0, length)) AS b(i)")
 def w4(t):
     return W.enumerate_steps(t["episodes"])
 
@@ -69,7 +69,7 @@ def _(t):
 
 
 @query("w5_strided_sequences", view("episodes") + """ SELECT dataset_id, episode_index, r.ratio, s.i * 2 AS start_frame, s.i * 2 + 2 * r.ratio AS end_frame
-    FROM episodes, (VALUES (1), (2)) AS r(ratio), range(0, 100000) AS s(i) WHERE s.i * 2 + 2 * r.ratio < length""")
+    FROM episodes, (VALUES (1), (2)) AS r(ratio), unnest(range(0, length)) AS s(i) WHERE s.i * 2 + 2 * r.ratio < length""")
 def _(t):
     s = W.strided_sequences(t["episodes"], 3, [1, 2], 2)
     return s.select("dataset_id", "episode_index", "ratio", "start_frame", "end_frame")
@@ -95,7 +95,7 @@ def _(t):
 
 
 def _split_oracle(keep):
-    return view("episodes") + f""", s AS (SELECT dataset_id, episode_index, b.i AS base_index FROM episodes JOIN range(0, 100000) AS b(i) ON b.i < length),
+    return view("episodes") + f""", s AS (SELECT dataset_id, episode_index, b.i AS base_index FROM episodes, unnest(range(0, length)) AS b(i)),
     p AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY episode_index, base_index) - 1 AS pos, count(*) OVER (PARTITION BY dataset_id) AS n FROM s)
     SELECT dataset_id, episode_index, base_index FROM p WHERE {keep}"""
 
