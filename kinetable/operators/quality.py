@@ -63,11 +63,23 @@ def pending(work: DataFrame, done: DataFrame, key: str | Sequence[str]) -> DataF
     return work.join(done.select(*key), key, "left_anti")
 
 
+def _one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """A stream's rows, raising on a repeated key; its shuffle is the one the join needs."""
+    rest = [c for c in df.columns if c != key]
+    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in rest])
+    repeated = F.raise_error(F.concat(F.lit("key occurs twice in a stream: "), F.col(key).cast("string")))
+    return g.where(F.when(F.col("_n") > 1, repeated.cast("boolean")).otherwise(True)).drop("_n")
+
+
 def assemble_samples(streams: dict[str, DataFrame], key: str = "key") -> DataFrame:
-    """Join sample parts on their key, keeping keys that every stream has."""
+    """Join sample parts on their key, keeping keys that every stream has.
+
+    Keys index their stream, so a repeated one is an error, not a product of rows.
+    """
     out = None
     for df in streams.values():
-        out = df if out is None else out.join(df, key, "inner")
+        part = _one_per_key(df, key)
+        out = part if out is None else out.join(part, key, "inner")
     return out
 
 

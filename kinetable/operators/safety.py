@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kinetable.functions.text import norm_text, strip_punctuation, to_ascii
 from kinetable.functions.vectors import let, with_once
+from kinetable.session import local_table, staged
 
 CENSORED = "****"
 UNSAFE_FRAME_CUTOFF = 0.10
@@ -154,8 +155,12 @@ def partial_block(
     mentions = _mentions(F.col("_norm"), words) if equal_only else None
     if mentions is not None:
         kept = kept.where(mentions)
-    listed = spark.createDataFrame(
-        [(i, w, len(w.split()), (len(w) - slack) / len(w), term[len(w.split()), len(w)]) for i, w in enumerate(words)],
+    listed = local_table(
+        spark,
+        {
+            "term_order": list(range(len(words))), "term": words, "n_words": [len(w.split()) for w in words],
+            "floor": [(len(w) - slack) / len(w) for w in words], "depth": [term[len(w.split()), len(w)] for w in words],
+        },
         "term_order int, term string, n_words int, floor double, depth int",
     )
     grams = kept.select(key, F.explode(word_ngrams(F.col("_norm"), sorted({len(w.split()) for w in words}))).alias("gram"))
@@ -171,7 +176,8 @@ def partial_block(
         left = once.withColumn("_sig", F.explode(_up_to(F.col("gram"), F.col("depth"), max(cand.values())))).drop("depth")
         right = listed.withColumn("_sig", F.explode(_up_to(F.col("term"), F.col("depth"), max(term.values())))).drop("depth")
         pairs = left.join(right, ["n_words", "_sig"], "inner").select("gram", "term", "term_order", "floor").distinct()
-        hits = pairs.where(_similar("gram", "term", "floor")).select("gram", "term", "term_order")
+        # Usually few: staged, so that Spark knows their size when it plans the join back.
+        hits = staged(pairs.where(_similar("gram", "term", "floor")).select("gram", "term", "term_order"), "term-hits")
     found = grams.join(hits, "gram", "inner")
     return found.groupBy(key).agg(F.min_by("term", "term_order").alias("partial_term"))
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinetable.operators.ranking import episode_blocks, position
+from kinetable.operators.ranking import episode_blocks, int_block, position, running_sum
 from kinetable.operators.windows import explode_range
 
 RANGE_BUCKET = 4096
@@ -114,6 +114,34 @@ def trailing_split(
     return placed.where(keep).drop("_pos", "_n")
 
 
+def trailing_ranges(
+    episodes: DataFrame,
+    ratio: float | Column = 0.05,
+    mode: str | Column = "train",
+    by: Sequence[str] = ("dataset_id",),
+    episode: str = "episode_index",
+    length: str = "length",
+) -> DataFrame:
+    """The trailing split as frame ranges per episode: ``first_base`` and ``last_base``.
+
+    When every frame is a step, the split follows from episode lengths alone, so only
+    the episode table is ordered and only kept steps ever need to be enumerated.
+    """
+    n, start = F.col("_n"), F.col("_start")
+    placed = running_sum(episodes.where(F.col(length) > 0), F.col(length), by, [episode], int_block(episode), "_start", "_n")
+    cut = n - holdout_size(n, ratio) - start
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    first = F.when(mode == "test", F.greatest(cut, F.lit(0))).otherwise(0)
+    last = F.when(mode == "train", F.least(cut, F.col(length))).otherwise(F.col(length)) - 1
+    ranged = placed.withColumn("first_base", first.cast("long")).withColumn("last_base", last.cast("long"))
+    return ranged.where("last_base >= first_base").drop("_start", "_n")
+
+
+def range_steps(ranges: DataFrame, out: str = "base_index") -> DataFrame:
+    """Steps of :func:`trailing_ranges`."""
+    return explode_range(ranges, F.col("first_base"), F.col("last_base"), out).drop("first_base", "last_base")
+
+
 def shuffle_split(df: DataFrame, p: float, draw: Column, tie: Sequence[str], blocks: int = 4096) -> DataFrame:
     """Seeded shuffle split: the first ``int(n * p)`` rows in draw order are validation.
 

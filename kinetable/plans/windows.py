@@ -119,6 +119,19 @@ def _(t):
     return P.trailing_split(W.enumerate_steps(t["episodes"]), ratio, mode)
 
 
+@query("w8_trailing_split_from_lengths", _split_oracle("pos >= n - greatest(1, CAST(floor(n * CAST(0.05 AS DOUBLE)) AS BIGINT))"))
+def _(t):
+    return P.range_steps(P.trailing_ranges(t["episodes"], 0.05, "test")).drop("length")
+
+
+@query("w8_trailing_split_from_lengths_overrides", _split_oracle("""CASE WHEN dataset_id = 0 THEN true WHEN dataset_id = 1
+    THEN pos >= n - greatest(1, CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT)) ELSE pos < n - greatest(1, CAST(floor(n * CAST(0.05 AS DOUBLE)) AS BIGINT)) END"""))
+def _(t):
+    ds = F.col("dataset_id")
+    mode = F.when(ds == 0, "full").when(ds == 1, "test").otherwise("train")
+    return P.range_steps(P.trailing_ranges(t["episodes"], F.when(ds == 1, 0.2).otherwise(0.05), mode)).drop("length")
+
+
 @query("w9_shuffle_split", f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {u_sql('doc_id', 3)}, doc_id) <= floor(count(*) OVER () * CAST(0.1 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM documents""")
 def _(t):
     return P.shuffle_split(t["documents"].select("doc_id"), 0.1, lcg_uniform("doc_id", 3), ["doc_id"])

@@ -66,3 +66,12 @@ def staged(df, label: str):
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, columns: dict[str, list], schema: str):
+    """A small table from driver values, planned as a local relation of known size."""
+    import pyarrow as pa
+
+    rows = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
+    kinds = spark.createDataFrame([], schema).schema
+    return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in kinds.fields])

@@ -53,11 +53,9 @@ def duplicate_names(df: DataFrame, name: str = "name") -> DataFrame:
 
 def require_unique_names(df: DataFrame, name: str = "name") -> DataFrame:
     """The manifest itself, raising when it is read if a name repeats."""
-    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    joined = df.join(counts, name, "inner")
-    message = F.concat(F.lit("sample name is not unique: "), F.col(name))
-    checked = F.when(F.col("_n") > 1, F.raise_error(message).cast("string")).otherwise(F.col(name))
-    return joined.withColumn(name, checked).drop("_n")
+    repeated = duplicate_names(df, name).agg(F.min(name)).scalar()
+    message = F.concat(F.lit("sample name is not unique: "), repeated)
+    return df.withColumn(name, F.when(repeated.isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col(name)))
 
 
 def prompts_from_lines(lines: DataFrame, prefix: str, value: str = "value") -> DataFrame:
