@@ -52,6 +52,6 @@ def rs(expr: str, digits: int = 6) -> str:
 
 def load_all() -> None:
     from kinetable.plans import (  # noqa: F401
-        captions, clips, evaluation, mixtures, quality, rotations, safety, sources, statistics, streams, telemetry,
+        captions, clips, evaluation, jobs, mixtures, quality, rotations, safety, sources, statistics, streams, telemetry,
         vectors, windows,
     )

@@ -71,7 +71,9 @@ def staged(df, label: str):
 def local_table(spark: SparkSession, columns: dict[str, list], schema: str):
     """A small table from driver values, planned as a local relation of known size."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-    rows = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
-    kinds = spark.createDataFrame([], schema).schema
-    return rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in kinds.fields])
+    kinds = StructType.fromDDL(schema)
+    arrays = [pa.array(columns[f.name], type=to_arrow_type(f.dataType)) for f in kinds.fields]
+    return spark.createDataFrame(pa.table(arrays, names=kinds.names), schema=kinds)
