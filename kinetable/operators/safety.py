@@ -40,33 +40,48 @@ def normalize_terms(terms: Sequence[str]) -> list[str]:
     return [t for t in seen if t]
 
 
-def _mentions(norm: Column, words: Sequence[str]) -> Column | None:
-    """Whether a normalised text contains any of the words at all; null for long lists."""
-    if len(words) > _SUBSTRING_TERMS:
+def _may_contain(text: Column, words: Sequence[str]) -> Column | None:
+    """Cheap necessary condition for a term to occur; null when the list is too long for it.
+
+    Only the first word of a term is looked for, in the lower-cased raw text: folding
+    non-ASCII characters and spacing touches nothing inside a word of plain ASCII.
+    """
+    heads = list(dict.fromkeys(w.split()[0] for w in words))
+    if len(heads) > _SUBSTRING_TERMS or not all(h.isascii() for h in heads):
         return None
-    out = norm.contains(words[0])
-    for w in words[1:]:
-        out = out | norm.contains(w)
+    low = F.lower(text)
+    out = low.contains(heads[0])
+    for h in heads[1:]:
+        out = out | low.contains(h)
     return out
 
 
-def exact_block(df: DataFrame, terms: Sequence[str], text: str = "text", out: str = "exact_term") -> DataFrame:
+def _normal(text: str, fold: bool) -> Column:
+    return norm_text(to_ascii(text) if fold else F.col(text))
+
+
+def exact_block(
+    df: DataFrame, terms: Sequence[str], text: str = "text", out: str = "exact_term", fold: bool = False,
+) -> DataFrame:
     """First listed term found as a whole word (case and spacing ignored), else null.
 
-    Cheap tests decide whether a row can match at all; only such rows test single terms.
+    ``fold`` reads the text with non-ASCII runs as spaces. Cheap tests decide whether a
+    row can match at all; only such rows are normalised and tested term by term.
     """
     words = normalize_terms(terms)
     if not words:
         return df.withColumn(out, F.lit(None).cast("string"))
     patterns = [rf"\b{re.escape(w)}\b" for w in words]
-    normed = with_once(df, "_norm", norm_text(text))
-    hit = _mentions(F.col("_norm"), words)
-    for i in range(0, len(patterns) if hit is None else 0, _TERMS_PER_PATTERN):
+    may = _may_contain(F.col(text), words)
+    norm = _normal(text, fold)
+    normed = with_once(df, "_norm", norm if may is None else F.when(may, norm))
+    hit = F.col("_norm").isNotNull() if may is not None else None
+    for i in range(0, len(patterns) if may is None else 0, _TERMS_PER_PATTERN):
         part = F.col("_norm").rlike("|".join(patterns[i : i + _TERMS_PER_PATTERN]))
         hit = part if hit is None else hit | part
     table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in zip(words, patterns)])
     first = F.get(F.filter(table, lambda t: F.rlike(F.col("_norm"), t["p"])), F.lit(0))["w"]
-    return normed.withColumn(out, F.when(hit, first)).drop("_norm")
+    return with_once(normed, out, F.when(hit, first)).drop("_norm")
 
 
 def _deletion_budgets(words: Sequence[str], slack: float) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
@@ -137,6 +152,7 @@ def word_ngrams(norm: Column, counts: Sequence[int]) -> Column:
 
 def partial_block(
     df: DataFrame, terms: Sequence[str], key: str, text: str = "text", min_chars: int = 6, slack: float = 0.4,
+    fold: bool = False,
 ) -> DataFrame:
     """Rows whose text holds a word run similar to a term: ``(key, partial_term)``.
 
@@ -149,12 +165,14 @@ def partial_block(
     spark = df.sparkSession
     if not words:
         return df.select(key, F.lit(None).cast("string").alias("partial_term")).where("false")
-    kept = with_once(df.select(key, text), "_norm", norm_text(text)).select(key, "_norm")
     cand, term = _deletion_budgets(words, slack)
-    equal_only = not any(cand.values()) and not any(term.values())
-    mentions = _mentions(F.col("_norm"), words) if equal_only else None
-    if mentions is not None:
-        kept = kept.where(mentions)
+    equal_only = _equal_only(words, slack)
+    may = _may_contain(F.col(text), words) if equal_only else None
+    if may is not None:
+        return add_partial(df.select(key, text), terms, key, text, min_chars, slack, fold).where(
+            "partial_term IS NOT NULL"
+        ).select(key, "partial_term")
+    kept = with_once(df.select(key, text), "_norm", _normal(text, fold)).select(key, "_norm")
     listed = local_table(
         spark,
         {
@@ -182,22 +200,73 @@ def partial_block(
     return found.groupBy(key).agg(F.min_by("term", "term_order").alias("partial_term"))
 
 
+def _equal_only(words: Sequence[str], slack: float) -> bool:
+    """Whether the slack is too small for anything but an equal run of words to pass."""
+    cand, term = _deletion_budgets(words, slack)
+    return not any(cand.values()) and not any(term.values())
+
+
+def add_partial(
+    df: DataFrame, terms: Sequence[str], key: str, text: str = "text", min_chars: int = 6, slack: float = 0.4,
+    fold: bool = False, where: Column | None = None,
+) -> DataFrame:
+    """Every row plus ``partial_term``, looked for only where ``where`` holds.
+
+    With the default slack and a short list this is a test within the row; otherwise
+    the staged matches are joined back, which ships no text when they are few.
+    """
+    words = [w for w in normalize_terms(terms) if len(w) >= min_chars]
+    where = F.lit(True) if where is None else where
+    may = _may_contain(F.col(text), words) if words and _equal_only(words, slack) else None
+    if may is None:
+        found = staged(partial_block(df.where(where), terms, key, text, min_chars, slack, fold), "partial-terms")
+        return df.join(found, key, "left")
+    counts = sorted({len(w.split()) for w in words})
+    listed = F.array(*[F.lit(w) for w in words])
+    first = let(word_ngrams(_normal(text, fold), counts), lambda grams: F.get(F.array_intersect(listed, grams), F.lit(0)))
+    return with_once(df, "partial_term", F.when(where & may, first))
+
+
+def _listed_word(terms: Sequence[str], allow: Sequence[str]) -> tuple[list[str], Column]:
+    bad = sorted({t.strip().lower() for t in terms} - {a.strip().lower() for a in allow} - {""})
+    return bad, F.array(*[F.lit(b) for b in bad]) if bad else F.array().cast("array<string>")
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
 def censor(df: DataFrame, terms: Sequence[str], allow: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Mask listed single words, except allowed ones; adds ``censored`` and ``blocked``.
 
     Words are compared without surrounding punctuation and case.
     """
-    bad = sorted({t.strip().lower() for t in terms} - {a.strip().lower() for a in allow} - {""})
-    table = F.array(*[F.lit(b) for b in bad]) if bad else F.array().cast("array<string>")
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    _, table = _listed_word(terms, allow)
     masked = F.transform(
-        tokens,
+        _tokens(F.col(text)),
         lambda t: F.when(F.array_contains(table, F.lower(strip_punctuation(t))), F.lit(CENSORED)).otherwise(t),
     )
     flagged = with_once(df, "censored", F.concat_ws(" ", masked))
     return flagged.withColumn("blocked", F.col("censored").contains(CENSORED))
 
 
+def has_censored(
+    df: DataFrame, terms: Sequence[str], allow: Sequence[str] = (), text: str = "text", out: str = "blocked", fold: bool = False
+) -> DataFrame:
+    """Only the flag of :func:`censor`; texts that cannot match are never split."""
+    bad, table = _listed_word(terms, allow)
+    if not bad:
+        return df.withColumn(out, F.lit(False))
+    hit = F.exists(
+        _tokens(to_ascii(text) if fold else F.col(text)),
+        lambda t: F.array_contains(table, F.lower(strip_punctuation(t))) | t.contains(CENSORED),
+    )
+    may = _may_contain(F.col(text), bad)
+    if may is not None:
+        hit = (may | F.col(text).contains(CENSORED)) & hit
+    return with_once(df, out, F.coalesce(hit, F.lit(False)))
+
+
 def screen(df: DataFrame, rules: Sequence[tuple[str, Column]], text: str = "text", safe: str = "Prompt is safe") -> DataFrame:
     """Rule cascade. Each rule is ``(name, reason column)``; a non-null reason blocks.
 
@@ -215,18 +284,16 @@ def blocklist_screen(
 ) -> DataFrame:
     """The full text screen: censor list, whole-word list, then partial matches on the rest."""
     exact_terms = terms if exact_terms is None else exact_terms
-    ascii_df = with_once(df, "_ascii", to_ascii(text))
-    cens = censor(ascii_df, terms, allow, "_ascii")
-    exact = exact_block(cens, exact_terms, "_ascii")
-    open_rows = exact.where("NOT blocked AND exact_term IS NULL")
-    partial = partial_block(open_rows, exact_terms, key, "_ascii", min_chars, slack)
-    joined = exact.join(partial, key, "left")
+    cens = has_censored(df, terms, allow, text, fold=True)
+    exact = exact_block(cens, exact_terms, text, fold=True)
+    undecided = ~F.col("blocked") & F.col("exact_term").isNull()
+    joined = add_partial(exact, exact_terms, key, text, min_chars, slack, True, undecided)
     rules = [
         ("censor", F.when(F.col("blocked"), F.lit("censored word"))),
         ("exact", F.col("exact_term")),
         ("partial", F.col("partial_term")),
     ]
-    return screen(joined, rules, text).drop("_ascii", "censored", "blocked")
+    return screen(joined, rules, text).drop("blocked")
 
 
 def parse_safety_label(c: Column | str) -> Column:

@@ -39,8 +39,7 @@ _FIRST = "CASE " + " ".join(f"WHEN regexp_matches(z, '\\b{w}\\b') THEN '{w}'" fo
 
 @query("x19_exact_block", f"WITH d AS (SELECT doc_id, {_norm(_ASCII)} AS z FROM documents) SELECT doc_id, {_FIRST} AS exact_term FROM d WHERE {_FIRST} IS NOT NULL")
 def _(t):
-    d = t["documents"].select("doc_id", to_ascii("text").alias("text"))
-    return S.exact_block(d, TERMS).where("exact_term IS NOT NULL").select("doc_id", "exact_term")
+    return S.exact_block(t["documents"].select("doc_id", "text"), TERMS, fold=True).where("exact_term IS NOT NULL").select("doc_id", "exact_term")
 
 
 def _gram_sql(terms):
@@ -54,14 +53,12 @@ def _gram_sql(terms):
 # With the default slack a passing run of words equals the term, so SQL can state it.
 @query("x20_partial_block", _gram_sql(LONG_TERMS) + " SELECT doc_id, partial_term FROM h")
 def _(t):
-    d = t["documents"].select("doc_id", to_ascii("text").alias("text"))
-    return S.partial_block(d, LONG_TERMS, "doc_id")
+    return S.partial_block(t["documents"].select("doc_id", "text"), LONG_TERMS, "doc_id", fold=True)
 
 
 @query("x20_partial_block_one_letter")
 def _(t):
-    d = t["documents"].select("doc_id", to_ascii("text").alias("text"))
-    return S.partial_block(d, LONG_TERMS, "doc_id", slack=1.0)
+    return S.partial_block(t["documents"].select("doc_id", "text"), LONG_TERMS, "doc_id", slack=1.0, fold=True)
 
 
 _BAD = ", ".join(f"'{w}'" for w in sorted({w.strip().lower() for w in TERMS} - set(ALLOW)))

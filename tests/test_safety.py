@@ -89,3 +89,19 @@ def test_frame_vote_cutoff_is_strict(spark):
     rows = [("a", 1)] + [("a", 0)] * 9 + [("b", 1), ("b", 1)] + [("b", None)] * 8
     got = {r.video_id: r.is_safe for r in S.frame_vote(spark.createDataFrame(rows, "video_id string, unsafe int")).collect()}
     assert got == {"a": True, "b": False}
+
+
+def test_folding_and_flags_agree_with_the_plain_forms(spark):
+    df = spark.createDataFrame(
+        [(1, "fooébar baz"), (2, "FOO bar"), (3, "Key"), (4, "say (Bad)!"), (5, "badü ok"), (6, "keys foo  bar")],
+        "id int, text string",
+    )
+    from kinetable.functions.text import to_ascii
+
+    folded = df.withColumn("text", to_ascii("text"))
+    terms = ["foo bar", "key", "bad"]
+    a = {r.id: r.exact_term for r in S.exact_block(df, terms, fold=True).collect()}
+    b = {r.id: r.exact_term for r in S.exact_block(folded, terms).collect()}
+    assert a == b == {1: "foo bar", 2: "foo bar", 3: None, 4: "bad", 5: "bad", 6: "foo bar"}
+    c = {r.id: r.blocked for r in S.has_censored(df, terms, fold=True).collect()}
+    assert c == {r.id: r.blocked for r in S.censor(folded, terms).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
