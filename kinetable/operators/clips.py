@@ -123,7 +123,7 @@ def stride_frames(frames: DataFrame, stride: int, order: str = "frame_index", ou
 
 
 def clip_status(n_frames: Column, fps: Column, target: int, min_fps: float, max_fps: float) -> Column:
-    """First failing sanity check, else ``success``."""
+    """First failing sanity check, else ``success``. The messages are fixed values."""
     return (
         F.when(n_frames <= 0, "n_video_frames must be positive")
         .when(F.lit(min_fps <= 0), "min_fps_thres must be positive")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.functions.vectors import pad_right
 from kinetable.operators.ranking import int_block, running_sum
-
-INDEX_BUCKET = 1 << 20
+from kinetable.operators.windows import explode_range
+from kinetable.session import staged
 
 
 def repeat_factors(
@@ -35,25 +35,33 @@ def mixture_summary(mixture: DataFrame) -> DataFrame:
     return mixture.withColumn("pct_total", 100.0 * F.col("virtual_len") / total)
 
 
+def interval_bucket(intervals: DataFrame, start: str, end: str) -> int:
+    """Mean interval length: cutting there at most doubles the pieces, and an evenly
+    drawn index meets about two of them."""
+    total, n = intervals.agg(F.sum(F.col(end) - F.col(start)), F.count(F.lit(1))).first()
+    return max(1, int(total or 1) // max(1, n))
+
+
 def locate(
     idx: DataFrame,
     intervals: DataFrame,
     index: str = "idx",
     start: str = "virtual_start",
     end: str = "virtual_end",
-    bucket: int = INDEX_BUCKET,
+    by: Sequence[str] = (),
+    bucket: int | None = None,
 ) -> DataFrame:
-    """Range join ``start <= idx < end`` by bucketed equi-join.
+    """Range join ``start <= idx < end`` (within ``by``) by bucketed equi-join.
 
-    Intervals are cut at bucket borders; each index meets only the pieces in its own
-    bucket. Small interval tables are broadcast when Spark's size check allows it.
+    Intervals are disjoint and staged, then cut at bucket borders; each index meets
+    only the pieces in its own bucket. Spark's size check decides about broadcasting.
     """
-    cut = intervals.where(F.col(end) > F.col(start)).withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))),
-    )
-    left = idx.withColumn("_bucket", F.floor(F.col(index) / bucket))
-    joined = left.join(cut, "_bucket", "inner")
+    intervals = staged(intervals.where(F.col(end) > F.col(start)), "intervals")
+    size = interval_bucket(intervals, start, end) if bucket is None else bucket
+    first, last = F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size)
+    cut = explode_range(intervals, first, last, "_bucket")
+    left = idx.withColumn("_bucket", F.floor(F.col(index) / size))
+    joined = left.join(cut, [*by, "_bucket"], "inner")
     return joined.where((F.col(index) >= F.col(start)) & (F.col(index) < F.col(end))).drop("_bucket")
 
 

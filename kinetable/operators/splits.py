@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinetable.operators.ranking import episode_blocks, int_block, position, running_sum
 from kinetable.operators.windows import explode_range
 
-RANGE_BUCKET = 4096
+RANGE_BUCKET = 1024
 
 
 def expand_split_ranges(info: DataFrame, spec: str = "spec", inclusive: bool = True) -> DataFrame:

@@ -27,7 +27,9 @@ def explode_range(df: DataFrame, start: Column, end: Column, out: str, block: in
     b = F.lit(block)
     lo = df.withColumn("_lo", start.cast("long")).withColumn("_hi", end.cast("long")).where("_hi >= _lo")
     blocks = lo.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / b), F.floor(F.col("_hi") / b))))
-    spread = blocks.repartition(F.col("_lo"), F.col("_hi"), F.col("_b"), *[F.col(c) for c in _hashable(df)])
+    # An explicit count: adaptive execution would merge these few small rows into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(tasks, F.col("_lo"), F.col("_hi"), F.col("_b"), *[F.col(c) for c in _hashable(df)])
     first = F.greatest(F.col("_lo"), F.col("_b") * b)
     last = F.least(F.col("_hi"), F.col("_b") * b + b - 1)
     return spread.withColumn(out, F.explode(F.sequence(first, last))).drop("_lo", "_hi", "_b")
@@ -55,7 +57,7 @@ def gather_window(
     by: Sequence[str] = EPISODE,
     order: str = "frame_index",
     suffix: str = "_win",
-    block: int = 4096,
+    block: int = 2048,
 ) -> DataFrame:
     """Values of ``keys`` at ``base + delta`` for every base frame, as arrays.
 
@@ -66,7 +68,8 @@ def gather_window(
     An episode may be arbitrarily long: it is cut into blocks of ``block`` bases,
     frames near a border are copied to the neighbour that needs them (a halo of
     ``max(delta)`` rows), and one sort per block serves all offsets. Since padding
-    only ever uses the episode's end frames, the halo always holds them.
+    only ever uses the episode's end frames, the halo always holds them. A block with
+    its halo fits the in-memory row buffer of Spark's window operator.
     """
     ahead, behind = max(0, *deltas), max(0, *[-d for d in deltas])
     size = max(block, ahead + behind + 1)

@@ -33,17 +33,8 @@ def mixture_samples(
     sizes = placed.groupBy("dataset_id").agg(F.sum("_k").alias("real_len"))
     mix = staged(M.repeat_factors(ratios.join(sizes, "dataset_id")), "mixture")
     real = M.virtual_to_real(idx, mix, index).select(index, "dataset_id", "real_index")
-    return locate_steps(real, placed.withColumn("_to", F.col("_from") + F.col("_k")), index)
-
-
-def locate_steps(real: DataFrame, placed: DataFrame, index: str, bucket: int = 1 << 16) -> DataFrame:
-    """Step number within a dataset to its episode, by bucketed range join."""
-    cut = placed.select(
-        F.col("dataset_id"), "episode_index", "first_base", "_from", "_to",
-        F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket))).alias("_bucket"),
-    )
-    left = real.withColumn("_bucket", F.floor(F.col("real_index") / bucket))
-    hit = left.join(cut, ["dataset_id", "_bucket"]).where((F.col("real_index") >= F.col("_from")) & (F.col("real_index") < F.col("_to")))
+    spans = placed.select("dataset_id", "episode_index", "first_base", "_from", (F.col("_from") + F.col("_k")).alias("_to"))
+    hit = M.locate(real, spans, "real_index", "_from", "_to", by=["dataset_id"])
     base = F.col("first_base") + F.col("real_index") - F.col("_from")
     return hit.select(index, "dataset_id", "episode_index", base.alias("base_index"))
 

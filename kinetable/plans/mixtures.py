@@ -31,7 +31,7 @@ def _(t):
 @query("j12_locate", _MIX + ", i AS (SELECT o_orderkey * 7 AS idx FROM orders) SELECT idx, dataset_id FROM i JOIN mix ON idx >= virtual_start AND idx < virtual_start + virtual_len")
 def _(t):
     idx = t["orders"].select((F.col("o_orderkey") * 7).alias("idx"))
-    return M.locate(idx, mixture(t), bucket=1 << 12).select("idx", "dataset_id")
+    return M.locate(idx, mixture(t)).select("idx", "dataset_id")
 
 
 @query("w12_virtual_to_real", _MIX + """, tot AS (SELECT max(virtual_start + virtual_len) AS n FROM mix), i AS (SELECT o_orderkey * 13 AS idx, (o_orderkey * 13) % n AS k FROM orders, tot)
