@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kinetable.operators.stats import exact_quantiles, grouped_medians
+from kinetable.session import staged
 
 # Fixed frame ranges [start, end) of generated frames: chunk 1, chunks 2-3, chunks 4-6.
 PHASES = {"early": (0, 12), "mid": (12, 36), "late": (36, 72)}
@@ -76,6 +77,9 @@ def aggregate_checkpoint(
     """
     df = episodes.withColumns({m: F.coalesce(F.col(m).cast("double"), F.lit(float("nan"))) for m in propagate})
     df = df.withColumns({m: _no_nan(m) for m in dropping})
+    if medians and dropping:
+        # Read three times below; episodes are usually themselves a roll-up of far more frames.
+        df = staged(df.select(*by, *dict.fromkeys([*propagate, *dropping, *means])), "episode-scores")
     aggs = [F.count(F.lit(1)).alias("num_episodes")]
     for m in [*propagate, *dropping]:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), *ci95(m)]

@@ -55,11 +55,11 @@ def running_sum(
     flat = sums.select(*[F.col(f"{key}.{c}").alias(c) for c in [*by, *names]], key, "_bsum")
     upper = [F.col(n) for n in names[:-1]]
     based = running_sum(flat, F.col("_bsum"), by, [names[-1]], upper, base, total)
+    # The window goes first: its sort order already is the one a merge join on the key needs.
     inside = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = tagged.join(based.select(key, base, *([total] if total else [])), key, "inner")
-    return joined.withColumn(
-        out, F.col(base) + F.coalesce(F.sum(val).over(inside), F.lit(0))
-    ).drop(val, base, key, *names)
+    within = tagged.withColumn("_in", F.coalesce(F.sum(val).over(inside), F.lit(0)))
+    joined = within.join(based.select(key, base, *([total] if total else [])), key, "inner")
+    return joined.withColumn(out, F.col(base) + F.col("_in")).drop(val, base, "_in", key, *names)
 
 
 def position(
