@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinetable.functions.python_tasks import match_cost
 from kinetable.operators.stats import exact_quantiles, grouped_medians
 from kinetable.session import staged
 
@@ -209,51 +208,6 @@ def centroid_costs(gt: Column, gen: Column) -> Column:
     return F.transform(gt, lambda a: F.transform(gen, lambda b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])))
 
 
-def _assignment_cost(cost: np.ndarray) -> float:
-    """Least total cost of matching min(n, m) pairs (shortest augmenting paths)."""
-    if cost.shape[0] > cost.shape[1]:
-        cost = cost.T
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner = np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        owner[0] = i
-        slack, back, used, j = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool), 0
-        while True:
-            used[j] = True
-            reach = cost[owner[j] - 1] - u[owner[j]] - v[1:]
-            better = ~used[1:] & (reach < slack[1:])
-            slack[1:][better], back[1:][better] = reach[better], j
-            free = np.where(used[1:], np.inf, slack[1:])
-            nxt = int(np.argmin(free)) + 1
-            delta = free[nxt - 1]
-            u[owner[used]] += delta
-            v[used] -= delta
-            slack[1:][~used[1:]] -= delta
-            j = nxt
-            if owner[j] == 0:
-                break
-        while j:
-            owner[j] = owner[back[j]]
-            j = back[j]
-    return float(sum(cost[owner[j] - 1, j - 1] for j in range(1, m + 1) if owner[j]))
-
-
-@F.pandas_udf(T.DoubleType())
-def _match_cost(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    out = []
-    for x0, y0, x1, y1 in zip(ax, ay, bx, by):
-        if x0 is None or x1 is None or len(x0) == 0 or len(x1) == 0:
-            out.append(None)
-        else:
-            out.append(_assignment_cost(np.hypot(np.subtract.outer(x0, x1), np.subtract.outer(y0, y1))))
-    return pd.Series(out, dtype="float64")
-
-
-# Marked so that the optimizer neither duplicates the call nor moves filters past it.
-_match_cost = _match_cost.asNondeterministic()
-
-
 def centroid_distance(df: DataFrame, gt: str, gen: str, penalty: float, out: str = "tcd") -> DataFrame:
     """Mean matched centroid distance per frame; unmatched ground truth costs ``penalty``.
 
@@ -261,14 +215,8 @@ def centroid_distance(df: DataFrame, gt: str, gen: str, penalty: float, out: str
     frame, so its centroids never meet another row's; the cheap cases stay in the JVM.
     """
     n, m = F.size(gt), F.size(gen)
-    costed = df.withColumn("_cost", _match_cost(F.col(gt)["x"], F.col(gt)["y"], F.col(gen)["x"], F.col(gen)["y"]))
+    costed = df.withColumn("_cost", match_cost(F.col(gt)["x"], F.col(gt)["y"], F.col(gen)["x"], F.col(gen)["y"]))
     matched = (F.col("_cost") + F.greatest(n - m, F.lit(0)) * penalty) / n
     return costed.withColumn(
         out, F.when(n == 0, None).when(m == 0, F.lit(float(penalty))).otherwise(matched)
     ).drop("_cost")
-
-
-def brute_force_cost(cost: np.ndarray) -> float:
-    """Least assignment cost by enumeration; a check for small matrices."""
-    c = cost if cost.shape[0] <= cost.shape[1] else cost.T
-    return min(sum(c[i, p[i]] for i in range(c.shape[0])) for p in permutations(range(c.shape[1]), c.shape[0]))

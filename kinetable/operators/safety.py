@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from kinetable.functions.python_tasks import similar
 from kinetable.functions.text import norm_text, strip_punctuation, to_ascii
 from kinetable.functions.vectors import let, with_once
 from kinetable.session import local_table, staged
@@ -128,14 +127,6 @@ def _up_to(c: Column, depth: Column, most: int) -> Column:
     return last if out is None else out.otherwise(last)
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(candidate: pd.Series, term: pd.Series, floor: pd.Series) -> pd.Series:
-    def ratio(a: str, b: str) -> float:
-        return SequenceMatcher(None, a, b).ratio()
-
-    return pd.Series([ratio(a, b) >= f for a, b, f in zip(candidate, term, floor)], dtype="bool")
-
-
 def word_ngrams(norm: Column, counts: Sequence[int]) -> Column:
     """Distinct runs of ``n`` words for every ``n`` in ``counts``."""
 
@@ -195,7 +186,7 @@ def partial_block(
         right = listed.withColumn("_sig", F.explode(_up_to(F.col("term"), F.col("depth"), max(term.values())))).drop("depth")
         pairs = left.join(right, ["n_words", "_sig"], "inner").select("gram", "term", "term_order", "floor").distinct()
         # Usually few: staged, so that Spark knows their size when it plans the join back.
-        hits = staged(pairs.where(_similar("gram", "term", "floor")).select("gram", "term", "term_order"), "term-hits")
+        hits = staged(pairs.where(similar("gram", "term", "floor")).select("gram", "term", "term_order"), "term-hits")
     found = grams.join(hits, "gram", "inner")
     return found.groupBy(key).agg(F.min_by("term", "term_order").alias("partial_term"))
 
