@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
@@ -53,6 +54,11 @@ def annotated(df: DataFrame, make: Callable[[], Callable[[list], list[list]]], t
     return map_arrow(rows, run, schema)
 
 
+def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
+    """A model of bounded size for every executor, with its class; ``pickle.loads(x.value)`` gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def fold(key: Column | str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key falls in fold 0."""
     key = F.col(key) if isinstance(key, str) else key

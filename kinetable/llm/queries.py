@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetable.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules, sharding
+from kinetable.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_model, quality_rules, sharding, toxicity
+from kinetable.llm.common import fold
 from kinetable.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,24 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleaved(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", (fold(F.col("row.doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_model.scored(docs, quality_model.trained(docs, table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", (fold(F.col("row.doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op5_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.predicted(docs.select("doc_id", "text"), language_id.trained(docs))
+    return out.select("row.doc_id", (fold(F.col("row.doc_id")) == 0).alias("held_out"), "lang_pred", "score")
