@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetable.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_model, quality_rules, sharding, toxicity
+from kinetable.llm import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality_model, quality_rules, sharding, toxicity
 from kinetable.llm.common import fold
 from kinetable.llm.oracles import ORACLES  # noqa: F401
 
@@ -92,3 +92,9 @@ def op5_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.predicted(docs.select("doc_id", "text"), language_id.trained(docs))
     return out.select("row.doc_id", (fold(F.col("row.doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
