@@ -147,11 +147,17 @@ def usable_sample(configs: Sequence[ActionKey], suffix: str = "_win") -> Column:
 
 def attach_task(steps: DataFrame, frames: DataFrame, tasks: DataFrame, delta: int = 0,
                 by: Sequence[str] = ("dataset_id", "episode_index")) -> DataFrame:
-    """Task text at ``base + delta`` clamped into the episode (``length`` column)."""
+    """Task text at ``base + delta`` clamped into the episode (``length`` column).
+
+    Every step stays; where its frame or its task is absent, ``drop_reason`` says which.
+    """
     at = F.least(F.greatest(F.col("base_index") + delta, F.lit(0)), F.col("length") - 1)
     located = steps.withColumn("_at", at.cast("long"))
     index = frames.select(*by, F.col("frame_index").alias("_at"), "task_index")
-    return located.join(index, [*by, "_at"], "inner").join(tasks, ["dataset_id", "task_index"], "inner").drop("_at")
+    joined = located.join(index.withColumn("_frame", F.lit(True)), [*by, "_at"], "left").join(
+        tasks.withColumn("_task", F.lit(True)), ["dataset_id", "task_index"], "left")
+    reason = F.when(F.col("_frame").isNull(), "frame missing").when(F.col("_task").isNull(), "task missing")
+    return joined.withColumn("drop_reason", reason).drop("_at", "_frame", "_task")
 
 
 def attach_reference(steps: DataFrame, frames: DataFrame, state_keys: Sequence[str],

@@ -27,6 +27,8 @@ CAMERA_MOVEMENT_PHRASES = (
 
 # Fixed default weights of the caption styles.
 STYLE_WEIGHTS = {"long": 7, "medium": 2, "short": 1, "user": 90}
+#: Styles that may stand beside the weighted ones and are never picked.
+OTHER_STYLES = ("startframe", "endframe")
 
 IMAGE_STYLES = ("qwen2p5_7b_long", "qwen2p5_7b_medium", "qwen2p5_7b_short")
 
@@ -86,17 +88,20 @@ def pick_caption(
 ) -> DataFrame:
     """Weighted style among those present in a ``map<style, text>``, weights renormalised.
 
-    Empty captions and rows without a known style get a ``drop_reason``.
+    Empty captions, rows without a known style and rows with a style that is neither weighted nor one of
+    ``OTHER_STYLES`` get a ``drop_reason``, and no caption in the last case.
     """
     weights = STYLE_WEIGHTS if weights is None else weights
     options = [
         (F.lit(s), F.when(F.map_contains_key(captions, s), F.lit(float(w))).otherwise(0.0)) for s, w in weights.items()
     ]
-    styled = df.withColumn("caption_style", pick_by_weight(u, options))
+    known = F.array(*[F.lit(s) for s in (*weights, *OTHER_STYLES)])
+    odd = F.coalesce(F.size(F.array_except(F.map_keys(captions), known)) > 0, F.lit(False))
+    styled = df.withColumn("caption_style", F.when(~odd, pick_by_weight(u, options)))
     text = F.try_element_at(F.col(captions), F.col("caption_style"))
     return styled.withColumn("caption", text).withColumn(
         "drop_reason",
-        F.when(F.col("caption_style").isNull(), "no caption style")
+        F.when(odd, "unsupported caption style").when(F.col("caption_style").isNull(), "no caption style")
         .when(F.coalesce(F.col("caption"), F.lit("")) == "", "empty caption"),
     )
 

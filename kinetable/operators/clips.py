@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Fixed (width, height) per resolution and aspect ratio. Image and video tables
-# differ only where a resolution is listed for one of them.
-_COMMON_SIZES = {
+# Fixed values: (width, height) per resolution and aspect ratio, for images and for videos.
+IMAGE_SIZES = {
     "1080": {"1,1": (1024, 1024), "4,3": (1440, 1056), "3,4": (1056, 1440), "16,9": (1920, 1056), "9,16": (1056, 1920)},
     "1024": {"1,1": (1024, 1024), "4,3": (1168, 880), "3,4": (880, 1168), "16,9": (1360, 768), "9,16": (768, 1360)},
     "720": {"1,1": (960, 960), "4,3": (960, 704), "3,4": (704, 960), "16,9": (1280, 704), "9,16": (704, 1280)},
@@ -18,10 +17,16 @@ _COMMON_SIZES = {
     "720robocasa": {"1,1": (720, 720), "4,3": (960, 720), "3,4": (720, 960), "16,9": (1280, 720), "9,16": (720, 1280)},
     "256": {"1,1": (256, 256), "4,3": (320, 256), "3,4": (256, 320), "16,9": (320, 192), "9,16": (192, 320)},
 }
-IMAGE_SIZES = dict(_COMMON_SIZES)
 VIDEO_SIZES = {
-    **_COMMON_SIZES,
+    "1080": {"1,1": (1024, 1024), "4,3": (1440, 1056), "3,4": (1056, 1440), "16,9": (1920, 1056), "9,16": (1056, 1920)},
+    "1024": {"1,1": (1024, 1024), "4,3": (1280, 1024), "3,4": (1024, 1280), "16,9": (1280, 768), "9,16": (768, 1280)},
+    "720": {"1,1": (960, 960), "4,3": (960, 704), "3,4": (704, 960), "16,9": (1280, 704), "9,16": (704, 1280)},
+    "512": {"1,1": (512, 512), "4,3": (640, 512), "3,4": (512, 640), "16,9": (640, 384), "9,16": (384, 640)},
+    "480": {"1,1": (480, 480), "4,3": (640, 480), "3,4": (480, 640), "16,9": (768, 432), "9,16": (432, 768)},
+    "480p": {"1,1": (640, 640), "4,3": (640, 480), "3,4": (480, 640), "16,9": (832, 480), "9,16": (480, 832)},
     "720p": {"1,1": (960, 960), "4,3": (960, 720), "3,4": (720, 960), "16,9": (1280, 720), "9,16": (720, 1280)},
+    "720robocasa": {"1,1": (720, 720), "4,3": (960, 720), "3,4": (720, 960), "16,9": (1280, 720), "9,16": (720, 1280)},
+    "256": {"1,1": (256, 256), "4,3": (320, 256), "3,4": (256, 320), "16,9": (320, 192), "9,16": (192, 320)},
 }
 
 

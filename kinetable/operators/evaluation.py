@@ -96,12 +96,14 @@ def aggregate_checkpoint(
 
 
 def breakdown(
-    episodes: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("checkpoint",), inner: str = "dataset_id"
+    episodes: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("checkpoint",), inner: str = "dataset_id",
+    dropping: Sequence[str] = ("gatc", "tcd"),
 ) -> DataFrame:
     """Checkpoint level and checkpoint-by-dataset level in one pass (grouping sets).
 
-    The checkpoint rows carry a null dataset and ``level = 'checkpoint'``.
+    The checkpoint rows carry a null dataset and ``level = 'checkpoint'``. ``dropping`` metrics ignore NaN.
     """
+    episodes = episodes.withColumns({m: _no_nan(m) for m in metrics if m in dropping})
     g = episodes.groupingSets([[F.col(b) for b in by], [F.col(b) for b in [*by, inner]]], *by, inner)
     aggs = [F.grouping(inner).alias("_g"), F.count(F.lit(1)).alias("num_episodes")]
     for m in metrics:

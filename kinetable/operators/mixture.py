@@ -18,20 +18,22 @@ def repeat_factors(
     """Integer repeats so that virtual sizes follow the ratios, relative to the least weight.
 
     Adds ``repeat``, ``virtual_len``, ``virtual_start`` and ``virtual_end`` (exclusive).
-    Half-way cases round to the even neighbour.
+    Half-way cases round to the even neighbour. A mixture has one row for each dataset; it is staged here, so that
+    its minimum, its order and its result read a file and not the input again.
     """
+    datasets = staged(datasets, "mixture-input")
     weight = F.col(ratio) / F.greatest(F.col(length), F.lit(1))
     weighted = datasets.withColumn("_w", weight)
-    floor = weighted.agg(F.min("_w")).scalar()
+    floor = F.lit(weighted.agg(F.min("_w")).first()[0])
     repeat = F.greatest(F.lit(1), F.bround(F.col("_w") / floor)).cast("long")
     sized = weighted.withColumn("repeat", repeat).withColumn("virtual_len", F.col(length) * F.col("repeat"))
     placed = running_sum(sized.drop("_w"), F.col("virtual_len"), [], [order], int_block(order), "virtual_start", "_all")
-    return placed.withColumn("virtual_end", F.col("virtual_start") + F.col("virtual_len")).drop("_all")
+    return staged(placed.withColumn("virtual_end", F.col("virtual_start") + F.col("virtual_len")).drop("_all"), "mixture")
 
 
 def mixture_summary(mixture: DataFrame) -> DataFrame:
     """Share of every dataset in the virtual total."""
-    total = mixture.agg(F.greatest(F.sum("virtual_len"), F.lit(1))).scalar()
+    total = F.lit(max(1, mixture.agg(F.sum("virtual_len")).first()[0] or 0))
     return mixture.withColumn("pct_total", 100.0 * F.col("virtual_len") / total)
 
 
@@ -69,7 +71,7 @@ def virtual_to_real(
     idx: DataFrame, mixture: DataFrame, index: str = "idx", length: str = "real_len"
 ) -> DataFrame:
     """Virtual index to (dataset, real index); indices wrap around the virtual total."""
-    total = mixture.agg(F.max("virtual_end")).scalar()
+    total = F.lit(mixture.agg(F.max("virtual_end")).first()[0])
     wrapped = idx.withColumn("_wrapped", F.pmod(F.col(index), total))
     found = locate(wrapped, mixture, "_wrapped")
     local = F.col("_wrapped") - F.col("virtual_start")

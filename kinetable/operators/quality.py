@@ -118,14 +118,14 @@ def missing_fields(df: DataFrame, required: Sequence[str], present: Column, out:
 
 
 def identity_check(a: DataFrame, b: DataFrame, key: str, vector: str, rtol: float = 1e-4, atol: float = 1e-5) -> DataFrame:
-    """Row-wise vector identity of two tables: ``ok``, ``shape`` or ``value``."""
-    right = b.select(key, F.col(vector).alias("_live"))
-    j = a.select(key, vector).join(right, key, "inner")
+    """Row-wise vector identity of two tables: ``ok``, ``shape`` or ``value``, or the one side that has the key."""
+    right = b.select(key, F.col(vector).alias("_live"), F.lit(True).alias("_right"))
+    j = a.select(key, vector, F.lit(True).alias("_left")).join(right, key, "full")
     same_len = F.size(vector) == F.size("_live")
     gap = F.array_max(F.zip_with(vector, "_live", lambda x, y: F.abs(x - y)))
     return j.select(
         key,
-        F.when(~same_len, "shape").when(within_tolerance(F.col(vector), F.col("_live"), rtol, atol), "ok")
+        F.when(F.col("_right").isNull(), "only cached").when(F.col("_left").isNull(), "only live").when(~same_len, "shape").when(within_tolerance(F.col(vector), F.col("_live"), rtol, atol), "ok")
         .otherwise("value").alias("result"),
         F.when(same_len, gap).alias("max_abs_diff"),
     )
@@ -171,12 +171,16 @@ def worst_mismatches(episodes: DataFrame, top: int = 5, a: str = "n_kin_source",
 
 
 def merge_reindex(shards: DataFrame, order: str = "orig_idx", task: str = "instruction", length: str = "length") -> DataFrame:
-    """Global episode ids, frame offsets and first-seen task ids in discovery order."""
+    """Global episode ids, frame offsets and first-seen task ids in discovery order.
+
+    Episodes without instruction share one task of null text.
+    """
     placed = position(shards, [], [order], int_block(order), "episode_index")
     framed = running_sum(placed, F.col(length), [], [order], int_block(order), "frame_offset")
     first = shards.groupBy(task).agg(F.min(order).alias("_first"))
     tasks = position(first, [], ["_first"], int_block("_first"), "task_index").drop("_first")
-    return framed.join(tasks, task, "inner")
+    tasks = tasks.select(F.col(task).alias("_task"), "task_index")
+    return framed.join(tasks, F.col(task).eqNullSafe(F.col("_task")), "inner").drop("_task")
 
 
 # --- reports ---------------------------------------------------------------------------
@@ -332,14 +336,16 @@ def compare_versions(lo: DataFrame, hi: DataFrame, key: str = "dataset_id") -> D
     """Two summaries per dataset, field by field: strict, informational or warning.
 
     Summaries carry the strict and informational fields, ``total_tasks``,
-    ``n_parquet_files`` and ``n_video_files``. Missing numbers compare as different.
+    ``n_parquet_files`` and ``n_video_files``. Missing numbers compare as different. A dataset of one
+    side only gets one row, field ``dataset``, severity ERROR.
     """
     fields = [*STRICT_FIELDS, "total_tasks", *INFO_FIELDS]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(key, *[F.col(f).alias(f"{tag}_{f}") for f in df.columns if f != key])
+        return df.select(key, *[F.col(f).alias(f"{tag}_{f}") for f in df.columns if f != key], F.lit(tag).alias(f"_{tag}"))
 
-    j = side(lo, "lo").join(side(hi, "hi"), key, "inner")
+    j = side(lo, "lo").join(side(hi, "hi"), key, "full")
+    alone = F.array(F.struct(F.lit("dataset").alias("field"), F.col("_lo").alias("lo_value"), F.col("_hi").alias("hi_value")))
     rows = [
         F.struct(F.lit(f).alias("field"), F.col(f"lo_{f}").cast("string").alias("lo_value"), F.col(f"hi_{f}").cast("string").alias("hi_value"))
         for f in fields
@@ -349,7 +355,8 @@ def compare_versions(lo: DataFrame, hi: DataFrame, key: str = "dataset_id") -> D
                              F.col(f"{tag}_total_episodes").cast("string").alias("hi_value")))
         rows.append(F.struct(F.lit(f"{tag}.video_files").alias("field"), F.col(f"{tag}_n_video_files").cast("string").alias("lo_value"),
                              (F.col(f"{tag}_n_cameras") * F.col(f"{tag}_total_episodes")).cast("string").alias("hi_value")))
-    long = j.select(key, F.inline(F.array(*rows)))
+    paired = F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
+    long = j.select(key, F.inline(F.when(paired, F.array(*rows)).otherwise(alone)))
     same = F.col("lo_value").eqNullSafe(F.col("hi_value"))
     sev = (
         F.when(F.col("field").isin(*INFO_FIELDS), "INFO").when(same, "OK")

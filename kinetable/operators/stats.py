@@ -222,20 +222,24 @@ def normalize_with(
     long: DataFrame, stats: DataFrame, modes: dict[str, str], by: Sequence[str] = ("dataset_id", "key", "dim"),
     value: str = "value", out: str = "normalized", inverse: bool = False,
 ) -> DataFrame:
-    """Normalise a long table by equi-join on its statistics; ``modes`` is per key."""
+    """Normalise a long table by equi-join on its statistics; ``modes`` is per key.
+
+    Keys outside ``modes`` pass through. A key in ``modes`` without statistics is an error of the row that has it.
+    """
     from kinetable.functions.vectors import denormalize_value, normalize_value
 
     names = ("mean", "std", "min", "max", "q01", "q99")
     right = stats.select(*by, *[F.col(n).alias(f"_s_{n}") for n in names])
-    joined = long.join(right, list(by), "inner")
+    joined = long.join(right.withColumn("_s_found", F.lit(True)), list(by), "left")
     s = {n: F.col(f"_s_{n}") for n in names}
     fn = denormalize_value if inverse else normalize_value
     result = None
     for key, mode in modes.items():
         hit = F.col("key") == key
-        v = fn(F.col(value), s, mode)
+        missing = F.raise_error(F.concat_ws(" ", F.lit("no statistics for"), F.concat_ws("/", *[F.col(b).cast("string") for b in by]))).cast("double")
+        v = F.when(F.col("_s_found"), fn(F.col(value), s, mode)).otherwise(missing)
         result = F.when(hit, v) if result is None else result.when(hit, v)
-    return joined.withColumn(out, result.otherwise(F.col(value))).drop(*[f"_s_{n}" for n in names])
+    return joined.withColumn(out, result.otherwise(F.col(value))).drop("_s_found", *[f"_s_{n}" for n in names])
 
 
 def episode_stats(frames: DataFrame, by: Sequence[str] = ("dataset_id", "episode_index")) -> DataFrame:
@@ -292,22 +296,14 @@ def dim_health(
 def subset_share(df: DataFrame, subset: str, vector: str) -> DataFrame:
     """Samples, share, mean and std per subset; a null subset is ``<unknown>``.
 
-    Per-row sums keep the exploded vector out of the shuffle.
+    Moments are merged, never differences of large sums, and combined before the exchange, so the exploded
+    elements stay in their tasks. A sample without elements counts as a sample only. One scan.
     """
-    size = F.size(vector)
-    s1 = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x)
-    s2 = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
-    named = df.select(F.coalesce(F.col(subset).cast("string"), F.lit("<unknown>")).alias("subset"),
-                      size.alias("_k"), s1.alias("_s1"), s2.alias("_s2"))
+    named = df.select(F.coalesce(F.col(subset).cast("string"), F.lit("<unknown>")).alias("subset"), F.posexplode_outer(vector).alias("_at", "_v"))
     g = named.groupBy("subset").agg(
-        F.count(F.lit(1)).alias("samples"), F.sum("_k").alias("_k"), F.sum("_s1").alias("_s1"), F.sum("_s2").alias("_s2")
-    )
-    total = named.agg(F.count(F.lit(1))).scalar()
-    mean = F.col("_s1") / F.col("_k")
-    return g.select(
-        "subset", "samples", (100.0 * F.col("samples") / total).alias("pct"), mean.alias("mean"),
-        F.sqrt(F.greatest(F.col("_s2") / F.col("_k") - mean * mean, F.lit(0.0))).alias("std"),
-    )
+        F.sum(F.when(F.coalesce("_at", F.lit(0)) == 0, 1).otherwise(0)).alias("samples"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+    share = 100.0 * F.col("samples") / F.sum("samples").over(Window.partitionBy(F.lit(0)))
+    return g.select("subset", "samples", share.alias("pct"), "mean", "std")
 
 
 def _moments(df: DataFrame, vector: str, tag: str) -> DataFrame:
@@ -317,8 +313,9 @@ def _moments(df: DataFrame, vector: str, tag: str) -> DataFrame:
 
 
 def dim_drift(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
-    """Per-dim absolute differences of mean and std between two tables."""
-    joined = _moments(a, vector, "a").join(_moments(b, vector, "b"), "dim", "inner")
+    """Per-dim absolute differences of mean and std; a dim of one table only has none, and a ``reason``."""
+    joined = _moments(a, vector, "a").join(_moments(b, vector, "b"), "dim", "full")
+    joined = joined.withColumn("reason", F.when(F.col("n_a").isNull(), "only in b").when(F.col("n_b").isNull(), "only in a"))
     return joined.withColumn("mean_diff", F.abs(F.col("mean_a") - F.col("mean_b"))).withColumn(
         "std_diff", F.abs(F.col("std_a") - F.col("std_b"))
     )
@@ -327,14 +324,13 @@ def dim_drift(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
 def compare_distributions(
     a: DataFrame, b: DataFrame, vector: str, order: str, matched: bool = False, tol: float = DRIFT_TOL,
 ) -> DataFrame:
-    """Worst and average drift over dims. ``matched`` uses the first N samples of both."""
+    """Worst and average drift over dims. ``matched`` uses the first N samples of both. Dims of one side only are
+    counted in ``unmatched_dims`` and make the status WARN."""
     from kinetable.operators.ranking import int_block, position
 
     if matched:
-        pa = position(a, [], [order], int_block(order), "_i", "_na")
-        pb = position(b, [], [order], int_block(order), "_i", "_nb")
-        na, nb = a.agg(F.count(F.lit(1))).scalar(), b.agg(F.count(F.lit(1))).scalar()
-        a, b = pa.where(F.col("_i") < F.least(na, nb)), pb.where(F.col("_i") < F.least(na, nb))
+        n = min(a.count(), b.count())
+        a, b = (position(x, [], [order], int_block(order), "_i").where(F.col("_i") < n) for x in (a, b))
     d = dim_drift(a, b, vector)
 
     def argmax(col: str) -> Column:
@@ -346,8 +342,9 @@ def compare_distributions(
         F.max("mean_diff").alias("max_mean_diff"), argmax("mean_diff").alias("max_mean_dim"),
         F.max("std_diff").alias("max_std_diff"), argmax("std_diff").alias("max_std_dim"),
         F.avg("mean_diff").alias("avg_mean_diff"), F.avg("std_diff").alias("avg_std_diff"),
+        F.count("reason").alias("unmatched_dims"),
     )
-    ok = (F.col("max_mean_diff") < tol) & (F.col("max_std_diff") < tol)
+    ok = (F.col("max_mean_diff") < tol) & (F.col("max_std_diff") < tol) & (F.col("unmatched_dims") == 0)
     return g.withColumn("status", F.when(ok, "OK").otherwise("WARN"))
 
 

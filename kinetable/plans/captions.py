@@ -63,6 +63,16 @@ _PICK = view("captions") + f""", w AS (SELECT clip_id, {u_sql('clip_id', 4)} AS
     p AS (SELECT clip_id, CASE WHEN wl > 0 AND u * tot < wl THEN 'long' WHEN wm > 0 AND u * tot < wl + wm THEN 'medium' WHEN wu > 0 AND u * tot < wl + wm + wu THEN 'user' END AS style FROM s)"""
 
 
+@query("w30_unsupported_style", view("captions") + """ SELECT clip_id, CASE WHEN clip_id % 4 IN (0, 2) THEN 'long' ELSE '' END AS style,
+    CASE clip_id % 4 WHEN 1 THEN 'unsupported caption style' WHEN 3 THEN 'no caption style' ELSE '' END AS reason FROM captions""")
+def _(t):
+    i = F.col("clip_id") % 4
+    some = lambda *ks: F.create_map(*[F.lit(x) for k in ks for x in (k, "text")])
+    styles = F.when(i == 0, some("long")).when(i == 1, some("long", "poem")).when(i == 2, some("long", "startframe")).otherwise(some("endframe"))
+    p = C.pick_caption(t["captions"].select("clip_id", styles.alias("captions")), lcg_uniform("clip_id", 4))
+    return p.select("clip_id", F.coalesce("caption_style", F.lit("")).alias("style"), F.coalesce("drop_reason", F.lit("")).alias("reason"))
+
+
 @query("w30_pick_caption", _PICK + """ SELECT clip_id, coalesce(style, '') AS style, CASE WHEN style IS NULL THEN 'no caption style' WHEN style = 'medium' AND clip_id % 7 = 0 THEN 'empty caption' ELSE '' END AS reason FROM p""")
 def _(t):
     i = F.col("clip_id")

@@ -108,7 +108,27 @@ def _sized(t):
     return C.lookup_resolution(d)
 
 
-_SIZES = "(VALUES " + ", ".join(f"('{res}', '{a}', {w}, {h})" for res in ("720", "256") for a, (w, h) in C.VIDEO_SIZES[res].items()) + ") AS sz(res, asp, tw, th)"
+_SIZES = """(VALUES ('720', '1,1', 960, 960), ('720', '4,3', 960, 704), ('720', '3,4', 704, 960), ('720', '16,9', 1280, 704), ('720', '9,16', 704, 1280),
+    ('256', '1,1', 256, 256), ('256', '4,3', 320, 256), ('256', '3,4', 256, 320), ('256', '16,9', 320, 192), ('256', '9,16', 192, 320)) AS sz(res, asp, tw, th)"""
+
+# Width and height for 1,1 / 4,3 / 16,9; the upright ratios are the flat ones turned.
+_SHARED = """('1080', 1024, 1024, 1440, 1056, 1920, 1056), ('720', 960, 960, 960, 704, 1280, 704), ('512', 512, 512, 640, 512, 640, 384),
+    ('480', 480, 480, 640, 480, 768, 432), ('480p', 640, 640, 640, 480, 832, 480), ('720robocasa', 720, 720, 960, 720, 1280, 720), ('256', 256, 256, 320, 256, 320, 192)"""
+_ALL_SIZES = f"""img AS (SELECT * FROM (VALUES {_SHARED}, ('1024', 1024, 1024, 1168, 880, 1360, 768)) AS v(res, w1, h1, w4, h4, w16, h16)),
+    vid AS (SELECT * FROM (VALUES {_SHARED}, ('1024', 1024, 1024, 1280, 1024, 1280, 768), ('720p', 960, 960, 960, 720, 1280, 720)) AS v(res, w1, h1, w4, h4, w16, h16)),
+    p AS (SELECT p_partkey, {_RATIO} AS asp, ['1080', '1024', '720', '512', '480', '480p', '720p', '720robocasa', '256', 'none'][p_partkey // 5 % 10 + 1] AS res FROM part)
+    SELECT p_partkey, CASE asp WHEN '1,1' THEN w1 WHEN '4,3' THEN w4 WHEN '3,4' THEN h4 WHEN '16,9' THEN w16 ELSE h16 END AS target_w,
+    CASE asp WHEN '1,1' THEN h1 WHEN '4,3' THEN h4 WHEN '3,4' THEN w4 WHEN '16,9' THEN h16 ELSE w16 END AS target_h FROM p LEFT JOIN """
+
+
+def _all_sizes(t, kind):
+    asp = F.get(F.array(*[F.lit(a) for a in ("1,1", "4,3", "3,4", "16,9", "9,16")]), (F.col("p_partkey") % 5).cast("int"))
+    res = F.get(F.array(*[F.lit(a) for a in ("1080", "1024", "720", "512", "480", "480p", "720p", "720robocasa", "256", "none")]), (F.floor(F.col("p_partkey") / 5) % 10).cast("int"))
+    return C.lookup_resolution(t["part"].select("p_partkey", res.alias("resolution"), asp.alias("aspect_ratio")), kind).select("p_partkey", "target_w", "target_h")
+
+
+query("p9_image_sizes", f"WITH {_ALL_SIZES} img USING (res)")(lambda t: _all_sizes(t, "image"))
+query("p9_video_sizes", f"WITH {_ALL_SIZES} vid USING (res)")(lambda t: _all_sizes(t, "video"))
 
 
 @query("p9_lookup_resolution", f"SELECT p_partkey, tw AS target_w, th AS target_h FROM part JOIN {_SIZES} ON res = CASE WHEN p_size % 2 = 0 THEN '720' ELSE '256' END AND asp = {_RATIO}")

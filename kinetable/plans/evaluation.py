@@ -66,6 +66,14 @@ def _(t):
                     *[r(f"{m}_{s}").alias(f"{m}_{s}") for m in ("mean_l1", "tcd") for s in ("mean", "std", "ci_lo", "ci_hi")])
 
 
+@query("a13_breakdown_missing_scores", _EPS + f""", m AS (SELECT * REPLACE (CASE WHEN episode_index % 3 = 0 THEN NULL ELSE tcd END AS tcd) FROM ep) SELECT checkpoint, coalesce(dataset_id, -1) AS dataset_id, count(*) AS num_episodes,
+    {_nulls('avg(tcd)')} AS tcd_mean, {_nulls('stddev_pop(tcd)')} AS tcd_std FROM m GROUP BY GROUPING SETS ((checkpoint), (checkpoint, dataset_id))""")
+def _(t):
+    e = _episodes(t).withColumn("tcd", F.when(F.col("episode_index") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("tcd")))
+    b = E.breakdown(e, ["mean_l1", "tcd"])
+    return b.select("checkpoint", F.coalesce("dataset_id", F.lit(-1)).alias("dataset_id"), "num_episodes", _null("tcd_mean"), _null("tcd_std"))
+
+
 @query("w37_rank_checkpoints", _EPS + """, a AS (SELECT checkpoint, avg(mean_l1) AS l1, avg(gatc) AS gatc, avg(tcd) AS tcd FROM ep GROUP BY checkpoint)
     SELECT checkpoint, 'l1' AS metric, row_number() OVER (ORDER BY l1, checkpoint) AS rank FROM a UNION ALL SELECT checkpoint, 'gatc', row_number() OVER (ORDER BY gatc DESC, checkpoint) FROM a
     UNION ALL SELECT checkpoint, 'tcd', row_number() OVER (ORDER BY tcd, checkpoint) FROM a""")

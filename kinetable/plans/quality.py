@@ -136,6 +136,14 @@ def _(t):
     return Q.merge_reindex(s).select("orig_idx", "episode_index", "frame_offset", "task_index")
 
 
+@query("w36_merge_without_instruction", """WITH s AS (SELECT o_orderkey AS orig_idx, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS instruction FROM orders),
+    f AS (SELECT instruction, row_number() OVER (ORDER BY min(orig_idx)) - 1 AS task_index FROM s GROUP BY instruction)
+    SELECT orig_idx, task_index FROM s JOIN f ON s.instruction IS NOT DISTINCT FROM f.instruction""")
+def _(t):
+    s = t["orders"].select(F.col("o_orderkey").alias("orig_idx"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("instruction"), F.lit(5).alias("length"))
+    return Q.merge_reindex(s).select("orig_idx", "task_index")
+
+
 @query("q1_reconcile", """WITH e AS (SELECT o_custkey % 9 AS dataset_id, count(*) AS le, CAST(sum(o_custkey % 50 + 1) AS BIGINT) AS sf FROM orders GROUP BY 1), f AS (SELECT o_custkey % 9 AS dataset_id, count(*) AS fc FROM orders WHERE NOT (o_custkey % 9 = 4 AND o_orderkey % 50 = 0) GROUP BY 1)
     SELECT dataset_id, le AS total_episodes, le AS listed_episodes, fc AS file_count, sf AS summed_frames, le = fc AS episodes_ok, dataset_id <> 2 AS frames_ok FROM e JOIN f USING (dataset_id)""")
 def _(t):
@@ -238,6 +246,12 @@ def _(t):
     return Q.compare_versions(_summary(t, False), _summary(t, True)).select("dataset_id", "field", "severity")
 
 
+@query("q4_compare_one_sided", """SELECT DISTINCT o_custkey % 12 AS dataset_id, CASE WHEN o_custkey % 12 = 1 THEN 'lo' ELSE 'hi' END AS side, 'ERROR' AS severity FROM orders WHERE o_custkey % 12 IN (1, 2)""")
+def _(t):
+    c = Q.compare_versions(_summary(t, False).where("dataset_id <> 2"), _summary(t, True).where("dataset_id <> 1")).where("field = 'dataset'")
+    return c.select("dataset_id", F.coalesce("lo_value", "hi_value").alias("side"), "severity")
+
+
 @query("q4_version_lengths", """WITH l AS (SELECT o_custkey % 12 AS d, o_custkey % 50 + 1 AS len FROM orders), h AS (SELECT d, CASE WHEN d = 3 THEN len + 1 ELSE len END AS len FROM l),
     c AS (SELECT d, len, sum(s) AS s FROM (SELECT d, len, 1 AS s FROM l UNION ALL SELECT d, len, -1 FROM h) GROUP BY 1, 2)
     SELECT d AS dataset_id, CAST(sum(greatest(s, 0)) AS BIGINT) AS lo_unmatched, CAST(sum(greatest(-s, 0)) AS BIGINT) AS hi_unmatched, CASE WHEN bool_and(s = 0) THEN 'OK' ELSE 'ERROR' END AS severity FROM c GROUP BY d""")

@@ -119,6 +119,13 @@ def _(t):
     return S.subset_share(f, "subset", "emb").select("subset", "samples", r("pct").alias("pct"), r("mean").alias("mean"), r("std").alias("std"))
 
 
+@query("a7_subset_share_large_mean", _DIMS + f""", s AS (SELECT dataset_id % 2 AS subset, vec_id, CAST(round(v * 8) AS DOUBLE) AS v FROM x)
+    SELECT CAST(subset AS VARCHAR) AS subset, count(DISTINCT vec_id) AS samples, {rs('stddev_pop(v)', 3)} AS std FROM s GROUP BY subset""")
+def _(t):
+    f = t["frames"].select((F.col("dataset_id") % 2).alias("subset"), F.transform("emb", lambda v: F.round(v.cast("double") * 8) + 1e8).alias("v"))
+    return S.subset_share(f, "subset", "v").select("subset", "samples", r("std", 3).alias("std"))
+
+
 def _drift_sql(limit):
     return view("frames") + f""", x AS (SELECT dataset_id % 2 AS side, d AS dim, emb[d + 1] AS v FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id % 2 ORDER BY vec_id) AS rn FROM frames), range(0, 64) AS g(d) {limit}),
     m AS (SELECT dim, avg(v) FILTER (side = 0) AS ma, avg(v) FILTER (side = 1) AS mb, stddev_pop(v) FILTER (side = 0) AS sa, stddev_pop(v) FILTER (side = 1) AS sb, count(v) FILTER (side = 0) AS na, count(v) FILTER (side = 1) AS nb FROM x GROUP BY dim),
@@ -146,6 +153,14 @@ def _(t):
     return d.select("dim", r("mean_diff").alias("mean_diff"), r("std_diff").alias("std_diff"))
 
 
+@query("a8_unmatched_dims", view("frames") + """ SELECT 64 - 60 AS unmatched_dims, count(*) FILTER (dataset_id % 2 = 0) AS n_a, 'WARN' AS status FROM frames""")
+def _(t):
+    f = t["frames"]
+    short = f.where("dataset_id % 2 = 1").withColumn("emb", F.slice("emb", 1, 60))
+    d = S.compare_distributions(f.where("dataset_id % 2 = 0"), short, "emb", "vec_id", tol=1e9)
+    return d.select(F.col("unmatched_dims").cast("int").alias("unmatched_dims"), "n_a", "status")
+
+
 @query("a9_health_verdict", _DIMS + """, c AS (SELECT dataset_id, dim, stddev_pop(v) > 0.08 AND abs(avg(v)) < 0.05 AS passed FROM x GROUP BY ALL)
     SELECT dataset_id, count(*) AS checks, count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS healthy FROM c GROUP BY dataset_id""")
 def _(t):

@@ -150,6 +150,24 @@ def _(t):
     return out.select("vec_id", "key", "dim", r("normalized").alias("v"))
 
 
+@query("j3_normalize_pass_through", view("frames") + f""", long AS (SELECT vec_id, k AS key, d - lo AS dim, emb[d + 1] AS value
+      FROM frames, (VALUES ('joints', 16, 22), ('xyz', 28, 31)) AS s(k, lo, hi), range(16, 31) AS g(d) WHERE d >= lo AND d < hi)
+    SELECT vec_id, key, CAST(dim AS INTEGER) AS dim, {rs("CASE WHEN key = 'joints' THEN (value - 0.25::DOUBLE) / 2 ELSE value END")} AS v FROM long""")
+def _(t):
+    parts = F.inline(F.array(F.struct(F.lit("joints").alias("key"), V.slice_range("emb", 16, 22).alias("vec")),
+                             F.struct(F.lit("xyz").alias("key"), V.slice_range("emb", 28, 31).alias("vec"))))
+    long = S.explode_dims(t["frames"].select("dataset_id", "vec_id", parts), "vec", ["dataset_id", "vec_id", "key"])
+    stats = long.where("key = 'joints'").select("dataset_id", "key", "dim").distinct().select(
+        "*", F.lit(0.25).alias("mean"), F.lit(2.0).alias("std"), *[F.lit(0.0).alias(c) for c in ("min", "max", "q01", "q99")])
+    return S.normalize_with(long, stats, {"joints": "mean_std"}).select("vec_id", "key", "dim", r("normalized").alias("v"))
+
+
+@query("j10_identity_one_sided", view("frames") + """ SELECT vec_id, CASE WHEN vec_id % 5 = 1 THEN 'only cached' WHEN vec_id % 5 = 2 THEN 'only live' ELSE 'ok' END AS result FROM frames""")
+def _(t):
+    f = t["frames"].select("vec_id", "emb")
+    return Q.identity_check(f.where("vec_id % 5 <> 2"), f.where("vec_id % 5 <> 1"), "vec_id", "emb").select("vec_id", "result")
+
+
 @query("j10_identity_check", view("frames") + """ SELECT a.vec_id, CASE WHEN b.vec_id % 11 = 0 THEN 'shape' WHEN b.vec_id % 7 = 0 THEN 'value' ELSE 'ok' END AS result
     FROM frames a JOIN frames b USING (vec_id)""")
 def _(t):

@@ -227,6 +227,15 @@ def _(t):
     return A.attach_task(steps, f, tasks, 3).select("episode_index", "base_index", "task")
 
 
+@query("j1_missing_task", """SELECT o_orderkey AS episode_index, CASE WHEN o_orderkey % 3 = 0 THEN 'frame missing' WHEN o_orderkey % 5 IN (3, 4) THEN 'task missing' ELSE '' END AS reason,
+    CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 < 3 THEN r_name ELSE '' END AS task FROM orders LEFT JOIN region ON r_regionkey = o_orderkey % 5""")
+def _(t):
+    o = t["orders"].select(F.lit(1).alias("dataset_id"), F.col("o_orderkey").alias("episode_index"), F.lit(0).cast("long").alias("base_index"), F.lit(1).cast("long").alias("length"))
+    f = o.where("episode_index % 3 <> 0").select("dataset_id", "episode_index", F.lit(0).cast("long").alias("frame_index"), (F.col("episode_index") % 5).alias("task_index"))
+    tasks = t["region"].where("r_regionkey < 3").select(F.lit(1).alias("dataset_id"), F.col("r_regionkey").cast("long").alias("task_index"), F.col("r_name").alias("task"))
+    return A.attach_task(o, f, tasks).select("episode_index", F.coalesce("drop_reason", F.lit("")).alias("reason"), F.coalesce("task", F.lit("")).alias("task"))
+
+
 @query("j2_attach_reference", view("frames") + f""" SELECT episode_index, frame_index AS base_index, {rs('emb[23]')} AS ref0 FROM frames WHERE frame_index % 4 = 0""")
 def _(t):
     f = A.slice_modality(t["frames"], [A.Slice("state", "joints", 22, 28, "emb")])
