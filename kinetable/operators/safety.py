@@ -28,63 +28,60 @@ CODE_CATEGORIES = {
     "S13": "Elections", "s14": "Code Interpreter Abuse",
 }
 
-_TERMS_PER_PATTERN = 500
-# Up to this many terms, plain substring tests are cheaper than one more pattern pass.
-_SUBSTRING_TERMS = 200
-
-
 def normalize_terms(terms: Sequence[str]) -> list[str]:
     """Whitespace- and case-normalised terms in list order without repeats or blanks."""
     seen = dict.fromkeys(re.sub(r"\s+", " ", t).strip().lower() for t in terms)
     return [t for t in seen if t]
 
 
-def _may_contain(text: Column, words: Sequence[str]) -> Column | None:
-    """Cheap necessary condition for a term to occur; null when the list is too long for it.
-
-    Only the first word of a term is looked for, in the lower-cased raw text: folding
-    non-ASCII characters and spacing touches nothing inside a word of plain ASCII.
-    """
-    heads = list(dict.fromkeys(w.split()[0] for w in words))
-    if len(heads) > _SUBSTRING_TERMS or not all(h.isascii() for h in heads):
-        return None
-    low = F.lower(text)
-    out = low.contains(heads[0])
-    for h in heads[1:]:
-        out = out | low.contains(h)
-    return out
+def term_table(df: DataFrame, terms: Sequence[str] | DataFrame) -> DataFrame:
+    """``(term, term_order)`` from a list, or from a table of these two columns of any size: normalised, no repeats."""
+    if not isinstance(terms, DataFrame):
+        words = list(dict.fromkeys(terms))
+        terms = local_table(df.sparkSession, {"term": words, "term_order": list(range(len(words)))}, "term string, term_order long")
+    named = terms.select(norm_text("term").alias("term"), F.col("term_order").cast("long").alias("term_order"))
+    return named.where("term <> ''").groupBy("term").agg(F.min("term_order").alias("term_order"))
 
 
 def _normal(text: str, fold: bool) -> Column:
     return norm_text(to_ascii(text) if fold else F.col(text))
 
 
+# A text is known by its own 128-bit hash: what a text holds does not depend on the row, so rows with null or
+# repeated keys are screened like all others, and equal texts share one result.
+_TEXT_ID = ("_text_a", "_text_b")
+
+
+def _identified(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumns({_TEXT_ID[0]: F.xxhash64(text), _TEXT_ID[1]: F.xxhash64(F.lit("text"), F.col(text))})
+
+
+def _with_hits(df: DataFrame, hits: DataFrame) -> DataFrame:
+    """``df`` (identified) with the columns of ``hits``; staged first, so Spark knows its size and may broadcast it."""
+    return df.join(staged(hits, "text-hits"), list(_TEXT_ID), "left").drop(*_TEXT_ID)
+
+
 def exact_block(
-    df: DataFrame, terms: Sequence[str], text: str = "text", out: str = "exact_term", fold: bool = False,
+    df: DataFrame, terms: Sequence[str] | DataFrame, text: str = "text", out: str = "exact_term", fold: bool = False,
 ) -> DataFrame:
     """First listed term found as a whole word (case and spacing ignored), else null.
 
-    ``fold`` reads the text with non-ASCII runs as spaces. Cheap tests decide whether a
-    row can match at all; only such rows are normalised and tested term by term.
+    ``fold`` reads the text with non-ASCII runs as spaces. Runs of word characters meet the first such run of each
+    term by equi-join, whatever the length of the list; only those candidates are tested as patterns.
     """
-    words = normalize_terms(terms)
-    if not words:
-        return df.withColumn(out, F.lit(None).cast("string"))
-    patterns = [rf"\b{re.escape(w)}\b" for w in words]
-    may = _may_contain(F.col(text), words)
-    norm = _normal(text, fold)
-    normed = with_once(df, "_norm", norm if may is None else F.when(may, norm))
-    hit = F.col("_norm").isNotNull() if may is not None else None
-    for i in range(0, len(patterns) if may is None else 0, _TERMS_PER_PATTERN):
-        part = F.col("_norm").rlike("|".join(patterns[i : i + _TERMS_PER_PATTERN]))
-        hit = part if hit is None else hit | part
-    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in zip(words, patterns)])
-    first = F.get(F.filter(table, lambda t: F.rlike(F.col("_norm"), t["p"])), F.lit(0))["w"]
-    return with_once(normed, out, F.when(hit, first)).drop("_norm")
-
-
-def _deletion_budgets(words: Sequence[str], slack: float) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
-    """How many characters candidates and terms may lose, by (word count, length).
+    head = F.regexp_extract("term", r"\w+", 0)
+    listed = term_table(df, terms).withColumn("head", head)
+    rows = _identified(df, text)
+    runs = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(_normal(text, fold), F.lit(r"(\w+)"))))
+    met = rows.select(*_TEXT_ID, F.explode(runs).alias("head")).join(listed, "head")
+    joined = _with_hits(rows, met.groupBy(*_TEXT_ID).agg(F.collect_set(F.struct("term_order", "term")).alias("_met")))
+    quoted = lambda t: F.concat(F.lit(r"\b\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    first = let(_normal(text, fold), lambda norm: F.array_min(F.filter("_met", lambda m: F.rlike(norm, quoted(m["term"])))))["term"]
+    return with_once(joined, out, F.when(F.col("_met").isNotNull(), first)).drop("_met")
+
+
+def _deletion_budgets(shapes: Sequence[tuple[int, int]], slack: float) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
+    """How many characters candidates and terms may lose, by (word count, length); ``shapes`` are those of the terms.
 
     A term of length ``n`` and a candidate of length ``m`` pass only if they share a
     subsequence of at least ``(n - slack) * (m + n) / (2 * n)`` characters. Lengths that
@@ -92,8 +89,7 @@ def _deletion_budgets(words: Sequence[str], slack: float) -> tuple[dict[tuple[in
     """
     cand: dict[tuple[int, int], int] = {}
     term: dict[tuple[int, int], int] = {}
-    for w in words:
-        n, k = len(w), len(w.split())
+    for k, n in shapes:
         if slack >= n:
             raise ValueError("slack must be smaller than every term")
         for m in range(1, math.floor(n * (n + slack) / (n - slack) + 1e-9) + 1):
@@ -141,44 +137,31 @@ def word_ngrams(norm: Column, counts: Sequence[int]) -> Column:
     return let(words, lambda ws: F.array_distinct(F.concat(*[runs(ws, n) for n in counts])))
 
 
-def partial_block(
-    df: DataFrame, terms: Sequence[str], key: str, text: str = "text", min_chars: int = 6, slack: float = 0.4,
-    fold: bool = False,
-) -> DataFrame:
-    """Rows whose text holds a word run similar to a term: ``(key, partial_term)``.
+def _partial_hits(rows: DataFrame, terms: DataFrame, text: str, min_chars: int, slack: float, fold: bool) -> DataFrame:
+    """``(text id, partial_term)`` of texts that hold a word run similar to a term, the earliest listed first.
 
-    Similar means a matching-block ratio of at least ``(len - slack) / len``. Two
-    strings that pass share a common subsequence, so they meet on a string reached by
-    deleting a few characters from each: an equi-join finds every candidate without
-    comparing all pairs, and the ratio itself decides. The earliest listed term wins.
+    Two strings that pass share a common subsequence, so they meet on a string reached by deleting a few
+    characters from each: an equi-join finds every candidate without comparing all pairs, and the ratio itself
+    decides. With a small slack nothing may be deleted, and the join is on the term itself: the same path.
     """
-    words = [w for w in normalize_terms(terms) if len(w) >= min_chars]
-    spark = df.sparkSession
-    if not words:
-        return df.select(key, F.lit(None).cast("string").alias("partial_term")).where("false")
-    cand, term = _deletion_budgets(words, slack)
-    equal_only = _equal_only(words, slack)
-    may = _may_contain(F.col(text), words) if equal_only else None
-    if may is not None:
-        return add_partial(df.select(key, text), terms, key, text, min_chars, slack, fold).where(
-            "partial_term IS NOT NULL"
-        ).select(key, "partial_term")
-    kept = with_once(df.select(key, text), "_norm", _normal(text, fold)).select(key, "_norm")
-    listed = local_table(
-        spark,
-        {
-            "term_order": list(range(len(words))), "term": words, "n_words": [len(w.split()) for w in words],
-            "floor": [(len(w) - slack) / len(w) for w in words], "depth": [term[len(w.split()), len(w)] for w in words],
-        },
-        "term_order int, term string, n_words int, floor double, depth int",
-    )
-    grams = kept.select(key, F.explode(word_ngrams(F.col("_norm"), sorted({len(w.split()) for w in words}))).alias("gram"))
-    # Most runs of words have a length no term allows; they never leave this task.
-    budget = F.create_map(*[x for (k, m), d in sorted(cand.items()) for x in (F.lit(f"{k}|{m}"), F.lit(d))])
+    long = terms.where(F.length("term") >= min_chars).withColumn("n_words", F.size(F.split("term", " ")))
+    # The few (words, length) shapes of the list fix how much may be deleted, and which runs of words can pass at all.
+    shapes = [(int(a), int(b)) for a, b in long.select("n_words", F.length("term")).distinct().collect()]
+    if not shapes:
+        return rows.select(*_TEXT_ID, F.lit(None).cast("string").alias("partial_term")).where("false")
+    cand, term = _deletion_budgets(shapes, slack)
+
+    def budget(of: dict[tuple[int, int], int], c: Column, n: Column) -> Column:
+        table = F.create_map(*[x for (k, m), d in sorted(of.items()) for x in (F.lit(f"{k}|{m}"), F.lit(d))])
+        return F.try_element_at(table, F.concat_ws("|", n.cast("string"), F.length(c).cast("string")))
+
     n_words = F.size(F.split("gram", " "))
-    depth = F.try_element_at(budget, F.concat_ws("|", n_words.cast("string"), F.length("gram").cast("string")))
-    grams = grams.withColumn("depth", depth).where(F.col("depth").isNotNull())
-    if equal_only:
+    grams = rows.select(*_TEXT_ID, F.explode(word_ngrams(_normal(text, fold), sorted({k for k, _ in shapes}))).alias("gram"))
+    # Most runs of words have a length no term allows; they never leave this task.
+    grams = grams.withColumn("depth", budget(cand, F.col("gram"), n_words)).where(F.col("depth").isNotNull())
+    listed = long.withColumns({"depth": budget(term, F.col("term"), F.col("n_words")), "floor": (F.length("term") - slack) / F.length("term")})
+    if not any(cand.values()) and not any(term.values()):
+        # Nothing to delete on either side: the only meeting string is the run itself, and its ratio is 1.
         hits = listed.select(F.col("term").alias("gram"), "term", "term_order")
     else:
         once = grams.select("gram", "depth").distinct().withColumn("n_words", n_words)
@@ -187,75 +170,77 @@ def partial_block(
         pairs = left.join(right, ["n_words", "_sig"], "inner").select("gram", "term", "term_order", "floor").distinct()
         # Usually few: staged, so that Spark knows their size when it plans the join back.
         hits = staged(pairs.where(similar("gram", "term", "floor")).select("gram", "term", "term_order"), "term-hits")
-    found = grams.join(hits, "gram", "inner")
-    return found.groupBy(key).agg(F.min_by("term", "term_order").alias("partial_term"))
-
-
-def _equal_only(words: Sequence[str], slack: float) -> bool:
-    """Whether the slack is too small for anything but an equal run of words to pass."""
-    cand, term = _deletion_budgets(words, slack)
-    return not any(cand.values()) and not any(term.values())
+    return grams.join(hits, "gram", "inner").groupBy(*_TEXT_ID).agg(F.min_by("term", "term_order").alias("partial_term"))
 
 
 def add_partial(
-    df: DataFrame, terms: Sequence[str], key: str, text: str = "text", min_chars: int = 6, slack: float = 0.4,
+    df: DataFrame, terms: Sequence[str] | DataFrame, text: str = "text", min_chars: int = 6, slack: float = 0.4,
     fold: bool = False, where: Column | None = None,
 ) -> DataFrame:
-    """Every row plus ``partial_term``, looked for only where ``where`` holds.
+    """Every row plus ``partial_term``, looked for only where ``where`` holds (null: not).
 
-    With the default slack and a short list this is a test within the row; otherwise
-    the staged matches are joined back, which ships no text when they are few.
+    Similar means a matching-block ratio of at least ``(len - slack) / len`` between a run of words and a term of as
+    many words. Null texts hold nothing.
     """
-    words = [w for w in normalize_terms(terms) if len(w) >= min_chars]
-    where = F.lit(True) if where is None else where
-    may = _may_contain(F.col(text), words) if words and _equal_only(words, slack) else None
-    if may is None:
-        found = staged(partial_block(df.where(where), terms, key, text, min_chars, slack, fold), "partial-terms")
-        return df.join(found, key, "left")
-    counts = sorted({len(w.split()) for w in words})
-    listed = F.array(*[F.lit(w) for w in words])
-    first = let(word_ngrams(_normal(text, fold), counts), lambda grams: F.get(F.array_intersect(listed, grams), F.lit(0)))
-    return with_once(df, "partial_term", F.when(where & may, first))
+    rows = _identified(df, text)
+    if where is not None:
+        rows = rows.withColumn("_where", F.coalesce(where, F.lit(False)))
+    searched = rows if where is None else rows.where("_where")
+    found = _with_hits(rows, _partial_hits(searched, term_table(df, terms), text, min_chars, slack, fold))
+    if where is None:
+        return found
+    return found.withColumn("partial_term", F.when(F.col("_where"), F.col("partial_term"))).drop("_where")
 
 
-def _listed_word(terms: Sequence[str], allow: Sequence[str]) -> tuple[list[str], Column]:
-    bad = sorted({t.strip().lower() for t in terms} - {a.strip().lower() for a in allow} - {""})
-    return bad, F.array(*[F.lit(b) for b in bad]) if bad else F.array().cast("array<string>")
+def partial_block(
+    df: DataFrame, terms: Sequence[str] | DataFrame, key: str, text: str = "text", min_chars: int = 6, slack: float = 0.4,
+    fold: bool = False,
+) -> DataFrame:
+    """Rows whose text holds a word run similar to a term: ``(key, partial_term)``, one for each such row."""
+    found = add_partial(df.select(key, text), terms, text, min_chars, slack, fold)
+    return found.where("partial_term IS NOT NULL").select(key, "partial_term")
 
 
 def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def censor(df: DataFrame, terms: Sequence[str], allow: Sequence[str] = (), text: str = "text") -> DataFrame:
+def _bare(token: Column) -> Column:
+    return F.lower(strip_punctuation(token))
+
+
+def _listed_words(rows: DataFrame, terms: Sequence[str] | DataFrame, allow: Sequence[str] | DataFrame, read: Column) -> DataFrame:
+    """``(text id, _listed)``: the listed and not allowed words of each text, by equi-join on its bare tokens."""
+    plain = lambda x: (x if isinstance(x, DataFrame) else local_table(rows.sparkSession, {"term": list(x)}, "term string")).select(
+        F.lower(F.trim("term")).alias("word")).where("word <> ''").distinct()
+    bad = plain(terms).join(plain(allow), "word", "left_anti")
+    tokens = rows.select(*_TEXT_ID, F.explode(F.array_distinct(F.transform(_tokens(read), _bare))).alias("word"))
+    return tokens.join(bad, "word").groupBy(*_TEXT_ID).agg(F.collect_set("word").alias("_listed"))
+
+
+def censor(df: DataFrame, terms: Sequence[str] | DataFrame, allow: Sequence[str] | DataFrame = (), text: str = "text") -> DataFrame:
     """Mask listed single words, except allowed ones; adds ``censored`` and ``blocked``.
 
     Words are compared without surrounding punctuation and case.
     """
-    _, table = _listed_word(terms, allow)
-    masked = F.transform(
-        _tokens(F.col(text)),
-        lambda t: F.when(F.array_contains(table, F.lower(strip_punctuation(t))), F.lit(CENSORED)).otherwise(t),
-    )
-    flagged = with_once(df, "censored", F.concat_ws(" ", masked))
+    rows = _identified(df, text)
+    joined = _with_hits(rows, _listed_words(rows, terms, allow, F.col(text)))
+    listed = F.coalesce("_listed", F.array().cast("array<string>"))
+    masked = F.transform(_tokens(F.col(text)), lambda t: F.when(F.array_contains(listed, _bare(t)), F.lit(CENSORED)).otherwise(t))
+    flagged = with_once(joined, "censored", F.concat_ws(" ", masked)).drop("_listed")
     return flagged.withColumn("blocked", F.col("censored").contains(CENSORED))
 
 
 def has_censored(
-    df: DataFrame, terms: Sequence[str], allow: Sequence[str] = (), text: str = "text", out: str = "blocked", fold: bool = False
+    df: DataFrame, terms: Sequence[str] | DataFrame, allow: Sequence[str] | DataFrame = (), text: str = "text", out: str = "blocked",
+    fold: bool = False,
 ) -> DataFrame:
-    """Only the flag of :func:`censor`; texts that cannot match are never split."""
-    bad, table = _listed_word(terms, allow)
-    if not bad:
-        return df.withColumn(out, F.lit(False))
-    hit = F.exists(
-        _tokens(to_ascii(text) if fold else F.col(text)),
-        lambda t: F.array_contains(table, F.lower(strip_punctuation(t))) | t.contains(CENSORED),
-    )
-    may = _may_contain(F.col(text), bad)
-    if may is not None:
-        hit = (may | F.col(text).contains(CENSORED)) & hit
-    return with_once(df, out, F.coalesce(hit, F.lit(False)))
+    """Only the flag of :func:`censor`."""
+    rows = _identified(df, text)
+    read = to_ascii(text) if fold else F.col(text)
+    joined = _with_hits(rows, _listed_words(rows, terms, allow, read))
+    flag = F.col("_listed").isNotNull() | F.coalesce(read.contains(CENSORED), F.lit(False))
+    return with_once(joined, out, flag).drop("_listed")
 
 
 def screen(df: DataFrame, rules: Sequence[tuple[str, Column]], text: str = "text", safe: str = "Prompt is safe") -> DataFrame:
@@ -270,15 +255,20 @@ def screen(df: DataFrame, rules: Sequence[tuple[str, Column]], text: str = "text
 
 
 def blocklist_screen(
-    df: DataFrame, key: str, terms: Sequence[str], allow: Sequence[str] = (), exact_terms: Sequence[str] | None = None,
-    text: str = "text", min_chars: int = 6, slack: float = 0.4,
+    df: DataFrame, key: str, terms: Sequence[str] | DataFrame, allow: Sequence[str] | DataFrame = (),
+    exact_terms: Sequence[str] | DataFrame | None = None, text: str = "text", min_chars: int = 6, slack: float = 0.4,
 ) -> DataFrame:
-    """The full text screen: censor list, whole-word list, then partial matches on the rest."""
+    """The full text screen: censor list, whole-word list, then partial matches on the rest.
+
+    ``key`` may be null or repeated: no join uses it. Lists may be tables.
+    """
+    if key not in df.columns:
+        raise ValueError(f"no column {key!r}")
     exact_terms = terms if exact_terms is None else exact_terms
     cens = has_censored(df, terms, allow, text, fold=True)
     exact = exact_block(cens, exact_terms, text, fold=True)
     undecided = ~F.col("blocked") & F.col("exact_term").isNull()
-    joined = add_partial(exact, exact_terms, key, text, min_chars, slack, True, undecided)
+    joined = add_partial(exact, exact_terms, text, min_chars, slack, True, undecided)
     rules = [
         ("censor", F.when(F.col("blocked"), F.lit("censored word"))),
         ("exact", F.col("exact_term")),
