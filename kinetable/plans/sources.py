@@ -163,12 +163,16 @@ def _(t):
     return f.groupBy("dataset_id", "episode_index").agg(F.count("frame_index").alias("length"))
 
 
-@query("s13_write_lake", view("frames_wide") + f" SELECT dataset_id, concat('chunk-', lpad(CAST(episode_index // 1000 AS VARCHAR), 3, '0')) AS chunk, count(*) AS n, {rs('sum(vec[1])', 2)} AS total FROM frames_wide GROUP BY 1, 2")
+@query("s13_write_lake", view("frames_wide") + f" SELECT dataset_id, concat('chunk-', lpad(CAST(episode_index // 1000 AS VARCHAR), 3, '0')) AS chunk, count(*) AS n, {rs('sum(vec[1])', 2)} AS total, count(DISTINCT episode_index) AS episodes FROM frames_wide GROUP BY 1, 2")
 def _(t):
     path = scratch_path(t.spark, "lake")
     L.write_lake(t["frames_wide"], path)
-    back = t.spark.read.parquet(path)
-    return back.groupBy(F.col("dataset_id").cast("long").alias("dataset_id"), "chunk").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.get("vec", F.lit(0))), 2).alias("total"))
+    roots = [x.dataset_path for x in L.discover(L.list_files(t.spark, path), path).select("dataset_path").collect()]
+    back = L.read_frames(t.spark, roots)
+    chunk = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([^/]+)/", 1)
+    same = F.when(F.col("file_episode") == F.col("episode_index"), F.col("file_episode"))
+    return back.groupBy(F.element_at(F.split("dataset_path", "/"), -1).cast("long").alias("dataset_id"), chunk.alias("chunk")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum(F.get("vec", F.lit(0))), 2).alias("total"), F.count_distinct(same).alias("episodes"))
 
 
 @query("s14_write_stats", view("frames") + f""" SELECT dataset_id, 3 AS stride, {rs('avg(emb[1])')} AS mean0, {rs('max(emb[8])')} AS max7 FROM frames GROUP BY dataset_id""")

@@ -12,14 +12,18 @@ def _plan(df):
 
 
 def test_lake_round_trip_and_pruning(spark, tmp_path):
-    frames = spark.range(5000).select(F.lit(3).alias("dataset_id"), (F.col("id") / 2).cast("long").alias("episode_index"), (F.col("id") % 2).alias("frame_index"), F.array(F.rand(1)).alias("state"))
+    frames = spark.range(5000).select(F.lit(3).alias("dataset_id"), (F.floor(F.col("id") / 250) * 130).alias("episode_index"), (F.col("id") % 250).alias("frame_index"), F.array(F.rand(1)).alias("state"))
     L.write_lake(frames, str(tmp_path / "lake"))
-    chunks = sorted(p.name for p in (tmp_path / "lake" / "dataset_id=3").iterdir())
-    assert chunks == ["chunk=chunk-000", "chunk=chunk-001", "chunk=chunk-002"]
-    back = spark.read.parquet(str(tmp_path / "lake")).where("chunk = 'chunk-001'").select("episode_index")
-    assert back.count() == 2000
-    plan = _plan(back)
-    assert "PartitionFilters: [isnotnull(chunk" in plan and "state" not in plan.split("ReadSchema")[-1]
+    data = tmp_path / "lake" / "3" / "data"
+    assert sorted(p.name for p in data.iterdir()) == ["chunk-000", "chunk-001", "chunk-002"]
+    assert (data / "chunk-001" / "episode_001300.parquet").exists() and not (tmp_path / "lake" / "_writing").exists()
+    back = L.read_frames(spark, str(tmp_path / "lake" / "3"))
+    assert back.where("file_episode = episode_index").count() == 5000
+    assert "state" not in _plan(back.select("episode_index")).split("ReadSchema")[-1]
+    meta = spark.read.schema(L.EPISODE_SCHEMA).json(str(tmp_path / "lake" / "3" / "meta" / "episodes.jsonl"))
+    assert meta.count() == 20 and meta.where("length <> 250").count() == 0
+    found = L.discover(L.list_files(spark, str(tmp_path / "lake")), str(tmp_path / "lake")).collect()
+    assert len(found) == 1 and found[0][0].endswith("/lake/3")
 
 
 def test_read_frames_takes_the_episode_from_the_file_name(spark, tmp_path):
