@@ -29,6 +29,8 @@ SKETCH_WORDS = 8
 SKETCH_FLOOR = 0.55
 #: Rows of one side of a block in the exhaustive pass over unresolved buckets.
 BLOCK = 256
+#: Members of a bucket's largest component that its other members meet before that pass.
+PROBES = 4
 
 #: Rows without id are numbered from here by their text inside the operator; ids must lie below.
 NO_ID = 1 << 62
@@ -144,13 +146,23 @@ def _allowed(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
     return (100 * F.least(na, nb) >= 75 * F.greatest(na, nb)) & (apart <= _sketch_limit())
 
 
+def _allowed_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return (
+        pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+        .where(_allowed(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b").distinct()
+    )
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough. Texts are fetched for the documents in pairs only."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = staged(docs.join(wanted, "node", "left_semi").select("node", "text"), "near-texts")
+    # The documents in pairs grow with the corpus, so no side here is ever broadcast, however few they are.
+    texts = staged(docs.join(wanted.hint("merge"), "node", "left_semi").select("node", "text"), "near-texts")
     joined = (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
     )
 
     def run(batches):
@@ -169,36 +181,54 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "a long, b long").distinct()
 
 
+def _main(members: DataFrame) -> DataFrame:
+    """For each bucket its largest component, and how many blocks its other members and all members make."""
+    per = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    return staged(main.select("bucket", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("rest"),
+                              F.ceil(F.col("all") / BLOCK).cast("int").alias("whole")), "near-main")
+
+
+def _probe_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of each bucket's members outside its largest component with ``PROBES`` members of that component."""
+    m = staged(members.select("bucket", "node", "comp").join(_main(members), "bucket").select("bucket", "node", "comp", "main"), "near-probes")
+    inside = m.where(F.col("comp") == F.col("main")).groupBy("bucket").agg(
+        *[F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"].alias(f"p{k}") for k in range(PROBES)])
+    tried = m.where(F.col("comp") != F.col("main")).join(inside, "bucket").select("node", F.explode(F.array(*[f"p{k}" for k in range(PROBES)])).alias("other"))
+    return tried.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def _rest_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs that unresolved buckets still hold: all pairs across components, compared in blocks.
 
-    ``members``: bucket, node, comp, n, sketch. In each bucket the largest component is set against the others, and
-    the others against each other, ``BLOCK`` by ``BLOCK`` rows; only pairs that sizes and sketches allow leave a task.
+    ``members``: bucket, node, comp, n, sketch, bands. In each bucket the members outside the largest component meet all
+    members, ``BLOCK`` by ``BLOCK`` rows; only pairs that sizes and sketches allow leave a task, and only in the first
+    bucket that holds both.
     """
-    per = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
-    main = staged(main.select("bucket", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("rest"),
-                              F.ceil(F.col("all") / BLOCK).cast("int").alias("whole")), "near-main")
-    m = members.join(main, "bucket").withColumns({
+    m = members.join(_main(members), "bucket").withColumns({
+        "stray": F.col("comp") != F.col("main"),
         "i": F.pmod(F.xxhash64(F.lit(1), "node"), "rest").cast("int"), "j": F.pmod(F.xxhash64(F.lit(2), "node"), "whole").cast("int")})
-    across = m.select("bucket", "node", "comp", "n", "sketch", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("bi"),
-                      F.col("j").alias("bj"), F.lit(1).alias("side"))
-    down = m.where(F.col("comp") != F.col("main")).select(
-        "bucket", "node", "comp", "n", "sketch", F.col("i").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("bj"), F.lit(0).alias("side"))
+    own = ("bucket", "node", "comp", "n", "sketch", "bands", "stray")
+    across = m.select(*own, F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("bi"), F.col("j").alias("bj"), F.lit(1).alias("side"))
+    down = m.where("stray").select(*own, F.col("i").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("bj"), F.lit(0).alias("side"))
     limit = _sketch_limit()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.side == 0], rows[rows.side == 1]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
-            sk = np.stack(right.sketch.to_list()).astype(np.int64)
+            sk, bands_ = (np.stack(right[c].to_list()).astype(np.int64) for c in ("sketch", "bands"))
             node, comp, n = (right[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
+            stray = right.stray.to_numpy(bool)
             for x in left.itertuples(index=False):
-                apart = np.bitwise_count(sk ^ np.asarray(x.sketch, np.int64)).sum(axis=1)
-                ok = (comp != x.comp) & (apart <= limit) & (100 * np.minimum(n, x.n) >= 75 * np.maximum(n, x.n))
-                out_a.append(np.minimum(node[ok], x.node))
-                out_b.append(np.maximum(node[ok], x.node))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+                apart = np.bitwise_count((sk ^ np.asarray(x.sketch, np.int64)).view(np.uint64)).sum(axis=1)
+                ok = (comp != x.comp) & (~stray | (node > x.node)) & (apart <= limit) & (100 * np.minimum(n, x.n) >= 75 * np.maximum(n, x.n))
+                at = np.flatnonzero(ok)
+                first = np.asarray(x.bands, np.int64)[(bands_[at] == np.asarray(x.bands, np.int64)).argmax(axis=1)]
+                at = at[first == x.bucket]
+                out_a.append(np.minimum(node[at], x.node))
+                out_b.append(np.maximum(node[at], x.node))
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return across.union(down).groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
@@ -210,8 +240,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     with fewer than five words the whole sequence is the one shingle; null, empty and blank texts are linked with nothing.
 
     Equal sets are one node, so copies are never paired. Then every bucket's members meet its least node; buckets whose
-    members are in one component after that are done, and the rest are compared exhaustively across components, so no
-    bucket is capped and no group's pairs are all made. Rows with equal ids are one document: they share a component.
+    members are in one component after that are done. In the others, members outside the largest component meet a few of
+    it, and what is apart even then is compared exhaustively across components: no bucket is capped, and no group's pairs
+    are all made. Rows with equal ids are one document: they share a component.
     Rows of null id belong to their text's component, which has null as its id if no member has one; such a row is kept
     if the component has no id. Other columns of ``df`` play no part.
     """
@@ -221,34 +252,39 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     has = sig.where(F.col("digest").isNotNull())
     classes = staged(has.groupBy("digest").agg(F.min("node").alias("rep")), "near-classes")
     reps = staged(
-        has.join(classes, "digest").where(F.col("node") == F.col("rep")).select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
+        has.join(classes.hint("merge"), "digest").where(F.col("node") == F.col("rep")).select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
         .dropDuplicates(["node", "n"]), "near-reps")
 
     # Round one: each bucket's members against its least node.
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = staged(
         rows.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "near-buckets")
-    pairs = rows.join(buckets, "bucket").where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = staged(
-        pairs.join(side("b"), "b").join(side("a"), "a")
-        .where(_allowed(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b").distinct(), "near-pairs")
+    pairs = rows.join(buckets.hint("merge"), "bucket").where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    pairs = staged(_allowed_pairs(pairs, reps), "near-pairs")
     links = staged(_confirmed(pairs, docs).union(_versions(has, classes)), "near-links")
     comps = components(links, "near-first")
 
-    # Round two: buckets that still hold several components.
-    known = reps.select("node", "bands").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bands")
-    wide = known.select("node", "comp", F.explode("bands").alias("bucket")).join(buckets.where(F.col("c") > 2).select("bucket"), "bucket", "left_semi")
-    wide = staged(wide, "near-members")
-    open_ = wide.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") < F.col("y")).select("bucket")
-    members = wide.join(staged(open_, "near-open"), "bucket", "left_semi").join(reps.select("node", "n", "sketch"), "node")
-    more = staged(_rest_pairs(members).join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    if not more.isEmpty():
-        links = staged(links.union(_confirmed(more, docs)), "near-links")
-        comps = components(links, "near-second")
+    # Round two: buckets that still hold several components, first by probes and then in full.
+    large = buckets.where(F.col("c") > 2).select("bucket")
+    for step in ("probe", "rest"):
+        known = reps.select("node", "bands").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bands")
+        wide = known.select("node", "comp", F.explode("bands").alias("bucket")).join(large.hint("merge"), "bucket", "left_semi")
+        wide = staged(wide, f"near-{step}-members")
+        large = staged(wide.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") < F.col("y")).select("bucket"), f"near-{step}-open")
+        members = wide.join(large, "bucket", "left_semi")
+        if step == "probe":
+            more = _allowed_pairs(_probe_pairs(members), reps)
+        else:
+            more = _rest_pairs(members.join(reps.select("node", "n", "sketch", "bands"), "node"))
+        more = staged(more.join(pairs, ["a", "b"], "left_anti"), f"near-{step}")
+        if more.isEmpty():
+            continue
+        pairs = pairs.union(more)
+        links = staged(links.union(_confirmed(more, docs)), f"near-{step}-links")
+        comps = components(links, f"near-{step}")
 
     found = staged(classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "near-found")
-    out = sig.select("node", "n_shingles", "digest").join(found, "digest", "left")
+    out = sig.select("node", "n_shingles", "digest").join(found.hint("merge"), "digest", "left")
     real = lambda c: F.when(c < NO_ID, c)
     doc, least = real(F.col("node")), real(F.coalesce("component", "node"))
     return out.select(doc.alias("doc_id"), "n_shingles", least.alias("component_id"), doc.eqNullSafe(least).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.functions.vectors import within_tolerance
-from kinetable.operators.ranking import int_block, position, running_sum
+from kinetable.operators.ranking import in_ranges, ordered_position, position, running_sum
 
 # Fixed rules of the schema comparison.
 IMAGE_PREFIX = "observation.images."
@@ -175,10 +175,11 @@ def merge_reindex(shards: DataFrame, order: str = "orig_idx", task: str = "instr
 
     Episodes without instruction share one task of null text.
     """
-    placed = position(shards, [], [order], int_block(order), "episode_index")
-    framed = running_sum(placed, F.col(length), [], [order], int_block(order), "frame_offset")
-    first = shards.groupBy(task).agg(F.min(order).alias("_first"))
-    tasks = position(first, [], ["_first"], int_block("_first"), "task_index").drop("_first")
+    cut = in_ranges(shards, [order])
+    placed = position(cut, [], [order], F.col("_range"), "episode_index")
+    framed = running_sum(placed, F.col(length), [], [order], F.col("_range"), "frame_offset").drop("_range")
+    first = cut.groupBy(task).agg(F.min(order).alias("_first"))
+    tasks = ordered_position(first, ["_first"], "task_index").drop("_first")
     tasks = tasks.select(F.col(task).alias("_task"), "task_index")
     return framed.join(tasks, F.col(task).eqNullSafe(F.col("_task")), "inner").drop("_task")
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinetable.session import staged
+
 DEFAULT_BLOCK = 1 << 16
 
 
@@ -22,6 +24,20 @@ def int_block(order: Column | str, size: int = DEFAULT_BLOCK) -> Column:
     return F.floor(c / F.lit(size)).cast("long")
 
 
+def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_range``: its rows cut into ranges of about equal size along ``order``.
+
+    Spark samples the order to place the cuts, so hashed and sparse ids make even ranges like dense ones, and there
+    are as many as shuffle partitions. Written once: the numbers are then the same for whoever reads them.
+    """
+    return staged(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id().cast("long")), "ranges")
+
+
+def ordered_position(df: DataFrame, order: Sequence[str], out: str = "pos", total: str | None = None) -> DataFrame:
+    """Zero-based position of each row of the whole table along ``order`` (unique keys)."""
+    return position(in_ranges(df, order), [], order, F.col("_range"), out, total).drop("_range")
+
+
 def running_sum(
     df: DataFrame,
     value: Column,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinetable.operators.ranking import int_block, position
+from kinetable.operators.ranking import ordered_position
 
 
 def shard_export(
@@ -24,7 +24,7 @@ def shard_export(
     position skips the slots every worker has already read.
     """
     group = world * workers
-    placed = position(shards, [], [order], int_block(order), "_i", "_n")
+    placed = ordered_position(shards, [order], "_i", "_n")
     if repeat:
         size = F.ceil(F.col("_n") / group) * group
         copies = F.ceil((size - F.col("_i")) / F.col("_n")).cast("long")
@@ -61,7 +61,7 @@ def rank_ranges(df: DataFrame, world: int) -> DataFrame:
 
 
 def round_robin(df: DataFrame, n: int, order: str, out: str = "shard") -> DataFrame:
-    placed = position(df, [], [order], int_block(order), "_i")
+    placed = ordered_position(df, [order], "_i")
     return placed.withColumn(out, (F.col("_i") % n).cast("long")).drop("_i")
 
 
@@ -69,7 +69,7 @@ def pick_indices(df: DataFrame, n: int, mode: str, order: str, draw: Column | No
     """``n`` rows at random (in draw order), evenly spaced, or the first ones."""
     if mode == "random":
         return df.withColumn("_u", draw).orderBy("_u", order).limit(n).drop("_u")
-    placed = position(df, [], [order], int_block(order), "_i", "_n")
+    placed = ordered_position(df, [order], "_i", "_n")
     if mode == "sequential":
         return placed.where(F.col("_i") < n).drop("_i", "_n")
     if mode != "uniform":

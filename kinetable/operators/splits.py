@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinetable.operators.ranking import episode_blocks, int_block, position, running_sum
+from kinetable.operators.ranking import episode_blocks, int_block, ordered_position, position, running_sum
 from kinetable.operators.windows import explode_range
 
 RANGE_BUCKET = 1024
@@ -142,13 +142,13 @@ def range_steps(ranges: DataFrame, out: str = "base_index") -> DataFrame:
     return explode_range(ranges, F.col("first_base"), F.col("last_base"), out).drop("first_base", "last_base")
 
 
-def shuffle_split(df: DataFrame, p: float, draw: Column, tie: Sequence[str], blocks: int = 4096) -> DataFrame:
+def shuffle_split(df: DataFrame, p: float, draw: Column, tie: Sequence[str]) -> DataFrame:
     """Seeded shuffle split: the first ``int(n * p)`` rows in draw order are validation.
 
     ``draw`` is a uniform column in [0, 1) made from stable keys.
     """
     drawn = df.withColumn("_u", draw)
-    placed = position(drawn, [], ["_u", *tie], F.floor(F.col("_u") * blocks).cast("long"), "_pos", "_n")
+    placed = ordered_position(drawn, ["_u", *tie], "_pos", "_n")
     val = F.col("_pos") < F.floor(F.col("_n") * p)
     return placed.withColumn("split", F.when(val, "val").otherwise("train")).drop("_u", "_pos", "_n")
 

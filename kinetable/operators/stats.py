@@ -326,11 +326,11 @@ def compare_distributions(
 ) -> DataFrame:
     """Worst and average drift over dims. ``matched`` uses the first N samples of both. Dims of one side only are
     counted in ``unmatched_dims`` and make the status WARN."""
-    from kinetable.operators.ranking import int_block, position
+    from kinetable.operators.ranking import ordered_position
 
     if matched:
         n = min(a.count(), b.count())
-        a, b = (position(x, [], [order], int_block(order), "_i").where(F.col("_i") < n) for x in (a, b))
+        a, b = (ordered_position(x, [order], "_i").where(F.col("_i") < n) for x in (a, b))
     d = dim_drift(a, b, vector)
 
     def argmax(col: str) -> Column:

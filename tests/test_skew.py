@@ -134,3 +134,13 @@ def test_merge_partials_equals_direct_moments(spark):
     long = spark.createDataFrame(pd.DataFrame({"part": np.arange(4000) % 11, "value": v}))
     got = stats.merge_partials(stats.partial_stats(long, ["part"]).withColumn("g", F.lit(1)), ["g"]).first()
     assert got.n == 4000 and abs(got.std - v.std()) < 1e-8
+
+
+def test_global_order_of_hashed_ids_is_cut_evenly(spark):
+    from kinetable.operators.ranking import in_ranges, ordered_position
+
+    ids = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    sizes = [r["count"] for r in in_ranges(ids, ["h"]).groupBy("_range").count().collect()]
+    assert sum(sizes) == 20000 and 1 <= len(sizes) <= 200 and (len(sizes) == 1 or max(sizes) < 3 * 20000 / len(sizes))
+    got = [r.pos for r in ordered_position(ids, ["h"]).orderBy("h").select("pos").collect()]
+    assert got == list(range(20000))
