@@ -25,9 +25,9 @@ HISTORY_COLUMNS = (
 
 def frame_decay(
     frames: DataFrame, by: Sequence[str], phases: dict[str, tuple[int, int]] | None = None,
-    metric: str = "l1", order: str = "frame_index",
+    metric: str = "l1", order: str = "frame_index", extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean, std and slope over frames plus phase means; one combinable aggregate."""
+    """Mean, std and slope over frames plus phase means, and plain means of ``extra``; one combinable aggregate."""
     phases = PHASES if phases is None else phases
     cols = [
         F.count(metric).alias("num_frames"), F.avg(metric).alias(f"mean_{metric}"),
@@ -37,7 +37,32 @@ def frame_decay(
     for name, (lo, hi) in phases.items():
         inside = (F.col(order) >= lo) & (F.col(order) < hi)
         cols.append(F.avg(F.when(inside, F.col(metric))).alias(f"{metric}_{name}"))
-    return frames.groupBy(*by).agg(*cols)
+    return frames.groupBy(*by).agg(*cols, *[F.avg(m).alias(f"mean_{m}") for m in extra])
+
+
+def episode_scores(frames: DataFrame, by: Sequence[str], phases: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """One row per episode: L1 and SSIM decay, and medians with coverage of GATC and TCD."""
+    out = frame_decay(frames, by, phases, extra=["ssim"])
+    for metric in ("gatc", "tcd"):
+        out = out.join(median_coverage(frames, metric, by, phases), list(by))
+    return out
+
+
+def checkpoint_scores(episodes: DataFrame, by: Sequence[str] = ("checkpoint",), phases: Sequence[str] = tuple(PHASES)) -> DataFrame:
+    """All numbers of a checkpoint from :func:`episode_scores`: means and intervals, and medians of episode medians."""
+    scores = [f"{m}_score" for m in ("gatc", "tcd")]
+    parts = [f"{m}_{p}_median" for m in ("gatc", "tcd") for p in phases]
+    means = ["l1_slope", *[f"l1_{p}" for p in phases], "gatc_coverage", "tcd_coverage"]
+    return aggregate_checkpoint(episodes, by, ["mean_l1", "mean_ssim"], [*scores, *parts], means)
+
+
+def history_mapping(phases: Sequence[str] = tuple(PHASES)) -> dict[str, str]:
+    """History column -> column of :func:`checkpoint_scores`; ``phases`` are the early, middle and late one."""
+    out = {"fds_l1_mean": "mean_l1_mean", "fds_ssim_mean": "mean_ssim_mean", "fds_l1_slope_mean": "l1_slope_mean"}
+    for part, phase in zip(("early", "mid", "late"), phases):
+        out |= {f"fds_l1_{part}": f"l1_{phase}_mean", f"gatc_{part}_median": f"gatc_{phase}_median_median", f"tcd_{part}_median_px": f"tcd_{phase}_median_median"}
+    return out | {"gatc_median": "gatc_score_median", "gatc_coverage_pct": "gatc_coverage_mean",
+                  "tcd_median_px": "tcd_score_median", "tcd_coverage_pct": "tcd_coverage_mean"}
 
 
 def _no_nan(c: str) -> Column:

@@ -145,9 +145,9 @@ Q01_Q99 = {"q01": 0.01, "q99": 0.99}
 
 def value_stats(
     long: DataFrame, by: Sequence[str], value: str = "value", approx: bool = False,
-    probs: dict[str, float] | None = None,
+    probs: dict[str, float] | None = None, more: Sequence[Column] = (),
 ) -> DataFrame:
-    """count/mean/std/min/max and quantiles of a long table."""
+    """count/mean/std/min/max and quantiles of a long table, and ``more`` aggregates."""
     probs = Q01_Q99 if probs is None else probs
     aggs = [
         F.count(value).alias("n"),
@@ -155,6 +155,7 @@ def value_stats(
         F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
+        *more,
     ]
     if approx or not probs:
         return long.groupBy(*by).agg(*aggs, *approx_quantiles(value, probs))
@@ -275,13 +276,10 @@ def dim_health(
     mean_limit: float = MEAN_LIMIT, std_low: float = STD_LOW, std_high: float = STD_HIGH,
     outlier_abs: float = OUTLIER_ABS, outlier_pct: float = OUTLIER_PCT, eps: float = ACTIVE_STD,
 ) -> DataFrame:
-    """Per-dim status: ``padded``, ``OK`` or ``WARN: ...`` listing every broken limit."""
+    """Per-dim numbers and status: ``padded``, ``OK`` or ``WARN: ...`` listing every broken limit."""
     long = explode_dims(df, vector, by)
-    g = long.groupBy(*by, "dim").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        (F.avg((F.abs("value") > outlier_abs).cast("double")) * 100.0).alias("_out"),
-    )
+    outliers = (F.avg((F.abs("value") > outlier_abs).cast("double")) * 100.0).alias("_out")
+    g = value_stats(long, [*by, "dim"], more=[outliers])
     active = F.col("std") > eps
     warn = F.concat_ws(
         "; ",

@@ -58,14 +58,14 @@ def clip_selection(
     return best.select("clip_id", "w.*").join(kept, "clip_id", "inner")
 
 
-def evaluation_report(frames: DataFrame, metric: str = "l1") -> DataFrame:
-    """Frame scores to one ranked row per checkpoint."""
-    episodes = frames.groupBy("checkpoint", "episode_index").agg(
-        F.avg(metric).alias("mean_l1"), F.avg("gatc").alias("gatc"), F.avg("tcd").alias("tcd"))
-    agg = E.aggregate_checkpoint(episodes, dropping=["gatc", "tcd"])
-    ranks = E.rank_checkpoints(agg, {"mean_l1_mean": "asc", "gatc_mean": "desc", "tcd_mean": "asc"})
+def evaluation_report(frames: DataFrame, phases: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Frame scores (l1, ssim, gatc, tcd) to one ranked row per checkpoint, all numbers of its history included."""
+    phases = E.PHASES if phases is None else phases
+    agg = staged(E.checkpoint_scores(E.episode_scores(frames, ["checkpoint", "episode_index"], phases), phases=tuple(phases)), "checkpoint-scores")
+    named = {"mean_l1": "mean_l1", "gatc": "gatc_score", "tcd": "tcd_score"}
+    ranks = E.rank_checkpoints(agg, {"mean_l1_mean": "asc", "gatc_score_mean": "desc", "tcd_score_mean": "asc"})
     wide = ranks.groupBy("checkpoint").agg(
-        *[F.max(F.when(F.col("metric") == f"{m}_mean", F.col("rank"))).alias(f"{m}_rank") for m in ("mean_l1", "gatc", "tcd")]
+        *[F.max(F.when(F.col("metric") == f"{c}_mean", F.col("rank"))).alias(f"{m}_rank") for m, c in named.items()]
     )
     return agg.join(wide, "checkpoint", "left")
 
@@ -94,10 +94,34 @@ def _(t):
     return s.select("clip_id", "window_id", "multiplier", "first_frame")
 
 
-@query("job_evaluation_report", view("eval_frames") + f""", ep AS (SELECT checkpoint, episode_index, avg(l1) AS l1, avg(gatc) AS gatc, avg(tcd) AS tcd FROM eval_frames GROUP BY ALL),
+@query("job_evaluation_report", view("eval_frames") + f""", ep AS (SELECT checkpoint, episode_index, avg(l1) AS l1, median(gatc) AS gatc, median(tcd) AS tcd FROM eval_frames GROUP BY ALL),
     a AS (SELECT checkpoint, count(*) AS n, avg(l1) AS l1, avg(gatc) AS gatc, median(gatc) AS gm, avg(tcd) AS tcd FROM ep GROUP BY 1)
     SELECT checkpoint, n AS num_episodes, {rs('l1')} AS mean_l1_mean, {rs('gm')} AS gatc_median, row_number() OVER (ORDER BY l1, checkpoint) AS mean_l1_rank,
     row_number() OVER (ORDER BY gatc DESC, checkpoint) AS gatc_rank, row_number() OVER (ORDER BY tcd, checkpoint) AS tcd_rank FROM a""")
 def _(t):
-    e = evaluation_report(t["eval_frames"])
-    return e.select("checkpoint", "num_episodes", r("mean_l1_mean").alias("mean_l1_mean"), r("gatc_median").alias("gatc_median"), "mean_l1_rank", "gatc_rank", "tcd_rank")
+    e = evaluation_report(t["eval_frames"].withColumn("ssim", 1 - F.col("l1")))
+    return e.select("checkpoint", "num_episodes", r("mean_l1_mean").alias("mean_l1_mean"), r("gatc_score_median").alias("gatc_median"), "mean_l1_rank", "gatc_rank", "tcd_rank")
+
+
+_PARTS = {"early": (0, 2), "mid": (2, 4), "late": (4, 100)}
+
+
+def _history_sql() -> str:
+    inside = {p: f"FILTER (frame_index >= {a} AND frame_index < {b})" for p, (a, b) in _PARTS.items()}
+    episode = ["avg(l1) AS l1", "avg(1 - l1) AS ssim", "CASE WHEN count(DISTINCT frame_index) > 1 THEN regr_slope(l1, frame_index) END AS slope"]
+    rows = ["avg(l1) AS fds_l1_mean", "avg(ssim) AS fds_ssim_mean", "avg(slope) AS fds_l1_slope_mean"]
+    episode += [f"avg(l1) {w} AS l1_{p}" for p, w in inside.items()]
+    rows += [f"avg(l1_{p}) AS fds_l1_{p}" for p in inside]
+    for m, unit in (("gatc", ""), ("tcd", "_px")):
+        episode += [f"median({m}) AS {m}", f"100.0 * count({m}) / count(*) AS {m}_cov", *[f"median({m}) {w} AS {m}_{p}" for p, w in inside.items()]]
+        rows += [f"median({m}) AS {m}_median{unit}", f"avg({m}_cov) AS {m}_coverage_pct", *[f"median({m}_{p}) AS {m}_{p}_median{unit}" for p in inside]]
+    names = [x.rsplit(" AS ", 1)[1] for x in rows]
+    return (f", ep AS (SELECT checkpoint, episode_index, {', '.join(episode)} FROM eval_frames GROUP BY ALL), a AS (SELECT checkpoint, {', '.join(rows)} FROM ep GROUP BY 1)"
+            f" SELECT checkpoint AS timestamp, CAST(1000 AS BIGINT) AS iteration, {', '.join(f'{rs(n, 5)} AS {n}' for n in names)} FROM a")
+
+
+@query("job_checkpoint_history", view("eval_frames") + _history_sql())
+def _(t):
+    scores = evaluation_report(t["eval_frames"].withColumn("ssim", 1 - F.col("l1")), _PARTS)
+    history = E.metric_history(scores.withColumn("iteration", F.lit(1000)), {**E.history_mapping(tuple(_PARTS)), "timestamp": "checkpoint"})
+    return history.select("timestamp", "iteration", *[r(c, 5).alias(c) for c in history.columns if c not in ("timestamp", "iteration")])

@@ -108,7 +108,7 @@ def _(t):
     return s.select("doc_id", "is_safe", "message")
 
 
-_LABEL = "CASE doc_id % 4 WHEN 0 THEN 'Safety: Safe' WHEN 1 THEN 'Safety: Unsafe' || chr(10) || 'Categories: Violent, Jailbreak' WHEN 2 THEN 'Safety: Controversial' || chr(10) || 'Categories: Unethical Acts' ELSE 'no verdict ' || left(text, 5) END"
+_LABEL = "CASE doc_id % 4 WHEN 0 THEN 'Safety: Safe' WHEN 1 THEN 'Safety: Unsafe' || chr(10) || 'Categories: Violent, Jailbreak' WHEN 2 THEN 'Safety: Controversial' || chr(10) || 'Categories: Unethical Acts' ELSE 'no verdict ' || text END"
 
 
 @query("x23_parse_safety_label", """SELECT doc_id, coalesce(CASE doc_id % 4 WHEN 0 THEN 'Safe' WHEN 1 THEN 'Unsafe' WHEN 2 THEN 'Controversial' END, '') AS label,

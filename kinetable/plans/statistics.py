@@ -9,6 +9,7 @@ from kinetable.functions.vectors import slice_range
 from kinetable.operators import actions as A, quality as Q, stats as S, windows as W
 from kinetable.plans.fixtures import u_sql, view
 from kinetable.plans.registry import query, r, rs
+from kinetable.session import staged
 
 NUMBERS = ("mean", "std", "min", "max", "q01", "q99")
 
@@ -24,6 +25,10 @@ def relative_action_stats(frames: DataFrame, configs, deltas, approx: bool = Fal
     wide = W.gather_window(frames, keys, deltas, full_only=True)
     usable = wide.where(A.usable_sample(configs))
     rel = A.convert_actions(usable, configs)
+    rel = rel.select(*by, *[k + "_rel" for k in keys])
+    if not approx:
+        # Exact quantiles read the values twice: written once, the windows are gathered once.
+        rel = staged(rel, "relative-actions")
     tagged = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k + "_rel").alias("_steps")) for k in keys]))
     rows = rel.select(*by, tagged).select(*by, "key", F.explode("_steps").alias("_vec"))
     return S.vector_stats(rows, "_vec", [*by, "key"], approx)
@@ -103,13 +108,13 @@ def _(t):
     return S.active_dims(S.vector_stats(_padded(t), "v", [], probs={})).select("dim", "status")
 
 
-@query("a6_dim_health", _PADDED + f""", g AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s, avg(CASE WHEN abs(v) > 10 THEN 1.0 ELSE 0.0 END) * 100 AS o FROM x GROUP BY dim)
-    SELECT CAST(dim AS INTEGER) AS dim, {rs('m')} AS mean, {rs('s')} AS std, {rs('CASE WHEN s > 1e-6 THEN o ELSE 0 END')} AS outlier_pct,
+@query("a6_dim_health", _PADDED + f""", g AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s, avg(CASE WHEN abs(v) > 10 THEN 1.0 ELSE 0.0 END) * 100 AS o, min(v) AS mn, max(v) AS mx, quantile_cont(v, 0.01) AS q1, quantile_cont(v, 0.99) AS q9 FROM x GROUP BY dim)
+    SELECT CAST(dim AS INTEGER) AS dim, {rs('m')} AS mean, {rs('s')} AS std, {rs('mn')} AS min, {rs('mx')} AS max, {rs('q1')} AS q01, {rs('q9')} AS q99, {rs('CASE WHEN s > 1e-6 THEN o ELSE 0 END')} AS outlier_pct,
     CASE WHEN s <= 1e-6 THEN 'padded' WHEN abs(m) < 1 AND s > 0.1 AND s < 5 AND o <= 0.5 THEN 'OK' ELSE concat('WARN: ', concat_ws('; ',
       CASE WHEN abs(m) >= 1 THEN '|mean|>1.0' END, CASE WHEN s <= 0.1 OR s >= 5 THEN 'std<0.1 or >5.0' END, CASE WHEN o > 0.5 THEN printf('%.1f%% outliers', o) END)) END AS status FROM g""")
 def _(t):
     h = S.dim_health(_padded(t), "v")
-    return h.select("dim", r("mean").alias("mean"), r("std").alias("std"), r("outlier_pct").alias("outlier_pct"), "status")
+    return h.select("dim", *[r(c).alias(c) for c in ("mean", "std", "min", "max", "q01", "q99")], r("outlier_pct").alias("outlier_pct"), "status")
 
 
 @query("a7_subset_share", _DIMS + f""", s AS (SELECT CASE WHEN dataset_id = 3 THEN '<unknown>' ELSE CAST(dataset_id AS VARCHAR) END AS subset, vec_id, v FROM x)
