@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.functions.hashing import lcg
-from kinetable.operators import captions as K, clips as C, evaluation as E, mixture as M, splits as P
+from kinetable.operators import actions as A, captions as K, clips as C, evaluation as E, mixture as M, splits as P, windows as W
 from kinetable.operators.ranking import int_block, running_sum
 from kinetable.plans.captions import WORDS, _BLANK, _found
 from kinetable.plans.clips import _MULT
 from kinetable.plans.fixtures import lcg_sql, view
 from kinetable.plans.registry import query, r, rs
-from kinetable.session import staged
+from kinetable.plans.rotations import _Q, _REL, _STEPS, _poses
+from kinetable.plans.statistics import relative_action_stats
+from kinetable.session import scratch_path, staged
+from kinetable.sources import lake as L
 
 
 def mixture_samples(
@@ -125,3 +128,43 @@ def _(t):
     scores = evaluation_report(t["eval_frames"].withColumn("ssim", 1 - F.col("l1")), _PARTS)
     history = E.metric_history(scores.withColumn("iteration", F.lit(1000)), {**E.history_mapping(tuple(_PARTS)), "timestamp": "checkpoint"})
     return history.select("timestamp", "iteration", *[r(c, 5).alias(c) for c in history.columns if c not in ("timestamp", "iteration")])
+
+
+def action_statistics_job(
+    spark, root: str, out: str, slices: Sequence[A.Slice], keys: Sequence[A.ActionKey], deltas: Sequence[int],
+    ranges: DataFrame | None = None, excluded: Sequence[str] = (), stride: int | None = None,
+) -> None:
+    """From a lake to its statistics files: scan, episode exclusion, slicing, windows, relative poses, numbers, sink.
+
+    ``ranges(dataset_id, split, range_start, range_end)`` are the parsed splits; episodes of ``excluded`` ones are left out.
+    """
+    roots = [x.dataset_path for x in L.discover(L.list_files(spark, root), root).select("dataset_path").collect()]
+    frames = L.read_frames(spark, roots)
+    if ranges is not None:
+        frames = P.exclude_splits(frames, ranges, excluded)
+    sliced = A.slice_modality(frames, slices)
+    L.write_stats(relative_action_stats(sliced, keys, deltas), out, ["dataset_id"], stride)
+
+
+_MOVES = ", ".join([f"a.emb[{9 + i}] - b.emb[{1 + i}] AS o{i}" for i in range(3)] + [f"{e} AS o{i + 3}" for i, e in enumerate(_REL)])
+
+
+@query("job_action_statistics", view("frames") + f""", {_Q}, bad AS (SELECT b.vec_id{_STEPS} GROUP BY b.vec_id HAVING bool_or(a.vec_id % 37 = 0)),
+    h AS (SELECT b.dataset_id, {_MOVES}{_STEPS} WHERE b.frame_index < 25 - 6 AND b.vec_id NOT IN (SELECT vec_id FROM bad) AND NOT (b.dataset_id = 0 AND b.episode_index <= 5)),
+    v AS (SELECT dataset_id, d, [{", ".join(f"o{i}" for i in range(9))}][d + 1] AS v FROM h, range(0, 9) AS g(d))
+    SELECT dataset_id, d AS dim, CAST(3 AS BIGINT) AS stride, {rs('avg(v)', 4)} AS mean, {rs('stddev_pop(v)', 4)} AS std, {rs('min(v)', 4)} AS min, {rs('max(v)', 4)} AS max,
+    {rs('quantile_cont(v, 0.01)', 4)} AS q01, {rs('quantile_cont(v, 0.99)', 4)} AS q99 FROM v GROUP BY dataset_id, d""")
+def _(t):
+    root, out = scratch_path(t.spark, "job-lake"), scratch_path(t.spark, "job-stats")
+    poses = _poses(t)
+    L.write_lake(poses.select(*W.EPISODE, "frame_index", F.concat("state_pose", "action_pose").alias("action"), F.concat("state_pose", F.array(F.lit(1.0))).alias("state")), root)
+    info = t.spark.range(1).select(F.lit(0).cast("long").alias("dataset_id"), F.lit("Failed").alias("split"), F.lit("0:5").alias("spec"))
+    action_statistics_job(
+        t.spark, root, out, [A.Slice("action", "pose", 7, 14, "action"), A.Slice("state", "pose", 0, 7, "state")],
+        [A.ActionKey("action_pose", "rel_xyz_rot6d", "state_pose")], [0, 3, 6], P.expand_split_ranges(info), ["failed"], 3)
+    body = "struct<mean:array<double>,std:array<double>,min:array<double>,max:array<double>,q01:array<double>,q99:array<double>>"
+    back = t.spark.read.schema(f"dataset_id long, stats map<string,{body}>, timestep_interval long").json(out)
+    s = F.col("stats")["action_pose"]
+    names = ("mean", "std", "min", "max", "q01", "q99")
+    dims = back.select("dataset_id", F.col("timestep_interval").alias("stride"), F.posexplode(F.arrays_zip(*[s[n].alias(n) for n in names])).alias("dim", "x"))
+    return dims.select("dataset_id", "dim", "stride", *[r(F.col("x")[n], 4).alias(n) for n in names])
