@@ -150,7 +150,7 @@ def _allowed_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow."""
     side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     return (
-        pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+        pairs.join(side("b"), "b").join(side("a"), "a")
         .where(_allowed(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"))).select("a", "b").distinct()
     )
 
@@ -158,11 +158,10 @@ def _allowed_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough. Texts are fetched for the documents in pairs only."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    # The documents in pairs grow with the corpus, so no side here is ever broadcast, however few they are.
-    texts = staged(docs.join(wanted.hint("merge"), "node", "left_semi").select("node", "text"), "near-texts")
+    texts = staged(docs.join(wanted, "node", "left_semi").select("node", "text"), "near-texts")
     joined = (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
+        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     )
 
     def run(batches):
@@ -252,14 +251,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     has = sig.where(F.col("digest").isNotNull())
     classes = staged(has.groupBy("digest").agg(F.min("node").alias("rep")), "near-classes")
     reps = staged(
-        has.join(classes.hint("merge"), "digest").where(F.col("node") == F.col("rep")).select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
+        has.join(classes, "digest").where(F.col("node") == F.col("rep")).select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
         .dropDuplicates(["node", "n"]), "near-reps")
 
     # Round one: each bucket's members against its least node.
     rows = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = staged(
         rows.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1), "near-buckets")
-    pairs = rows.join(buckets.hint("merge"), "bucket").where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    pairs = rows.join(buckets, "bucket").where(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
     pairs = staged(_allowed_pairs(pairs, reps), "near-pairs")
     links = staged(_confirmed(pairs, docs).union(_versions(has, classes)), "near-links")
     comps = components(links, "near-first")
@@ -268,7 +267,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     large = buckets.where(F.col("c") > 2).select("bucket")
     for step in ("probe", "rest"):
         known = reps.select("node", "bands").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bands")
-        wide = known.select("node", "comp", F.explode("bands").alias("bucket")).join(large.hint("merge"), "bucket", "left_semi")
+        wide = known.select("node", "comp", F.explode("bands").alias("bucket")).join(large, "bucket", "left_semi")
         wide = staged(wide, f"near-{step}-members")
         large = staged(wide.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") < F.col("y")).select("bucket"), f"near-{step}-open")
         members = wide.join(large, "bucket", "left_semi")
@@ -284,7 +283,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         comps = components(links, f"near-{step}")
 
     found = staged(classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "near-found")
-    out = sig.select("node", "n_shingles", "digest").join(found.hint("merge"), "digest", "left")
+    out = sig.select("node", "n_shingles", "digest").join(found, "digest", "left")
     real = lambda c: F.when(c < NO_ID, c)
     doc, least = real(F.col("node")), real(F.coalesce("component", "node"))
     return out.select(doc.alias("doc_id"), "n_shingles", least.alias("component_id"), doc.eqNullSafe(least).alias("kept"))
