@@ -27,8 +27,8 @@ BANDS, ROWS = 40, 4
 SKETCH_WORDS = 8
 #: A pair is set aside unread only where its sketch puts the similarity below this; at 0.75 that is over 5 deviations off.
 SKETCH_FLOOR = 0.55
-#: Rows of one side of a block in the exhaustive pass over unresolved buckets.
-BLOCK = 256
+#: Rows, and shingles, of one side of a block in the exhaustive pass over unresolved buckets, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 19
 #: Members of a bucket's largest component that its other members meet before that pass.
 PROBES = 4
 
@@ -183,10 +183,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _main(members: DataFrame) -> DataFrame:
     """For each bucket its largest component, and how many blocks its other members and all members make."""
-    per = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
-    return staged(main.select("bucket", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK).cast("int").alias("rest"),
-                              F.ceil(F.col("all") / BLOCK).cast("int").alias("whole")), "near-main")
+    per = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    main = per.groupBy("bucket").agg(F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    return staged(main.select("bucket", F.col("m.comp").alias("main"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("rest"),
+                              blocks(F.col("c"), F.col("s")).alias("whole")), "near-main")
+
+
+def _with_texts(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Members with sketch, bands and text; where an id is repeated with different texts, with each of them."""
+    nodes = members.select("node").distinct()
+    texts = docs.join(nodes.hint("merge"), "node", "left_semi").select("node", "text")
+    full = staged(texts.join(reps.select("node", "sketch", "bands").hint("merge"), "node"), "near-rest-texts")
+    return members.join(full.hint("merge"), "node")
 
 
 def _probe_pairs(members: DataFrame) -> DataFrame:
@@ -198,37 +207,56 @@ def _probe_pairs(members: DataFrame) -> DataFrame:
     return tried.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs that unresolved buckets still hold: all pairs across components, compared in blocks.
+def _rest_links(members: DataFrame) -> DataFrame:
+    """Links that unresolved buckets still hold, found by comparing all members across components, in blocks.
 
-    ``members``: bucket, node, comp, n, sketch, bands. In each bucket the members outside the largest component meet all
-    members, ``BLOCK`` by ``BLOCK`` rows; only pairs that sizes and sketches allow leave a task, and only in the first
-    bucket that holds both.
+    ``members``: bucket, node, comp, n, sketch, bands, text. In each bucket the members outside the largest component
+    meet all members, block by block. A pair is looked at in the first bucket that holds both; sizes and sketches rule
+    most out, full shingle sets decide the rest inside the task, and components that a link joins are one from then on.
+    So a task emits fewer links than it holds components, whatever the number of similar pairs.
     """
     m = members.join(_main(members), "bucket").withColumns({
         "stray": F.col("comp") != F.col("main"),
         "i": F.pmod(F.xxhash64(F.lit(1), "node"), "rest").cast("int"), "j": F.pmod(F.xxhash64(F.lit(2), "node"), "whole").cast("int")})
-    own = ("bucket", "node", "comp", "n", "sketch", "bands", "stray")
+    own = ("bucket", "node", "comp", "n", "sketch", "bands", "text", "stray")
     across = m.select(*own, F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("bi"), F.col("j").alias("bj"), F.lit(1).alias("side"))
     down = m.where("stray").select(*own, F.col("i").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("bj"), F.lit(0).alias("side"))
     limit = _sketch_limit()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        words, links = _Words(), []
         left, right = rows[rows.side == 0], rows[rows.side == 1]
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
             sk, bands_ = (np.stack(right[c].to_list()).astype(np.int64) for c in ("sketch", "bands"))
-            node, comp, n = (right[c].to_numpy(np.int64) for c in ("node", "comp", "n"))
-            stray = right.stray.to_numpy(bool)
-            for x in left.itertuples(index=False):
+            node, comp, n = (right[c].to_numpy(np.int64).copy() for c in ("node", "comp", "n"))
+            stray, lcomp = right.stray.to_numpy(bool), left.comp.to_numpy(np.int64).copy()
+            sets: dict[int, np.ndarray] = {}
+            for k, x in enumerate(left.itertuples(index=False)):
+                xb, mine = np.asarray(x.bands, np.int64), lcomp[k]
                 apart = np.bitwise_count((sk ^ np.asarray(x.sketch, np.int64)).view(np.uint64)).sum(axis=1)
-                ok = (comp != x.comp) & (~stray | (node > x.node)) & (apart <= limit) & (100 * np.minimum(n, x.n) >= 75 * np.maximum(n, x.n))
+                ok = (comp != mine) & (~stray | (node > x.node)) & (apart <= limit) & (100 * np.minimum(n, x.n) >= 75 * np.maximum(n, x.n))
                 at = np.flatnonzero(ok)
-                first = np.asarray(x.bands, np.int64)[(bands_[at] == np.asarray(x.bands, np.int64)).argmax(axis=1)]
-                at = at[first == x.bucket]
-                out_a.append(np.minimum(node[at], x.node))
-                out_b.append(np.maximum(node[at], x.node))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                at = at[xb[(bands_[at] == xb).argmax(axis=1)] == x.bucket]
+                if not len(at):
+                    continue
+                own_set = shingles(x.text, words)
+                for q in at.tolist():
+                    if q not in sets:
+                        sets[q] = shingles(right.text.iat[q], words)
+                # Where an id has several texts, its sketch may be another's: the sets decide, and may be empty.
+                at = np.array([q for q in at.tolist() if len(sets[q])], np.int64)
+                if not len(own_set) or not len(at):
+                    continue
+                flat, sizes = np.concatenate([sets[q] for q in at.tolist()]), np.array([len(sets[q]) for q in at.tolist()])
+                pos = np.minimum(np.searchsorted(own_set, flat), len(own_set) - 1)
+                both = np.add.reduceat((own_set[pos] == flat).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+                for q in at[100 * both >= 75 * (len(own_set) + sizes - both)].tolist():
+                    if comp[q] != mine:
+                        links.append((min(x.node, int(node[q])), max(x.node, int(node[q]))))
+                        was = comp[q]
+                        comp[comp == was] = mine
+                        lcomp[lcomp == was] = mine
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return across.union(down).groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
@@ -267,20 +295,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     # Round two: buckets that still hold several components, first by probes and then in full.
     large = buckets.where(F.col("c") > 2).select("bucket")
     for step in ("probe", "rest"):
-        known = reps.select("node", "bands").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bands")
-        wide = known.select("node", "comp", F.explode("bands").alias("bucket")).join(large.hint("merge"), "bucket", "left_semi")
+        known = reps.select("node", "n", "bands").join(comps, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"), "bands")
+        wide = known.select("node", "n", "comp", F.explode("bands").alias("bucket")).join(large.hint("merge"), "bucket", "left_semi")
         wide = staged(wide, f"near-{step}-members")
         large = staged(wide.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") < F.col("y")).select("bucket"), f"near-{step}-open")
         members = wide.join(large, "bucket", "left_semi")
         if step == "probe":
-            more = _allowed_pairs(_probe_pairs(members), reps)
+            more = _allowed_pairs(_probe_pairs(members), reps).join(pairs, ["a", "b"], "left_anti")
+            found = _confirmed(staged(more, "near-probe-pairs"), docs)
         else:
-            more = _rest_pairs(members.join(reps.select("node", "n", "sketch", "bands"), "node"))
-        more = staged(more.join(pairs, ["a", "b"], "left_anti"), f"near-{step}")
-        if more.isEmpty():
+            found = _rest_links(_with_texts(members, reps, docs))
+        found = staged(found, f"near-{step}-links")
+        if found.isEmpty():
             continue
-        pairs = pairs.union(more)
-        links = staged(links.union(_confirmed(more, docs)), f"near-{step}-links")
+        links = links.union(found)
         comps = components(links, f"near-{step}")
 
     found = staged(classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "near-found")

@@ -80,15 +80,49 @@ def test_near_dedup_keeps_columns(messy, nothing):
     assert near_dedup.near_duplicates(nothing).collect() == [] and near_dedup.keep_first(nothing).collect() == []
 
 
-def test_rest_pairs_cover_all(spark):
-    """The exhaustive pass meets every pair across components, in buckets of several blocks."""
-    sketch = [0] * near_dedup.SKETCH_WORDS
-    rows = [(7, i, 0 if i < 400 else i, 100, sketch, [-i, 7, 3]) for i in range(700)]
-    df = spark.createDataFrame(rows, "bucket long, node long, comp long, n long, sketch array<long>, bands array<long>")
-    got = near_dedup._rest_pairs(df)
-    inner = 400 * 399 // 2
-    assert got.count() == 700 * 699 // 2 - inner
-    assert got.where("a >= b").count() == 0
+@pytest.mark.parametrize("rows,shingles", [(2048, 1 << 19), (16, 1 << 19), (2048, 900)])
+def test_rest_links_join_what_is_similar(spark, monkeypatch, rows, shingles):
+    """The exhaustive pass joins the components of every similar pair, in buckets of one block or many."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(160):
+        t = list(base)
+        for _ in range(rnd.randint(0, 7)):
+            t[rnd.randrange(80)] = f"v{rnd.randrange(9)}"
+        texts.append(" ".join(t))
+    first = {i: 0 if i < 40 else i for i in range(160)}
+    made = []
+    for i, t in enumerate(texts):
+        s = near_dedup.shingles(t, near_dedup._Words())
+        m = near_dedup.minhashes(s)
+        made.append((7, i, first[i], len(s), near_dedup.odd_sketch(m).tolist(), [7, i], t))
+    df = spark.createDataFrame(made, "bucket long, node long, comp long, n long, sketch array<long>, bands array<long>, text string")
+    links = [(r.a, r.b) for r in near_dedup._rest_links(df).collect()]
+    sets = [shingle_set(t) for t in texts]
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert all(similar(a, b) for a, b in links)
+
+    def groups(pairs):
+        parent = {i: i for i in range(160)}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+        return [find(i) for i in range(160)]
+
+    known = [(i, c) for i, c in first.items()]
+    every = [(a, b) for b in range(160) for a in range(b) if first[a] != first[b] and similar(a, b)]
+    assert groups(known + links) == groups(known + every) and len(every) > 300
+    if rows > 160 and shingles > 160 * 80:
+        assert len(links) < 160
 
 
 def test_odd_sketch_estimates():
