@@ -81,7 +81,8 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
             lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))).alias("s"))
         .select("row", "t", "w", "lines", F.transform(
             F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]).alias("p"))
-        .select("row", F.struct(
+        # Through a generator, so that a filter on the counts is not moved below it and their arrays not made per element.
+        .select("row", F.explode(F.array(F.struct(
             size(w).alias("n_words"),
             F.length(F.translate(t, BLANK_CHARS, "")).cast("long").alias("word_chars"),
             count_chars(t, SYMBOLS).alias("n_symbols"),
@@ -92,7 +93,7 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
             count_chars(t, "!").alias("n_shouts"),
             size(F.filter(lines, lambda x: x.rlike(f"(\\.\\.\\.|…)[{BLANKS}]*$"))).alias("n_ellipsis_lines"),
             size(F.filter(lines, lambda x: x.rlike(f"^[{BLANKS}]*[-*•]"))).alias("n_bullet_lines"),
-        ).alias("q"))
+        ))).alias("q"))
     )
 
 
