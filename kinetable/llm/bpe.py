@@ -12,12 +12,13 @@ import json
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 
-from kinetable.llm.common import annotated
+from kinetable.llm.common import annotated, worker_state
 
 #: Remembered entries of each kind in one task, and the longest entry in bytes.
-CACHE_ENTRIES, CACHE_BYTES = 200_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 400_000, 48
 
 
 def byte_symbols() -> list[str]:
@@ -45,6 +46,8 @@ class Vocabulary:
         self.split_special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         tok = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = tok.normalizer, tok.pre_tokenizer
+        first = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"].get("pretokenizers") else {}
+        self.simple = spec["normalizer"].get("normalizers") == _NORMAL and first.get("pattern") == {"Regex": _PATTERN}
         value = {c: b for b, c in enumerate(byte_symbols())}
         self.value = value
         self.inside = np.zeros((256, 256), bool)
@@ -86,59 +89,84 @@ class Vocabulary:
         return [self.ids[s] for s, ok in zip(symbols, alive) if ok]
 
 
-class _Fragments(dict):
-    """(fragment, ends its word) -> ids."""
+class _Remembered(dict):
+    """Results of ``make`` by key, for short keys, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, make):
+        self.make = make
 
-    def __missing__(self, key: tuple[str, bool]) -> tuple[int, ...]:
-        symbols = list(key[0])
-        if key[1]:
-            symbols[-1] += self.v.suffix
-        ids = tuple(self.v.merged(symbols))
-        if len(key[0]) <= CACHE_BYTES:
+    def __missing__(self, key):
+        made = self.make(key)
+        if len(key) <= CACHE_BYTES:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-            self[key] = ids
-        return ids
+            self[key] = made
+        return made
+
+
+#: Printable characters below U+0250: composed, with one-to-one lower case but for U+0130, and of settled classes. In text of
+#: these, pieces are found by pattern; the tokenizer file's own normaliser and splitter take all other text.
+_PLAIN = re.compile(r"[\x21-\x7e\u00a1-\u024f]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: What a tokenizer file must say for that.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class Encoder(dict):
-    """Blank-free chunk of UTF-8 -> its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Ids and tokens of texts: blank-free chunks, their pieces and the pieces' fragments are each remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.fragments, self.texts = vocabulary, _Fragments(vocabulary), {}
-
-    def _plain(self, text: str) -> list[int]:
-        """A stretch without special tokens: normalise, cut into pieces, cut pieces into fragments, encode each."""
-        out: list[int] = []
-        for piece, _ in self.v.pre_tokenizer.pre_tokenize_str(self.v.normalizer.normalize_str(text)):
-            parts = self.v.fragments(piece)
-            for part in parts[:-1]:
-                out += self.fragments[part, False]
-            out += self.fragments[parts[-1], True]
-        return out
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text, ids, at = chunk.decode(), [], 0
-        for m in self.v.split_special.finditer(text):
-            if m.start() > at:
-                ids += self._plain(text[at: m.start()])
-            ids.append(self.v.special[m[0]])
-            at = m.end()
-        if at < len(text):
-            ids += self._plain(text[at:])
-        raw = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= CACHE_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = raw
-        return raw
+        self.v = vocabulary
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.inner = _Remembered(lambda part: tuple(vocabulary.merged(list(part))))
+        self.last = _Remembered(lambda part: tuple(vocabulary.merged([*part[:-1], part[-1] + vocabulary.suffix])))
+        self.pieces = _Remembered(self._piece)
+        self.chunks = _Remembered(self._chunk)
+
+    def _made(self, ids: list[int]) -> tuple[bytes, str]:
+        return np.array(ids, "<u4").tobytes(), " ".join([self.v.tokens[i] for i in ids])
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        """A piece in byte symbols: cut into fragments, each encoded independently; the last one ends the word."""
+        *parts, end = self.v.fragments(piece)
+        return self._made([i for part in parts for i in self.inner[part]] + list(self.last[end]))
+
+    def _stretch(self, text: str) -> list[tuple[bytes, str]]:
+        """Text without special tokens."""
+        if self.v.simple and _PLAIN.fullmatch(text):
+            low = text.lower()
+            found = _PIECES.findall(low)
+            if not low.isascii():
+                found = [p.encode().decode("latin-1").translate(self.symbols) for p in found]
+        else:
+            found = [p for p, _ in self.v.pre_tokenizer.pre_tokenize_str(self.v.normalizer.normalize_str(text))]
+        return [self.pieces[p] for p in found]
+
+    def _chunk(self, chunk: bytes) -> tuple[bytes, str]:
+        text = chunk.decode()
+        if not self.v.split_special.search(text):
+            made = self._stretch(text)
+        else:
+            made, at = [], 0
+            for m in self.v.split_special.finditer(text):
+                if m.start() > at:
+                    made += self._stretch(text[at: m.start()])
+                made.append(self._made([self.v.special[m[0]]]))
+                at = m.end()
+            if at < len(text):
+                made += self._stretch(text[at:])
+        return b"".join([m[0] for m in made]), " ".join([m[1] for m in made])
+
+    def both(self, text: str | None) -> tuple[bytes, str]:
+        """Ids of a whole text, and what they decode to. ASCII blanks never join two tokens, so chunks between them stand alone."""
+        if not text:
+            return b"", ""
+        made = list(map(self.chunks.__getitem__, text.encode().split()))
+        return b"".join([m[0] for m in made]), " ".join([m[1] for m in made if m[0]])
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text. Blanks (ASCII) never join two tokens, so chunks between them stand alone."""
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        return self.both(text)[0]
 
     def decode(self, raw: bytes) -> str:
         """Tokens joined by spaces, special ones included: this vocabulary has no decoder of its own."""
@@ -154,11 +182,11 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     def make():
-        encoder = Encoder(Vocabulary(path))
+        encoder = worker_state(("bpe", path), lambda: Encoder(Vocabulary(path)))
 
         def run(texts: list) -> list[list]:
-            raw = [encoder.encode(t) for t in texts]
-            return [raw, [encoder.decode(r) for r in raw]]
+            made = [encoder.both(t) for t in texts]
+            return [[m[0] for m in made], [m[1] for m in made]]
 
         return run
 

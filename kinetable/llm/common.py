@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,6 +61,14 @@ def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
 
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in each Python worker and kept for its later tasks."""
+    held = sys.modules.setdefault("_kinetable_worker_state", types.ModuleType("_kinetable_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def fold(key: Column | str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key falls in fold 0."""
     key = F.col(key) if isinstance(key, str) else key
