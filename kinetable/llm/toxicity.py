@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.llm.common import annotated, bounded_sample, broadcast_model, fold, map_arrow
 
 #: Texts of the fit: confirmed toxic and unlabelled ones, about, each of at most so many characters.
 POSITIVES, UNLABELLED, SAMPLE_CHARS = 4000, 16000, 50_000
-#: A feature is used if it stands in so many toxic texts of the sample, and so many times oftener than in unlabelled ones.
+#: A feature is used if it stands in so many toxic texts of the sample, and so many times oftener than in clean ones.
 MIN_TEXTS, MIN_LIFT, MAX_FEATURES = 8, 4.0, 20_000
+#: Standard deviations of the sampled counts that are added to a feature's share of clean texts before its lift is taken.
+DEVIATIONS = 1.0
 STEPS, RATE, DECAY = 150, 0.05, 1e-4
 CACHE_WORDS = 300_000
 
@@ -116,6 +118,18 @@ def fit_nnpu(positive: list, unlabelled: list, width: int, prior: float) -> tupl
     return w, float(b)
 
 
+def clean_lift(np_: Column, nu: Column, n_pos: int, n_unl: int, prior: float) -> Column:
+    """How many times oftener a feature stands in toxic than in clean texts, from the texts of either sample that hold it.
+
+    Unlabelled texts are a mixture, so their toxic part is taken off by the prior; the clean share is read ``DEVIATIONS``
+    above what is left, as a difference of two small counts is mostly noise.
+    """
+    toxic, mixed = (np_ + 0.5) / (n_pos + 1), (nu + 0.5) / (n_unl + 1)
+    noise = F.sqrt(mixed / (n_unl + 1) + prior * prior * toxic / (n_pos + 1))
+    clean = (F.greatest(mixed - prior * toxic, F.lit(0.0)) + DEVIATIONS * noise) / (1 - prior)
+    return toxic / clean
+
+
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", prior: float | None = None) -> Model:
     """A model from documents outside fold 0.
 
@@ -127,7 +141,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     counts = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
     if prior is None:
         prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    prior = min(max(prior, 1e-3), 0.5)
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
     usable = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(
         F.col("t").isNotNull() & (fold("k") != 0) & (F.length("t") <= SAMPLE_CHARS))
     chosen_pos = bounded_sample(marks.where("toxic = 1").dropDuplicates(["k"]), "toxic", POSITIVES, "k")
@@ -145,7 +159,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
             [pa.array(both, pa.int64()), *(pa.array([seen[g][f] for f in both], pa.int64()) for g in (1, 0))], names=["f", "np", "nu"])
 
     sizes = {r[0]: r[1] for r in sample.groupBy("g").count().collect()}
-    lift = ((F.col("np") + 0.5) / (sizes.get(1, 0) + 1)) / ((F.col("nu") + 0.5) / (sizes.get(0, 0) + 1))
+    lift = clean_lift(F.col("np"), F.col("nu"), sizes.get(1, 0), sizes.get(0, 0), prior)
     features = [r[0] for r in map_arrow(sample, tally, "f long, np long, nu long").groupBy("f").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
                 .where((F.col("np") >= MIN_TEXTS) & (lift > MIN_LIFT)).orderBy(lift.desc(), "f").limit(MAX_FEATURES).select("f").collect()]
     chosen = {f: i for i, f in enumerate(features)}

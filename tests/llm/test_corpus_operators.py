@@ -333,6 +333,22 @@ def test_classifiers(spark, messy, nothing, module, label, least):
     assert all(0 <= r.score <= 1 for r in module.scored(messy, blank).select("score").collect())
 
 
+def test_toxicity_of_copied_text(spark):
+    """One toxic document copied into a third of all rows: its copies and other toxic texts are found, clean ones are not."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    common, foul = [word() for _ in range(200)], ["zq" + word() for _ in range(30)]
+    prose = lambda words, n: [rnd.choice(words) for _ in range(n)]
+    made = lambda toxic: " ".join(prose(common, 30) + (prose(foul, 12) if toxic else []))
+    copied = made(True)
+    rows = [(i, copied, 1) if i % 3 == 0 else (i, made(i % 7 == 0), int(i % 7 == 0)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.trained(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    got = [(r.score >= 0.5, r.row.toxic, r.row.doc_id % 3 == 0) for r in toxicity.scored(docs, model).collect()]
+    share = lambda toxic, copy: np.mean([x for x, y, z in got if (y, z) == (toxic, copy)])
+    assert share(1, True) == 1 and share(1, False) >= 0.8 and share(0, False) <= 0.05
+
+
 def test_labels_of_fold_zero_are_unread(spark):
     """Scores stay the same whatever the labels of the held-out fold say."""
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
