@@ -1,14 +1,16 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped so that each block element starts a new line, and a removed region (scripts, menus, headers and
-footers, sidebars, adverts, forms, comments) leaves a gap of empty lines. The length of text in a sliding window of lines
-then surges where the main text begins and dives where it ends; lines between surge and dive are the text.
+Markup is stripped so that each block element starts a new line, and a removed region (menus, headers and footers,
+sidebars, adverts, forms, comments) leaves a gap of empty lines; what is never shown, such as scripts, leaves none. The
+length of text outside links in a sliding window of lines surges where the main text begins and dives where it ends: all
+between the first surge and the last dive is the text, with the headings and short paragraphs that adjoin it.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -16,7 +18,7 @@ from kinetable.llm.common import annotated
 
 #: Lines of a window, and empty lines that a removed region leaves, so that windows never reach across one.
 WINDOW = GAP = 3
-#: A window holding so many characters outside links is a surge; where a page has none, its fullest window is.
+#: Windows of so many characters outside links are main text; where a page has none, its fullest ones are.
 SURGE = 80
 
 _BREAKS = frozenset(
@@ -26,6 +28,11 @@ _REMOVED = frozenset(
     "aside button canvas datalist embed footer form head header iframe input map math menu nav noscript object option "
     "script select style svg template textarea title video audio".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Removed elements that show nothing or are drawn inside a line: they leave no gap.
+_UNSEEN = frozenset("datalist head input map math noscript script style svg template title".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: a short one next to the main text belongs to it, where a bare div may be a menu or a notice.
+_PROSE = _HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
 #: Words in a class, id or role that name a region beside the main text.
 _ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|cookie|"
@@ -39,19 +46,44 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+class _Line(NamedTuple):
+    text: str
+    #: Characters outside links.
+    plain: int
+    #: 0 outside what the page marks, 1 in ``main``, 2 in ``article``.
+    marked: int
+    #: The block element that the text stands in, its number and that of the element around it.
+    tag: str
+    block: int
+    parent: int
+
+
+_GAP = _Line("", 0, 0, "", -1, -1)
+
+
+class _Open(NamedTuple):
+    tag: str
+    gone: bool
+    #: Removed for its class, id or role.
+    named: bool
+    number: int
+
+
 class _Page:
     """Lines of text of a page and their lengths outside links; a removed region leaves ``GAP`` empty lines.
 
     Where the page marks its article (``article`` or ``main``), all outside it counts as removed, and a region removed
     inside it leaves no gap. Unclosed tags end with what encloses them; stray end tags end a line and nothing else.
+    ``unwrap``: elements that enclose an article are not removed for their names.
     """
 
-    def __init__(self, html: str):
-        self.lines: list[tuple[str, int, bool]] = []
+    def __init__(self, html: str, unwrap: bool = False):
+        self.lines: list[_Line] = []
         self.parts: list[str] = []
-        self.plain = 0
-        self.open: list[tuple[str, bool]] = []
-        self.hidden = self.articles = self.links = 0
+        self.plain = self.started = 0
+        self.open: list[_Open] = []
+        self.hidden = self.articles = self.mains = self.links = self.headings = 0
+        self.unwrap, self.wrapped, self.titled = unwrap, False, False
         at = 0
         while m := _TAG.search(html, at):
             self._text(html[at: m.start()])
@@ -83,57 +115,110 @@ class _Page:
     def _end_line(self) -> None:
         text = _BLANKS.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, min(self.plain, len(text)), self.articles > 0))
+            blocks = (x for x in reversed(self.open) if x.tag in _BREAKS)
+            own, around = next(blocks, None), next(blocks, None)
+            marked = 2 if self.articles else 1 if self.mains else 0
+            self.lines.append(_Line(text, min(self.plain, len(text)), marked, own.tag if own else "", own.number if own else 0, around.number if around else 0))
         self.parts.clear()
         self.plain = 0
 
+    def _shown(self) -> None:
+        """Open elements that were removed for their names are shown from here on."""
+        self.open = [x._replace(gone=False) if x.named else x for x in self.open]
+        self.hidden = sum(x.gone for x in self.open)
+
     def _start(self, tag: str, attrs: str) -> None:
-        gone = tag in _REMOVED and not (tag == "header" and self.articles)
-        if not gone and attrs and tag not in ("html", "body", "main") and (tag != "article" or self.articles):
-            gone = any(_ASIDE.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
-        if not self.hidden and (gone or tag in _BREAKS):
+        inside = self.articles or self.mains
+        if tag in ("article", "main") and self.hidden and not inside and self.hidden == sum(x.gone and x.named for x in self.open):
+            self.wrapped = True
+            if self.unwrap:
+                self._shown()
+        if tag == "h1" and inside and not self.titled:
+            # What encloses the heading of the marked article is no region beside it.
+            if self.hidden and self.hidden == sum(x.gone and x.named for x in self.open):
+                self._shown()
+            self.titled = not self.hidden
+        gone = tag in _REMOVED and not (tag == "header" and inside)
+        named = False
+        if not gone and attrs and tag not in ("html", "body", "main") and (tag != "article" or inside) and not (
+                inside and (self.headings or tag in _HEADINGS or tag == "header")):
+            named = any(_ASIDE.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
+            gone = named
+        if not self.hidden and (gone and tag not in _UNSEEN or tag in _BREAKS):
             self._end_line()
-        if gone and not self.hidden and not self.articles:
-            self.lines += [("", 0, False)] * GAP
+        if gone and not self.hidden and not inside and tag not in _UNSEEN:
+            self.lines += [_GAP] * GAP
         if tag in _VOID or attrs.endswith("/") and tag not in _BREAKS:
             return
-        self.open.append((tag, gone))
+        self.started += 1
+        self.open.append(_Open(tag, gone, named, self.started))
         self.hidden += gone
-        self.articles += tag in ("article", "main")
-        self.links += tag == "a"
+        self._count(tag, 1)
+
+    def _count(self, tag: str, by: int) -> None:
+        self.articles += by * (tag == "article")
+        self.mains += by * (tag == "main")
+        self.links += by * (tag == "a")
+        self.headings += by * (tag in _HEADINGS)
 
     def _close(self, tag: str) -> None:
         if tag in _BREAKS and not self.hidden:
             self._end_line()
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None or tag == "p" and any(x[0] in _BREAKS and x[0] != "p" for x in self.open[at + 1:]):
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag), None)
+        if at is None or tag == "p" and any(x.tag in _BREAKS and x.tag != "p" for x in self.open[at + 1:]):
             return
-        for name, gone in self.open[at:]:
-            self.hidden -= gone
-            self.articles -= name in ("article", "main")
-            self.links -= name == "a"
+        for x in self.open[at:]:
+            self.hidden -= x.gone
+            self._count(x.tag, -1)
         del self.open[at:]
 
 
-def main_text(html: str | None) -> str:
-    """Lines between each surge and the dive after it, joined by line feeds."""
-    lines = _Page(html).lines if html else []
-    if any(inside for text, _, inside in lines if text):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
-    lengths = [n for _, n, _ in lines] + [0] * WINDOW
+def _text_like(line: _Line) -> bool:
+    return line.tag in _PROSE and 2 * line.plain > len(line.text)
+
+
+def _span(lines: list[_Line]) -> tuple[int, int]:
+    """First line of the main text and the line after its last: the first surge, the last dive, and what adjoins them."""
+    lengths = [x.plain for x in lines] + [0] * WINDOW
     sums = [sum(lengths[i: i + WINDOW]) for i in range(len(lines))]
     surge = min(SURGE, max(sums, default=0))
-    kept: list[str] = []
-    at = 0
-    while at < len(lines):
-        end = at
-        # A run ends where the window has nothing left: the dive.
-        while end < len(lines) and any(text for text, _, _ in lines[end: end + WINDOW]):
-            end += 1
-        if end > at and max(sums[at:end]) >= surge:
-            kept += [text for text, _, _ in lines[at:end] if text]
-        at = end + 1
-    return "\n".join(kept)
+    if not surge:
+        return 0, len(lines)
+    full = [i for i, n in enumerate(sums) if n >= surge]
+    first, last = full[0], min(full[-1] + WINDOW, len(lines))
+    # Short lines at either edge of the outermost windows did not make them full.
+    while sum(lengths[first + 1: full[0] + WINDOW]) >= surge:
+        first += 1
+    while sum(lengths[full[-1]: last - 1]) >= surge:
+        last -= 1
+    blocks = {x.block for x in lines[first:last] if x.text}
+    parents = {x.parent for x in lines[first:last] if x.text and x.parent}
+    for step in (-1, 1):
+        at, gap = (first - 1 if step < 0 else last), False
+        while 0 <= at < len(lines):
+            x = lines[at]
+            if not x.text:
+                gap = True
+            elif _text_like(x) and (not gap or x.parent in parents or step < 0 and x.tag in _HEADINGS) or not gap and x.block in blocks and 2 * x.plain > len(x.text):
+                first, last = min(first, at), max(last, at + 1)
+            else:
+                break
+            at += step
+    return first, last
+
+
+def main_text(html: str | None) -> str:
+    """Lines from the first surge to the last dive, and all of a marked article, joined by line feeds."""
+    if not html:
+        return ""
+    page = _Page(html)
+    lines = page.lines
+    if page.wrapped and not any(x.marked for x in lines):
+        lines = _Page(html, unwrap=True).lines
+    if any(x.marked for x in lines):
+        lines = [x for x in lines if x.marked]
+    first, last = _span(lines)
+    return "\n".join(x.text for i, x in enumerate(lines) if x.text and (x.marked == 2 or first <= i < last))
 
 
 def extracted(df: DataFrame, html: str = "html") -> DataFrame:

@@ -382,6 +382,23 @@ def test_page_text():
     assert html_text.main_text(f"<article>{'<p>ab</p>' * 20000}</article>") == "\n".join(["ab"] * 20000)
 
 
+def test_page_text_between_surge_and_dive():
+    """Short lines in bare divs beside the text go; headings, short paragraphs and what lies between stay."""
+    long = " ".join(["word"] * 40)
+    cases = {
+        f"<h1>Short title</h1><div class=share>..</div><p>{long}</p>": f"Short title\n{long}",
+        f"<p>{long}</p><script>x()</script><p>Short end.</p><footer>f</footer>": f"{long}\nShort end.",
+        f"<div>Home</div><div>About us</div><div><p>{long}</p><p>Short end.</p></div><div>(c) Company</div>": f"{long}\nShort end.",
+        f"<p>{long}</p><aside>x</aside><p>Mid.</p><div class=ad>x</div><p>{long}</p>": f"{long}\nMid.\n{long}",
+        f"<main><div>Home</div><p>{long}</p><p>End.</p><div>(c) Company</div></main>": f"{long}\nEnd.",
+        f"<p>a {long}<svg><text>t</text></svg> b</p>": f"a {long} b",
+        f"<div>{long}<br>Short end.</div><div>(c)</div>": f"{long}\nShort end.",
+    }
+    for page, text in cases.items():
+        assert html_text.main_text(page) == text, page
+    assert html_text.main_text("<p>ab" * 20000) == "\n".join(["ab"] * 20000)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<p>x"), (2, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in html_text.extracted(pages).select("row.page_id", "main_text").collect()) == [(1, ""), (2, "x"), (2, "x")]
