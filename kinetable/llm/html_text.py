@@ -33,11 +33,17 @@ _UNSEEN = frozenset("datalist head input map math noscript script style svg temp
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text: a short one next to the main text belongs to it, where a bare div may be a menu or a notice.
 _PROSE = _HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
-#: Words in a class, id or role that name a region beside the main text.
+_REGION = (
+    "ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|cookie|cookies|disqus|"
+    "footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|replies|respond|"
+    "search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget")
+#: A whole class, id or role that names a region beside the main text, with words of place before it and of kind after it.
+#: Other words make it something else: ``has-sidebar`` is a layout, ``entry-header`` a part of the text.
 _ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|complementary|consent|cookie|"
-    r"cookies|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|"
-    r"replies|respond|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_\d-])", re.I)
+    rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sticky|mobile|sub|{_REGION})[_-]+)*(?:{_REGION})"
+    r"(?:[_-]+(?:area|bar|block|box|button|buttons|container|content|form|holder|icons|inner|item|items|left|right|top|bottom|"
+    r"link|links|list|main|menu|panel|primary|secondary|section|slot|text|title|unit|widget|wrap|wrapper|posts|articles|stories|"
+    rf"{_REGION}))*(?:[_-]*\d[\w-]*)?", re.I)
 _BLANKS = re.compile(r"\s+")
 #: Elements whose content is text up to their own end tag.
 _RAW = frozenset("script style textarea title noscript iframe".split())
@@ -142,7 +148,7 @@ class _Page:
         named = False
         if not gone and attrs and tag not in ("html", "body", "main") and (tag != "article" or inside) and not (
                 inside and (self.headings or tag in _HEADINGS or tag == "header")):
-            named = any(_ASIDE.search(a or b or c) for _, a, b, c in _ATTR.findall(attrs))
+            named = any(_ASIDE.fullmatch(name) for _, a, b, c in _ATTR.findall(attrs) for name in (a or b or c).split())
             gone = named
         if not self.hidden and (gone and tag not in _UNSEEN or tag in _BREAKS):
             self._end_line()

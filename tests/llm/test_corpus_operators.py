@@ -399,6 +399,18 @@ def test_page_text_between_surge_and_dive():
     assert html_text.main_text("<p>ab" * 20000) == "\n".join(["ab"] * 20000)
 
 
+def test_page_regions_by_class_name():
+    """A class names a region as a whole word; layouts and what encloses the article or its heading are no regions."""
+    long = " ".join(["word"] * 40)
+    for name in ("content has-sidebar", "post no-sidebar", "with-sidebar", "search-results", "elementor-widget", "sidebar"):
+        assert html_text.main_text(f"<div class='{name}'><article><p>{long}</p></article></div>") == long, name
+    for head in ("<header class='entry-header'><h1>T</h1></header>", "<div class=banner><h1 class=header>T</h1></div>", "<h1><span class=ad>T</span></h1>"):
+        assert html_text.main_text(f"<article>{head}<p>{long}</p></article>") == f"T\n{long}", head
+    for name in ("ad", "x site-footer", "main-nav", "comment-list", "sidebar_left", "share-buttons", "widget-area", "ad-300x250", "related-posts"):
+        assert html_text.main_text(f"<article><p>{long}</p><div class='{name}'><p>x</p></div></article><div class={name.split()[-1]}><article>y</article></div>") == long, name
+    html_text.main_text(f"<p class='ad{'1-' * 5000}!'>x")
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<p>x"), (2, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in html_text.extracted(pages).select("row.page_id", "main_text").collect()) == [(1, ""), (2, "x"), (2, "x")]
