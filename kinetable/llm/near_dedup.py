@@ -32,9 +32,6 @@ BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 19
 #: Members of a bucket's largest component that its other members meet before that pass.
 PROBES = 4
 
-#: Rows without id are numbered from here by their text inside the operator; ids must lie below.
-NO_ID = 1 << 62
-
 _RNG = np.random.default_rng(20240501)
 _MASKS = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MULTS = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -261,6 +258,21 @@ def _rest_links(members: DataFrame) -> DataFrame:
     return across.union(down).groupBy("bucket", "bi", "bj").applyInPandas(run, "a long, b long").distinct()
 
 
+def _numbered(df: DataFrame, key: str, text: str) -> tuple[Column, DataFrame | None]:
+    """Each row's node: its id, of any value, or where that is null a hash of its text that is no row's id. And the
+    nodes of rows without id, if there are any."""
+    own, t = F.col(f"`{key}`").cast(LongType()), F.col(f"`{text}`").cast(StringType())
+    seed = 0
+    while True:
+        node = F.coalesce(own, F.xxhash64(F.lit(seed), t))
+        unnamed = staged(df.where(own.isNull()).select(node.alias("node")).distinct(), "near-unnamed")
+        if unnamed.isEmpty():
+            return node, None
+        if df.where(own.isNotNull()).select(own.alias("node")).join(unnamed.hint("merge"), "node", "left_semi").isEmpty():
+            return node, unnamed
+        seed += 1
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id (least id reachable over links), kept (doc_id is that id).
 
@@ -274,8 +286,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Rows of null id belong to their text's component, which has null as its id if no member has one; such a row is kept
     if the component has no id. Other columns of ``df`` play no part.
     """
-    t = F.col(f"`{text}`").cast(StringType())
-    docs = df.select(F.coalesce(F.col(f"`{key}`").cast(LongType()), F.lit(NO_ID) + F.pmod(F.xxhash64(t), F.lit(1 << 60))).alias("node"), t.alias("text"))
+    node, unnamed = _numbered(df, key, text)
+    out = _found(df.select(node.alias("node"), F.col(f"`{text}`").cast(StringType()).alias("text")), unnamed)
+    return out.select(F.when(~F.col("unnamed"), F.col("node")).alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), "kept")
+
+
+def _found(docs: DataFrame, unnamed: DataFrame | None) -> DataFrame:
+    """Per row of ``docs`` (node, text): node, n_shingles, component (its least node), unnamed (the row has no id), least
+    (the component's least id) and kept."""
     sig = staged(signatures(docs), "near-signatures")
     has = sig.where(F.col("digest").isNotNull())
     classes = staged(has.groupBy("digest").agg(F.min("node").alias("rep")), "near-classes")
@@ -312,10 +330,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         comps = components(links, f"near-{step}")
 
     found = staged(classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "near-found")
-    out = sig.select("node", "n_shingles", "digest").join(found.hint("merge"), "digest", "left")
-    real = lambda c: F.when(c < NO_ID, c)
-    doc, least = real(F.col("node")), real(F.coalesce("component", "node"))
-    return out.select(doc.alias("doc_id"), "n_shingles", least.alias("component_id"), doc.eqNullSafe(least).alias("kept"))
+    out = sig.select("node", "n_shingles", "digest").join(found.hint("merge"), "digest", "left").select("node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    if unnamed is None:
+        return out.withColumns({"unnamed": F.lit(False), "least": F.col("component"), "kept": F.col("node") == F.col("component")})
+    # The least node may be one without id: components that hold such a node are named by their least id.
+    out = staged(out.join(unnamed.hint("merge").withColumn("unnamed", F.lit(True)), "node", "left").withColumn("unnamed", F.coalesce("unnamed", F.lit(False))), "near-unnamed-found")
+    mixed = out.where("unnamed").select("component").distinct()
+    ids = out.where("not unnamed").join(mixed.hint("merge"), "component", "left_semi").groupBy("component").agg(F.min("node").alias("id"))
+    names = staged(mixed.join(ids.hint("merge"), "component", "left").withColumn("mixed", F.lit(True)), "near-names")
+    least = F.when(F.col("mixed"), F.col("id")).otherwise(F.col("component"))
+    return out.join(names.hint("merge"), "component", "left").select(
+        "node", "n_shingles", "component", "unnamed", least.alias("least"), F.when(F.col("unnamed"), F.lit(None).cast("long")).otherwise(F.col("node")).eqNullSafe(least).alias("kept"))
 
 
 def _versions(has: DataFrame, classes: DataFrame) -> DataFrame:
@@ -326,7 +351,19 @@ def _versions(has: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the least of their component, with the columns of ``df``."""
-    kept = near_duplicates(df, key, text).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    own = df.select(packed(df), F.col(f"`{key}`").cast(LongType()).alias("_id"))
-    return own.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi").select("row.*")
+    """The rows of ``df`` whose id is the least of their component, with the columns of ``df``.
+
+    Of a component without any id one row stays; rows of null id without words are all kept, as they are linked with nothing.
+    """
+    node, unnamed = _numbered(df, key, text)
+    own = df.select(packed(df), node.alias("_node"))
+    found = _found(own.select(F.col("_node").alias("node"), F.col(f"row.`{text}`").cast(StringType()).alias("text")), unnamed).where("kept")
+    kept = found.where("not unnamed").select(F.col("node").alias("_node")).distinct()
+    named = own.where(F.col(f"row.`{key}`").isNotNull()) if unnamed is not None else own
+    out = named.join(kept, "_node", "left_semi").select("row")
+    if unnamed is not None:
+        bare = found.where("unnamed and (n_shingles = 0 or node = component)").select(F.col("node").alias("_node"), (F.col("n_shingles") > 0).alias("linked")).distinct()
+        rest = staged(own.where(F.col(f"row.`{key}`").isNull()).join(bare.hint("merge"), "_node"), "near-bare")
+        once = rest.where("linked").groupBy("_node").agg(F.first("row").alias("row")).select("row")
+        out = out.union(once).union(rest.where("not linked").select("row"))
+    return out.select("row.*")

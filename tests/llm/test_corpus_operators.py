@@ -80,6 +80,31 @@ def test_near_dedup_keeps_columns(messy, nothing):
     assert near_dedup.near_duplicates(nothing).collect() == [] and near_dedup.keep_first(nothing).collect() == []
 
 
+def test_near_dedup_of_any_ids(spark):
+    """Ids use all 64 bits; rows without id are judged by their own flag, and a component without ids keeps one row."""
+    text = lambda *w: " ".join(f"{x}{i}" for x in w for i in range(12))
+    ids = [-(1 << 63), -5, 0, (1 << 62) - 1, 1 << 62, (1 << 62) + 77, (1 << 63) - 1]
+    rows = [(i, text(f"a{n}x", f"b{n}x")) for n, i in enumerate(ids)]
+    copies = [((1 << 62) + 5, rows[0][1]), ((1 << 63) - 2, rows[4][1]), (None, rows[4][1]), (None, rows[0][1])]
+    bare = [(None, text("c", "d")), (None, text("c", "d").upper()), (None, text("c", "d") + " end"), (None, text("e", "f")), (None, " "), (None, " "), (None, None)]
+    df = spark.createDataFrame(rows + copies + bare, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows + copies + bare)
+    want = {**{i: i for i in ids}, (1 << 62) + 5: ids[0], (1 << 63) - 2: ids[4]}
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert Counter(r.component_id for r in got if r.doc_id is None) == Counter([ids[4], ids[0]] + [None] * len(bare))
+    kept = near_dedup.keep_first(df).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == ids
+    left = Counter((r.text or "").split(" ")[0].lower() for r in kept if r.doc_id is None)
+    assert left == {"c0": 1, "e0": 1, "": 3}
+    # A text whose hash is another row's id.
+    taken = spark.range(1).select(F.xxhash64(F.lit(0), F.lit(text("e", "f")))).first()[0]
+    df = spark.createDataFrame([(taken, text("g", "h")), (None, text("e", "f")), (1, text("e", "f"))], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == sorted([(taken, taken), (0, 1), (1, 1)])
+    assert sorted(r.doc_id for r in near_dedup.keep_first(df).collect()) == sorted([taken, 1])
+
+
 @pytest.mark.parametrize("rows,shingles", [(2048, 1 << 19), (16, 1 << 19), (2048, 900)])
 def test_rest_links_join_what_is_similar(spark, monkeypatch, rows, shingles):
     """The exhaustive pass joins the components of every similar pair, in buckets of one block or many."""
