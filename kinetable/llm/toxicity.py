@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.llm.common import annotated, bounded_sample, broadcast_model, fold, map_arrow
+from kinetable.session import staged
 
 #: Texts of the fit: confirmed toxic and unlabelled ones, about, each of at most so many characters.
 POSITIVES, UNLABELLED, SAMPLE_CHARS = 4000, 16000, 50_000
@@ -144,8 +145,9 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     usable = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(
         F.col("t").isNotNull() & (fold("k") != 0) & (F.length("t") <= SAMPLE_CHARS))
-    chosen_pos = bounded_sample(marks.where("toxic = 1").dropDuplicates(["k"]), "toxic", POSITIVES, "k")
-    pos = usable.join(chosen_pos.select("k"), "k", "left_semi").withColumn("g", F.lit(1))
+    # Staged, so that Spark sees how few keys these are and does not shuffle every text to find theirs.
+    chosen_pos = staged(bounded_sample(marks.where("toxic = 1").dropDuplicates(["k"]), "toxic", POSITIVES, "k").select("k"), "toxicity-keys")
+    pos = usable.join(chosen_pos, "k", "left_semi").withColumn("g", F.lit(1))
     unl = bounded_sample(usable.withColumn("g", F.lit(0)), "g", UNLABELLED, "k", seed=23)
     sample = pos.select("g", "t").union(unl.select("g", "t"))
 
