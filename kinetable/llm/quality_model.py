@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from kinetable.llm.common import annotated, bounded_sample, broadcast_model, fold
+from kinetable.session import staged
 
 #: Labelled texts of the fit, about, for each label, and their longest.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 200_000
@@ -169,7 +170,8 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("k"), F.col("quality").cast("int").alias("y"))
     counts = {r[0]: r[1] for r in marks.groupBy("y").count().collect()}
-    some = bounded_sample(marks.dropDuplicates(["k"]), "y", SAMPLE_ROWS, "k")
+    # Staged, so that Spark sees how few keys these are and does not shuffle every text to find theirs.
+    some = staged(bounded_sample(marks.dropDuplicates(["k"]), "y", SAMPLE_ROWS, "k"), "quality-keys")
     usable = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
     rows = annotated(usable.join(some, "k").select("y", "t"), lambda: lambda texts: [[features(t) for t in texts]], "t", "x array<double>").select("row.y", "x").collect()
     rows = sorted((int(r[0]), list(r[1])) for r in rows if r[0] in (0, 1))
