@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetable.llm import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality_model, quality_rules, sharding, toxicity
+from kinetable.llm import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality_model, quality_rules, sharding, toxicity, whitening
 from kinetable.llm.common import fold
 from kinetable.llm.oracles import ORACLES  # noqa: F401
 
@@ -98,3 +98,10 @@ def op5_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whitening.components(vectors, whitening.fitted(vectors))
+    return out.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
