@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetable.llm import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, quality_model, quality_rules, sharding, toxicity, whitening
+from kinetable.llm import bpe, decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, toxicity, whitening
 from kinetable.llm.common import fold
 from kinetable.llm.oracles import ORACLES  # noqa: F401
 
@@ -105,3 +105,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     out = whitening.components(vectors, whitening.fitted(vectors))
     return out.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query
+def op13_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
