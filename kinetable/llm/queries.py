@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinetable.llm import bpe, decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding, toxicity, whitening
+from kinetable.llm import (
+    bpe, conversation_repair, decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding,
+    toxicity, whitening,
+)
 from kinetable.llm.common import fold
 from kinetable.llm.oracles import ORACLES  # noqa: F401
 
@@ -111,3 +114,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repair = conversation_repair.Repair(conversation_repair.damaged(turns))
+    conv = F.struct("conv_id").alias("conv")
+    known = repair.summaries().select(conv, *(counts := ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]), "audit")
+    digests = repair.digests().select(conv, "sha256")
+    out = turns.select(conv).distinct().join(known, "conv", "left").join(digests, "conv", "left")
+    return out.select("conv.conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

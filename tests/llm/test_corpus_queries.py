@@ -17,7 +17,7 @@ COLUMNS = {
     4: "doc_id held_out score predicted", 5: "doc_id held_out lang_pred score", 6: "doc_id n_words n_hit n_items items_sha256 contaminated",
     7: "page_id url text n_chars", 8: "doc_id n_lines n_dropped kept_sha256", 9: "doc_id n_tokens ids_sha256 decoded_sha256",
     10: "doc_id size text_crc32 law shard slot grown_shard", 12: "vec_id component n deviation whitened explained identity_error",
-    13: "doc_id size source_size target taken",
+    11: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", 13: "doc_id size source_size target taken",
 }
 
 
