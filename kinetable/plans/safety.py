@@ -56,6 +56,7 @@ def _(t):
     return S.partial_block(t["documents"].select("doc_id", "text"), LONG_TERMS, "doc_id", fold=True)
 
 
+# The matching-block ratio is no edit distance that SQL could state; tests hold it against all pairs.
 @query("x20_partial_block_one_letter")
 def _(t):
     return S.partial_block(t["documents"].select("doc_id", "text"), LONG_TERMS, "doc_id", slack=1.0, fold=True)
@@ -68,7 +69,7 @@ _MANY = f"""b AS (SELECT DISTINCT unnest(string_split({_norm("regexp_replace(b.t
     h AS (SELECT doc_id, arg_min(term, o) AS partial_term FROM w JOIN m ON gram = term GROUP BY doc_id)"""
 
 
-def _many_terms(t):
+def many_terms(t):
     words = F.explode(F.split(norm_text(F.regexp_replace("text", "[^A-Za-z ]", " ")), " "))
     b = t["benchmark"].select(words.alias("term")).where(F.length("term") >= 6).distinct()
     return b.select("term", F.rank().over(Window.partitionBy(F.lit(0)).orderBy("term")).alias("term_order"))
@@ -77,14 +78,14 @@ def _many_terms(t):
 @query("x20_partial_many_terms", f"WITH {_MANY} SELECT doc_id, partial_term, CAST(2 AS BIGINT) AS n FROM h WHERE doc_id % 10 <> 0 UNION ALL SELECT NULL, partial_term, 2 * count(*) FROM h WHERE doc_id % 10 = 0 GROUP BY partial_term")
 def _(t):
     d = t["documents"].select(F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")).alias("doc_id"), "text")
-    return S.partial_block(d.union(d), _many_terms(t), "doc_id", fold=True).groupBy("doc_id", "partial_term").agg(F.count(F.lit(1)).alias("n"))
+    return S.partial_block(d.union(d), many_terms(t), "doc_id", fold=True).groupBy("doc_id", "partial_term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x22_screen_many_terms", f"""WITH {_MANY}, x AS (SELECT d.doc_id, arg_min(m.term, m.o) AS exact_term FROM d JOIN m ON regexp_matches(d.z, '\\b' || m.term || '\\b') GROUP BY d.doc_id)
     SELECT d.doc_id, CASE WHEN x.exact_term IS NOT NULL THEN 'EXACT: ' || x.exact_term WHEN h.partial_term IS NOT NULL THEN 'PARTIAL: ' || h.partial_term ELSE 'Prompt is safe' END AS message
     FROM d LEFT JOIN x USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def _(t):
-    return S.blocklist_screen(t["documents"].select("doc_id", "text"), "doc_id", [], [], _many_terms(t)).select("doc_id", "message")
+    return S.blocklist_screen(t["documents"].select("doc_id", "text"), "doc_id", [], [], many_terms(t)).select("doc_id", "message")
 
 
 _BAD = ", ".join(f"'{w}'" for w in sorted({w.strip().lower() for w in TERMS} - set(ALLOW)))

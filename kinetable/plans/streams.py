@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetable.functions.text import norm_text, to_ascii
-from kinetable.operators import stats as S
+from kinetable.operators import safety, stats as S
 from kinetable.plans.fixtures import view
-from kinetable.plans.registry import query, r, rs
+from kinetable.plans.registry import ORACLES, query, r, rs
+from kinetable.plans.safety import ALLOW, LONG_TERMS, TERMS, many_terms
 from kinetable.session import scratch_path
 from kinetable.streaming import jobs as J
 
@@ -71,3 +72,23 @@ def _(t):
     rule = ("pattern", F.when(norm_text(to_ascii("text")).contains("ment"), F.lit("listed word part")))
     J.run_to_table(J.screen_stream(_stream(t, "documents").select("doc_id", "text"), [rule]), out, ckpt)
     return t.spark.read.parquet(out).select("doc_id", "is_safe", "message")
+
+
+_PROMPTS = ("x22_screen", "x22_screen_many_terms")
+
+
+@query("t4_screen_lists_stream", ORACLES[_PROMPTS[0]])
+def _(t):
+    """Short lists: a projection of the stream itself."""
+    out, ckpt = scratch_path(t.spark, "screened"), scratch_path(t.spark, "screened-ckpt")
+    prompts = _stream(t, "documents").select("doc_id", "text")
+    J.run_to_table(safety.blocklist_screen(prompts, "doc_id", TERMS, ALLOW, LONG_TERMS).select("doc_id", "is_safe", "message"), out, ckpt)
+    return t.spark.read.parquet(out)
+
+
+@query("t4_screen_many_terms_stream", ORACLES[_PROMPTS[1]])
+def _(t):
+    """A list in a table: each micro-batch is screened like a table."""
+    out, ckpt = scratch_path(t.spark, "screened"), scratch_path(t.spark, "screened-ckpt")
+    J.screen_batches(_stream(t, "documents").select("doc_id", "text"), "doc_id", [], out, ckpt, exact_terms=many_terms(t))
+    return t.spark.read.parquet(out).select("doc_id", "message")

@@ -68,12 +68,36 @@ def refresh_partials(stream: DataFrame, by: Sequence[str], out: str, checkpoint:
 
 
 def screen_stream(stream: DataFrame, rules: Sequence[tuple[str, Column]], text: str = "text") -> DataFrame:
-    """Stateless prompt screening of a stream."""
+    """Stateless screening of a stream by column rules."""
     from kinetable.operators.safety import screen
 
     return screen(stream, rules, text)
 
 
+def screen_batches(
+    stream: DataFrame, key: str, terms: Sequence[str] | DataFrame, out: str, checkpoint: str, allow: Sequence[str] | DataFrame = (),
+    exact_terms: Sequence[str] | DataFrame | None = None, text: str = "text", min_chars: int = 6, slack: float = 0.4,
+) -> StreamingQuery:
+    """The full block-list screen of a stream of prompts, into one folder for each micro-batch below ``out``.
+
+    Lists may be tables of any length; they are read and normalised once, before the stream starts. A micro-batch is
+    screened like a table, so matches that need a join work too, and a batch that is retried replaces its own folder.
+    Lists short enough to travel in the plan can also be given to ``blocklist_screen`` on the stream itself.
+    """
+    from kinetable.operators.safety import blocklist_screen
+    from kinetable.session import staged
+
+    fixed = lambda t, label: staged(t, label) if isinstance(t, DataFrame) else t
+    terms, allow, exact_terms = fixed(terms, "stream-terms"), fixed(allow, "stream-allowed"), fixed(exact_terms, "stream-exact")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Read more than once where lists are long: written first, so the source is read once.
+        rows = staged(batch, "stream-prompts")
+        blocklist_screen(rows, key, terms, allow, exact_terms, text, min_chars, slack).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+
+    return run_batches(stream, write, checkpoint)
+
+
 def latest_per_key(updates: DataFrame, keys: Sequence[str], version: str = "batch_id") -> DataFrame:
     """Newest row per key of an update-mode table; a combinable aggregate."""
     rest = [c for c in updates.columns if c not in keys and c != version]

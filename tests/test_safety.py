@@ -1,6 +1,8 @@
 """Text matching against brute force."""
 
 import random
+import re
+import string
 from difflib import SequenceMatcher
 
 import pytest
@@ -105,3 +107,58 @@ def test_folding_and_flags_agree_with_the_plain_forms(spark):
     assert a == b == {1: "foo bar", 2: "foo bar", 3: None, 4: "bad", 5: "bad", 6: "foo bar"}
     c = {r.id: r.blocked for r in S.has_censored(df, terms, fold=True).collect()}
     assert c == {r.id: r.blocked for r in S.censor(folded, terms).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
+
+
+def _screened(df, terms, censored):
+    out = S.blocklist_screen(df, "id", censored, ["fine"], terms)
+    return sorted((str(r.id), r.text or "", r.message) for r in out.collect())
+
+
+@pytest.mark.parametrize("limit", [0, 2000])
+def test_lists_inside_the_plan_and_joined_lists_agree(spark, monkeypatch, limit):
+    """Terms with underscores, punctuation, no letters at all; null and repeated keys; a text copied into half the rows."""
+    monkeypatch.setattr(S, "INLINE_TERMS", limit)
+    monkeypatch.setattr(S, "FEW_HEADS", 2)
+    texts = [
+        "a plain text", "has foo_bar inside", "has foo bar inside", "foo_barred", "_bad_ token", "unbad token", "(Bad), token", "fine token", "x *** y", "***",
+        "say one-two now", "say one two now", "oneK two", "caf\u00e9bar here", "bar", "", None, "verylongterm!", "a verylongterm b", "FOO  BAR", "e\\Ed", "**** masked",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "has foo bar inside"), (1, "bar")] + [(100 + i, "copied verylongterm text") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    terms = ["foo bar", "foo_bar", "bar", "***", "one-two", "one", "verylongterm", "\\E"]
+    censored = ["bad", "fine", "not one", ".bad."]
+
+    def brute(text):
+        if not text:
+            return "Input is empty"
+        folded = re.sub(r"[^\x00-\x7F]+", " ", text)
+        if S.CENSORED in folded or any(w.strip(string.punctuation).lower() == "bad" for w in folded.split()):
+            return "CENSOR: censored word"
+        norm = re.sub(r"\s+", " ", folded).strip().lower()
+        for term in S.normalize_terms(terms):
+            if re.search(rf"\b{re.escape(term)}\b", norm):
+                return f"EXACT: {term}"
+        hit = brute_partial(norm, terms, 6, 0.4)
+        return f"PARTIAL: {hit}" if hit else "Prompt is safe"
+
+    assert _screened(df, terms, censored) == sorted((str(i), t or "", brute(t)) for i, t in rows)
+
+
+def test_short_lists_need_no_join_and_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, text string")
+    plan = S.blocklist_screen(df, "id", ["bad"], [], ["very bad", "worse"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("Generate") == 1
+
+
+def test_stream_of_prompts_with_long_lists(spark, monkeypatch, tmp_path):
+    from kinetable.streaming.jobs import screen_batches
+
+    monkeypatch.setattr(S, "INLINE_TERMS", 2)
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(i, f"text {i} term{i % 7}x") for i in range(40)]
+    spark.createDataFrame(rows, "id int, text string").repartition(4).write.parquet(inbox)
+    stream = spark.readStream.schema("id int, text string").option("maxFilesPerTrigger", 1).parquet(inbox)
+    listed = spark.createDataFrame([(f"Term{i}X", i) for i in range(5)], "term string, term_order long")
+    screen_batches(stream, "id", [], out, str(tmp_path / "ckpt"), exact_terms=listed)
+    got = {r.id: r.message for r in spark.read.parquet(out).collect()}
+    assert got == {i: f"EXACT: term{i % 7}x" if i % 7 < 5 else "Prompt is safe" for i in range(40)}
