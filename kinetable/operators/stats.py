@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinetable.operators.skew import frequent_keys
 from kinetable.session import staged
 
 # Fixed thresholds of the health report (normalised actions are expected near N(0, 1)).
@@ -17,6 +18,9 @@ OUTLIER_PCT = 0.5
 DRIFT_TOL = 0.05
 
 QUANTILE_ACCURACY = 10000
+#: Distinct values that are put in order for one quantile of one group, at most, and the cuts of a refining pass.
+RANGE_VALUES = 1 << 16
+RANGE_CUTS = 1000
 
 
 def explode_dims(df: DataFrame, vector: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -32,14 +36,16 @@ def exact_quantiles(
     aggs: Sequence[Column] = (),
     accuracy: int = QUANTILE_ACCURACY,
     lower: Sequence[str] = (),
+    most: int = RANGE_VALUES,
 ) -> DataFrame:
     """Linear-interpolated (or, for names in ``lower``, lower-neighbour) quantiles per group, exact, without holding a group.
 
     Pass one computes ``aggs`` and a mergeable sketch that brackets the wanted ranks
-    to a sliver of each group; its result (one row per group) is staged. Pass two
-    counts the values below a bracket and tallies only those inside it, both with
-    map-side combine, and reads off the two neighbouring order statistics. A bracket
-    that misses its rank raises instead of guessing.
+    to a sliver of each group; its result (one row per group) is staged. Where a group is
+    so large that the sliver may hold more than ``most`` distinct values, refining passes
+    narrow it. The last pass counts the values below a bracket and tallies only those
+    inside it, both with map-side combine, and reads off the two neighbouring order
+    statistics. A bracket that misses its rank raises instead of guessing.
     """
     names = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     keys = [F.col(b) for b in by] or [F.lit(0)]
@@ -78,6 +84,9 @@ def exact_quantiles(
             keep.alias("keep"), F.when(inside, v_now).alias("x"),
         ))
     wanted = sketch.where("_n > 0").select("_key", "_n", *columns)
+    # A sketch is off by 1 / accuracy of the rows at either edge; small groups have few values anyway.
+    widest = F.col("_n") * (2 * margin + 4.0 / accuracy)
+    wanted = _refined(keyed, v, wanted, len(probs), F.when(F.col("_n") > 2 * accuracy, widest).otherwise(F.lit(0.0)), accuracy, most)
     met = keyed.where(v.isNotNull()).select("_key", v.alias("_v")).join(wanted, "_key", "inner")
     any_keep = keeps[0]
     for k in keeps[1:]:
@@ -111,24 +120,59 @@ def exact_quantiles(
     return out.select(*[F.col(f"_key.{n}").alias(b) for n, b in zip(names, by)], *[c for c in out.columns if c != "_key"])
 
 
+def _refined(keyed: DataFrame, v: Column, wanted: DataFrame, n_probs: int, widest: Column, accuracy: int, most: int) -> DataFrame:
+    """``wanted`` with brackets that hold no more than ``most`` distinct values, give or take the sketch's error.
+
+    A pass counts the rows below a wide bracket and cuts those inside it in ``RANGE_CUTS`` ranges of about equal count,
+    by a mergeable sketch; the ranges that hold the rank become the bracket. Each pass leaves about two in a thousand.
+    """
+    wide = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_at{i}").alias("at"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi")) for i in range(n_probs)])
+    open_ = wanted.where(widest > most).select("_key", F.inline(wide), widest.alias("width")).where("lo < hi")
+    if open_.isEmpty():
+        return wanted
+    open_ = staged(open_, "quantile-ranges")
+    rows = keyed.where(v.isNotNull()).select("_key", v.alias("_v"))
+    cuts = F.array(*[F.lit(k / RANGE_CUTS) for k in range(RANGE_CUTS + 1)])
+    closed = None
+    while True:
+        inside = F.when(F.col("_v").between(F.col("lo"), F.col("hi")), F.col("_v"))
+        counted = rows.join(open_, "_key").where("_v <= hi").groupBy("_key", "i", "at", "lo", "hi").agg(
+            F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count(inside).alias("m"), F.percentile_approx(inside, cuts, accuracy).alias("cuts"))
+        slack = 2.0 / accuracy
+        first = F.floor(((F.floor("at") - F.col("below")) / F.col("m") - slack) * RANGE_CUTS).cast("int")
+        last = F.ceil(((F.ceil("at") + 1 - F.col("below")) / F.col("m") + slack) * RANGE_CUTS).cast("int")
+        lo = F.when(first <= 0, F.col("lo")).otherwise(F.get("cuts", first))
+        hi = F.when(last >= RANGE_CUTS, F.col("hi")).otherwise(F.get("cuts", last))
+        width = F.col("m") * ((last - first) / F.lit(float(RANGE_CUTS)) + 2 * slack)
+        narrowed = staged(counted.select("_key", "i", "at", lo.alias("lo"), hi.alias("hi"), width.alias("width")), "quantile-ranges")
+        fits = (F.col("width") <= most) | (F.col("lo") >= F.col("hi"))
+        done = narrowed.where(fits)
+        closed = done if closed is None else closed.union(done)
+        open_ = narrowed.where(~fits)
+        if open_.isEmpty():
+            break
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    found = closed.groupBy("_key").agg(*[pick(c, i).alias(f"_new_{c}{i}") for i in range(n_probs) for c in ("lo", "hi")])
+    new = {f"_{c}{i}": F.coalesce(f"_new_{c}{i}", f"_{c}{i}") for i in range(n_probs) for c in ("lo", "hi")}
+    return wanted.join(staged(found, "quantile-ranges"), "_key", "left").withColumns(new).select(*wanted.columns)
+
+
 def grouped_medians(
     df: DataFrame, by: Sequence[str], values: dict[str, Column], aggs: Sequence[Column] = (), limit: int = 100_000,
 ) -> DataFrame:
     """Exact medians of several columns for very many, mostly small groups.
 
-    Groups up to ``limit`` rows use Spark's exact percentile, whose state is then
-    bounded. The (rare) larger ones are found by a cheap count first and go through
+    Groups up to ``limit`` rows, or up to a share of the rows that a shuffle partition holds anyway, use Spark's exact
+    percentile. The (rare) larger ones are found by one bounded sketch of frequent keys, without a shuffle, and go through
     :func:`exact_quantiles`; nothing of that path is planned when there are none.
     """
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
-    big = staged(counted, "big-groups")
     exact = [F.percentile(v, F.lit(0.5)).alias(n) for n, v in values.items()]
-    if big.isEmpty():
+    large_keys = frequent_keys(df, by, limit)
+    if not large_keys:
         return df.groupBy(*by).agg(*aggs, *exact)
-    flagged = df.withColumn("_k", F.struct(*by))
-    keys = big.select(F.struct(*by).alias("_k"))
-    rest = flagged.join(keys, "_k", "left_anti").groupBy(*by).agg(*aggs, *exact)
-    large = flagged.join(keys, "_k", "left_semi")
+    is_large = F.xxhash64(*by).isin(large_keys)
+    rest = df.where(~is_large).groupBy(*by).agg(*aggs, *exact)
+    large = df.where(is_large).withColumn("_k", F.struct(*by))
     rows = F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_value")) for n, v in values.items()]))
     med = exact_quantiles(large.select("_k", rows), ["_k", "_name"], "_value", {"_median": 0.5})
     wide = med.groupBy("_k").agg(*[F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in values])

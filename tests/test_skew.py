@@ -144,3 +144,41 @@ def test_global_order_of_hashed_ids_is_cut_evenly(spark):
     assert sum(sizes) == 20000 and 1 <= len(sizes) <= 200 and (len(sizes) == 1 or max(sizes) < 3 * 20000 / len(sizes))
     got = [r.pos for r in ordered_position(ids, ["h"]).orderBy("h").select("pos").collect()]
     assert got == list(range(20000))
+
+
+def test_quantiles_of_ten_million_values_order_few(spark, monkeypatch):
+    """One key with ten million distinct values: the bracket is narrowed until a task orders a set number of them."""
+    seen = []
+    real = stats._refined
+
+    def watched(keyed, v, wanted, *args):
+        out = real(keyed, v, wanted, *args)
+        rows = keyed.select("_key", v.alias("_v")).join(out, "_key")
+        inside = [F.count_if(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))) for i in range(3)]
+        seen.extend(rows.agg(*inside).first())
+        return out
+
+    monkeypatch.setattr(stats, "_refined", watched)
+    n = 10_000_000
+    # Squares, so that values crowd at one end; the permutation scatters them over the partitions.
+    df = spark.range(n).select(F.pow((F.col("id") * 7919) % n, F.lit(2)).alias("v"))
+    row = stats.exact_quantiles(df, [], "v", {"q01": 0.01, "q50": 0.5, "q99": 0.99}, accuracy=1000, most=500).first()
+
+    def want(p):
+        at = p * (n - 1)
+        a, b = float(int(at)) ** 2, float(min(n - 1, int(at) + 1)) ** 2
+        return a + (b - a) * (at - int(at))
+
+    assert all(abs(got - want(p)) <= 1e-9 * want(p) for got, p in zip(row, (0.01, 0.5, 0.99)))
+    assert max(seen) <= 1000
+
+
+@pytest.mark.parametrize("accuracy", [50, 1000])
+def test_refined_quantiles_with_ties_and_groups(spark, accuracy):
+    rng = np.random.default_rng(6)
+    values = {"ties": rng.integers(0, 9, 20000).astype(float), "wide": rng.standard_cauchy(30000) ** 3, "one": np.full(25000, 4.0), "few": rng.random(7)}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs], "g string, v double")
+    got = {r.g: r for r in stats.exact_quantiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.999, "d": 1.0}, accuracy=accuracy, most=20, lower=("b",)).collect()}
+    for g, xs in values.items():
+        low = np.sort(xs)[int(0.5 * (len(xs) - 1))]
+        assert np.allclose([got[g].a, got[g].b, got[g].c, got[g].d], [np.quantile(xs, 0.01), low, np.quantile(xs, 0.999), xs.max()])
