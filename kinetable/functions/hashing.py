@@ -38,6 +38,12 @@ def gaussian(*keys: Column | str, seed: int = 0) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * u2)
 
 
+def lcg_gaussian(id_col: Column | str, seed: int = 0) -> Column:
+    """Standard normal draw (Box-Muller) from two steps of the generator, so that SQL can repeat it."""
+    u1 = (lcg(id_col, seed) + 1) / F.lit(float(LCG_MODULUS))
+    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * lcg_uniform(id_col, seed + 7919))
+
+
 def pick_by_weight(u: Column, options: list[tuple[Column, Column]]) -> Column:
     """Choose among ``(value, weight)`` columns with draw ``u``; zero weights never win."""
     total = sum((w for _, w in options), F.lit(0.0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinetable.functions.python_tasks import match_cost
+from kinetable.functions.vectors import let
 from kinetable.operators.stats import exact_quantiles, grouped_medians
 from kinetable.session import staged
 
@@ -235,15 +238,41 @@ def centroid_costs(gt: Column, gen: Column) -> Column:
     return F.transform(gt, lambda a: F.transform(gen, lambda b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])))
 
 
-def centroid_distance(df: DataFrame, gt: str, gen: str, penalty: float, out: str = "tcd") -> DataFrame:
+#: Up to so many centroids on either side, all matchings are compared by an expression.
+FEW_TOOLS = 3
+
+
+def least_matching(costs: Column, rows: int = FEW_TOOLS) -> Column:
+    """Least cost of matching every row of a nested cost array with a column of its own; up to ``FEW_TOOLS`` of either.
+
+    Missing rows cost nothing, and missing columns drop out, as the least of several numbers leaves out nulls.
+    """
+    at = lambda i, j: F.get(F.get(costs, F.lit(i)), F.lit(j))
+    best = [F.least(*[functools.reduce(lambda a, b: a + b, [at(i, j) for i, j in enumerate(p)]) for p in itertools.permutations(range(FEW_TOOLS), n)])
+            if n > 1 else F.array_min(F.get(costs, F.lit(0))) for n in range(1, rows + 1)]
+    out = F.lit(0.0)
+    for n, least in enumerate(best, 1):
+        out = F.when(F.size(costs) == n, least).otherwise(out)
+    return out
+
+
+def centroid_distance(df: DataFrame, gt: str, gen: str, penalty: float, out: str = "tcd", most: int | None = None) -> DataFrame:
     """Mean matched centroid distance per frame; unmatched ground truth costs ``penalty``.
 
-    No ground truth gives null, nothing generated gives the penalty. One row is one
-    frame, so its centroids never meet another row's; the cheap cases stay in the JVM.
+    No ground truth gives null, nothing generated gives the penalty. One row is one frame, so its centroids never meet
+    another row's. ``most`` bounds the centroids of a side; where it is not given, one aggregate finds it. Up to
+    ``FEW_TOOLS`` all matchings are compared in the JVM; only frames beyond go to Python tasks.
     """
     n, m = F.size(gt), F.size(gen)
-    costed = df.withColumn("_cost", match_cost(F.col(gt)["x"], F.col(gt)["y"], F.col(gen)["x"], F.col(gen)["y"]))
-    matched = (F.col("_cost") + F.greatest(n - m, F.lit(0)) * penalty) / n
-    return costed.withColumn(
-        out, F.when(n == 0, None).when(m == 0, F.lit(float(penalty))).otherwise(matched)
-    ).drop("_cost")
+    if most is None:
+        most = df.agg(F.max(F.greatest(n, m))).first()[0] or 0
+    few = F.greatest(n, m) <= FEW_TOOLS
+    costs = F.when(n <= m, centroid_costs(F.col(gt), F.col(gen))).otherwise(centroid_costs(F.col(gen), F.col(gt)))
+    matched = lambda cost: (cost + F.greatest(n - m, F.lit(0)) * penalty) / n
+    distance = lambda cost: F.when(n == 0, None).when(m == 0, F.lit(float(penalty))).otherwise(matched(cost))
+    small = df.withColumn(out, distance(let(costs, lambda c: least_matching(c))))
+    if most <= FEW_TOOLS:
+        return small
+    small = df.where(F.coalesce(few, F.lit(True))).withColumn(out, distance(let(costs, lambda c: least_matching(c))))
+    large = df.where(~few).withColumn("_cost", match_cost(F.col(gt)["x"], F.col(gt)["y"], F.col(gen)["x"], F.col(gen)["y"]))
+    return small.unionByName(large.withColumn(out, distance(F.col("_cost"))).drop("_cost"))

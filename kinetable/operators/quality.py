@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinetable.functions.vectors import within_tolerance
 from kinetable.operators.ranking import in_ranges, ordered_position, position, running_sum
+from kinetable.operators.skew import heavy_keys, split_join
 
 # Fixed rules of the schema comparison.
 IMAGE_PREFIX = "observation.images."
@@ -173,15 +174,15 @@ def worst_mismatches(episodes: DataFrame, top: int = 5, a: str = "n_kin_source",
 def merge_reindex(shards: DataFrame, order: str = "orig_idx", task: str = "instruction", length: str = "length") -> DataFrame:
     """Global episode ids, frame offsets and first-seen task ids in discovery order.
 
-    Episodes without instruction share one task of null text.
+    Episodes without instruction share one task of null text. An instruction that most episodes have is dealt out over
+    several tasks where it meets its id.
     """
     cut = in_ranges(shards, [order])
     placed = position(cut, [], [order], F.col("_range"), "episode_index")
     framed = running_sum(placed, F.col(length), [], [order], F.col("_range"), "frame_offset").drop("_range")
     first = cut.groupBy(task).agg(F.min(order).alias("_first"))
     tasks = ordered_position(first, ["_first"], "task_index").drop("_first")
-    tasks = tasks.select(F.col(task).alias("_task"), "task_index")
-    return framed.join(tasks, F.col(task).eqNullSafe(F.col("_task")), "inner").drop("_task")
+    return split_join(framed, tasks.select(task, "task_index"), [task], spread=F.xxhash64(order), heavy=heavy_keys(cut, [task]))
 
 
 # --- reports ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinetable.operators.ranking import ordered_position
+from kinetable.operators.ranking import first_rows, in_ranges, ordered_position, position
 
 
 def shard_export(
@@ -66,9 +66,9 @@ def round_robin(df: DataFrame, n: int, order: str, out: str = "shard") -> DataFr
 
 
 def pick_indices(df: DataFrame, n: int, mode: str, order: str, draw: Column | None = None) -> DataFrame:
-    """``n`` rows at random (in draw order), evenly spaced, or the first ones."""
+    """``n`` rows at random (those of the least draws), evenly spaced, or the first ones."""
     if mode == "random":
-        return df.withColumn("_u", draw).orderBy("_u", order).limit(n).drop("_u")
+        return first_rows(df.withColumn("_u", draw), n, ["_u", order]).drop("_u")
     placed = ordered_position(df, [order], "_i", "_n")
     if mode == "sequential":
         return placed.where(F.col("_i") < n).drop("_i", "_n")
@@ -87,9 +87,18 @@ def pick_indices(df: DataFrame, n: int, mode: str, order: str, draw: Column | No
 
 
 def pick_episodes(df: DataFrame, k: int, draw: Column, by: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """``k`` rows per group in draw order. Spark trims each group map-side first."""
+    """``k`` rows per group, those of the least draws.
+
+    Up to the session's limit for ranks, Spark trims each group map-side first. Beyond it, whole groups would be ordered
+    in one task; there the rows are put in order in sampled ranges.
+    """
+    drawn = df.withColumn("_u", draw)
+    if k >= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        order = ["_u", *tie]
+        placed = position(in_ranges(drawn, [*by, *order]), by, order, F.col("_range"), "_rn")
+        return placed.where(F.col("_rn") < k).drop("_u", "_rn", "_range")
     w = Window.partitionBy(*by).orderBy("_u", *tie)
-    return df.withColumn("_u", draw).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_u", "_rn")
+    return drawn.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_u", "_rn")
 
 
 def duplicate_fractional(df: DataFrame, n: float, u: Column) -> DataFrame:

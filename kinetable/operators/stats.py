@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinetable.operators.ranking import first_rows
 from kinetable.operators.skew import frequent_keys
 from kinetable.session import staged
 
@@ -406,7 +408,7 @@ def sampled_action_stats(
     from kinetable.operators.sampling import pick_episodes
 
     usable = steps.where(F.col(base) == 0).select(*by).distinct()
-    picked = usable.withColumn("_u", draw).orderBy("_u", *by).limit(episodes).drop("_u")
+    picked = first_rows(usable.withColumn("_u", draw), episodes, ["_u", *by]).drop("_u")
     rows = steps.join(picked, list(by), "left_semi").join(
         frames.select(*by, F.col(order).alias(base), vector), [*by, base], "inner"
     )
@@ -415,21 +417,35 @@ def sampled_action_stats(
     )
 
 
-def frequent_patterns(actions: DataFrame, vector: str, k: int = 10, top: int = 3, seed: int = 42, iters: int = 30) -> DataFrame:
-    """Centroids and shares of the ``top`` largest of ``k`` clusters."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def frequent_patterns(actions: DataFrame, vector: str, draw: Column, k: int = 10, top: int = 3, iters: int = 30, tol: float = 1e-8) -> DataFrame:
+    """Centroids and shares of the ``top`` largest of ``k`` clusters (Lloyd's steps).
 
-    data = actions.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, maxIter=iters, seed=seed, initMode="random", tol=1e-8).fit(data)
-    spark = actions.sparkSession
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>"
-    )
-    sizes = model.transform(data).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    The first centroids are the ``k`` distinct vectors of the least draws, in that order, so the result is repeatable. A
+    step is one aggregate over the staged vectors; ``k`` centroids come to the driver and go into the next step as
+    constants. A cluster that loses all its vectors keeps its centroid. Ties go to the lower cluster.
+    """
+    rows = staged(actions.select(F.col(vector).cast("array<double>").alias("_v"), draw.alias("_u")).where("_v IS NOT NULL"), "patterns")
+    first = first_rows(rows.groupBy("_v").agg(F.min("_u").alias("_u")), k, ["_u", "_v"]).orderBy("_u", "_v").collect()
+    centres = [list(r["_v"]) for r in first]
+
+    def nearest() -> Column:
+        far = lambda c: F.aggregate(F.zip_with("_v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        listed = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")
+        return F.array_min(F.transform(listed, lambda c, i: F.named_struct(F.lit("d"), far(c), F.lit("i"), i)))["i"]
+
+    for _ in range(iters if centres else 0):
+        means = rows.select(nearest().alias("cluster"), F.posexplode("_v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x")).collect()
+        moved = [list(c) for c in centres]
+        for cluster, dim, x in means:
+            moved[cluster][dim] = x
+        shift = max(sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(centres, moved))
+        centres = moved
+        if shift <= tol * tol:
+            break
+    sizes = rows.groupBy(nearest().alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
     total = sizes.agg(F.sum("size")).scalar()
     ranked = sizes.withColumn("share", F.col("size") / total).orderBy(F.desc("size"), "cluster").limit(top)
-    return ranked.join(centres, "cluster", "inner")
+    return ranked.withColumn("centroid", F.get(F.from_json(F.lit(json.dumps(centres)), "array<array<double>>"), F.col("cluster")))
 
 
 # --- incremental refresh ---------------------------------------------------------

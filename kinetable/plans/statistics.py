@@ -183,10 +183,26 @@ def _(t):
     return s.select("dim", r("mean").alias("mean"), r("std").alias("std"))
 
 
-@query("a26_frequent_patterns")
+_STEPS, _EIGHT = 3, range(1, 9)
+_FAR = " + ".join(f"(p.v[{d}] - c.v[{d}]) * (p.v[{d}] - c.v[{d}])" for d in _EIGHT)
+
+
+def _lloyd(step: int) -> str:
+    """One step in SQL: the nearest centroid of each vector, then the means."""
+    means = ", ".join(f"avg(v[{d}])" for d in _EIGHT)
+    return f"""a{step} AS (SELECT vec_id, p_v AS v, cluster FROM (SELECT vec_id, p.v AS p_v, c.cluster, row_number() OVER (PARTITION BY vec_id ORDER BY {_FAR}, c.cluster) AS rn
+      FROM p CROSS JOIN c{step} c) WHERE rn = 1), c{step + 1} AS (SELECT cluster, [{means}] AS v FROM a{step} GROUP BY cluster)"""
+
+
+@query("a26_frequent_patterns", view("frames") + f""", p AS (SELECT vec_id, list_transform(emb[9:16], lambda x: CAST(x AS DOUBLE)) AS v, {u_sql('vec_id', 3)} AS u FROM frames),
+    f AS (SELECT v, min(u) AS u FROM p GROUP BY v), c0 AS (SELECT row_number() OVER (ORDER BY u, v) - 1 AS cluster, v FROM (SELECT * FROM f ORDER BY u, v LIMIT 10)),
+    {", ".join(_lloyd(i) for i in range(_STEPS + 1))}
+    SELECT a.cluster, count(*) AS size, {rs('count(*) / (SELECT count(*) FROM p)')} AS share, {", ".join(f"{rs(f'any_value(c.v[{d}])')} AS c{d}" for d in _EIGHT)}
+    FROM a{_STEPS} a JOIN c{_STEPS} c ON a.cluster = c.cluster GROUP BY a.cluster ORDER BY size DESC, a.cluster LIMIT 3""")
 def _(t):
-    p = S.frequent_patterns(t["frames"].select(slice_range("emb", 8, 16).alias("v")), "v")
-    return p.select("cluster", "size", r("share").alias("share"), F.concat_ws(",", F.transform("centroid", lambda x: F.round(x, 6).cast("string"))).alias("centroid"))
+    vectors = t["frames"].select(slice_range("emb", 8, 16).alias("v"), "vec_id")
+    p = S.frequent_patterns(vectors, "v", lcg_uniform("vec_id", 3), iters=_STEPS)
+    return p.select(F.col("cluster").cast("long").alias("cluster"), "size", r("share").alias("share"), *[r(F.get("centroid", F.lit(d - 1))).alias(f"c{d}") for d in _EIGHT])
 
 
 _PER_KEY = "avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min, max(v) AS max, quantile_cont(v, 0.01) AS q01, quantile_cont(v, 0.99) AS q99"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinetable.functions import vectors as V
+from kinetable.functions.hashing import lcg_gaussian, lcg_uniform
 from kinetable.operators import actions as A, mixture as M, quality as Q, stats as S, windows as W
-from kinetable.plans.fixtures import view
+from kinetable.plans.fixtures import u_sql, view
 from kinetable.plans.registry import query, r, rs
 
 ARM = A.Slice("state", "arm1_pose", 0, 7, "emb")
@@ -107,13 +108,21 @@ for _mode, _expr in {
           "FROM frames JOIN stats USING (dataset_id)")(lambda t, m=_mode: _normalised(t, m, True))
 
 
-@query("x13_perturb_dropout")
+_DRAW = "vec_id * 64 + i"
+_NORMAL = f"sqrt(-2 * ln((1 + 1000003 * {u_sql(_DRAW, 7)}) / 1000003)) * cos(2 * pi() * {u_sql(_DRAW, 7 + 7919)})"
+_NOISY = f"list_transform(range(0, 4), lambda i: least(greatest(j[i + 1] + 0.05 * {_NORMAL}, list_min(j)), list_max(j)))"
+
+
+@query("x13_perturb_dropout", view("frames") + f""", d AS (SELECT vec_id, list_transform(emb[{JOINTS.start + 1}:{JOINTS.end}], lambda x: CAST(x AS DOUBLE)) AS j FROM frames),
+    n AS (SELECT vec_id, len(j) AS width, {u_sql('vec_id', 9)} < 0.1 AS dropped, {_NOISY} AS x FROM d)
+    SELECT vec_id, width, {", ".join(f"{rs(f'CASE WHEN dropped THEN 0 ELSE x[{k + 1}] END')} AS j{k}" for k in range(4))} FROM n""")
 def _(t):
     from kinetable.operators.augment import dropout, perturb
 
     df = A.slice_modality(t["frames"], [JOINTS])
-    noisy = perturb(F.col("action_joints"), 0.05, 7, F.col("vec_id"))
-    return df.select("vec_id", F.size(noisy).alias("width"), dropout(noisy, 0.1, 7, F.col("vec_id")).alias("joints"))
+    noisy = perturb(F.col("action_joints"), 0.05, 7, noise=lambda i: lcg_gaussian(F.col("vec_id") * 64 + i, 7))
+    out = df.select("vec_id", F.size(noisy).cast("long").alias("width"), dropout(noisy, 0.1, 7, draw=lcg_uniform("vec_id", 9)).alias("j"))
+    return out.select("vec_id", "width", *[r(F.get("j", F.lit(k))).alias(f"j{k}") for k in range(4)])
 
 
 @query("x14_pad_tokens", """SELECT doc_id, least(len(string_split(text, ' ')), 32) AS kept, 32 AS width,

@@ -27,11 +27,10 @@ def w1(t):
     return w.select("episode_index", "frame_index", r(at(0, 1), 2).alias("v0"), r(at(1, 1), 2).alias("v1"), r(at(2, 1), 2).alias("v2"), r(at(3, 0), 2).alias("q3"))
 
 
-@query("w1_gather_window_zero", view("frames_wide") + f""" SELECT b.episode_index, b.frame_index,
-    {rs('coalesce(a0.vec[2], 0)', 2)} AS v0, {rs('coalesce(a2.vec[2], 0)', 2)} AS v2
-    FROM frames_wide b
-    LEFT JOIN frames_wide a0 ON a0.episode_index = b.episode_index AND a0.frame_index = b.frame_index - 2
-    LEFT JOIN frames_wide a2 ON a2.episode_index = b.episode_index AND a2.frame_index = b.frame_index + 3""")
+# Frames of an episode are numbered without gaps, so an offset in frames is an offset in rows.
+@query("w1_gather_window_zero", view("frames_wide") + f""" SELECT episode_index, frame_index,
+    {rs('coalesce(lag(vec[2], 2) OVER o, 0)', 2)} AS v0, {rs('coalesce(lead(vec[2], 3) OVER o, 0)', 2)} AS v2
+    FROM frames_wide WINDOW o AS (PARTITION BY episode_index ORDER BY frame_index)""")
 def _(t):
     w = W.gather_window(t["frames_wide"], ["vec"], [-2, 3], pad="zero")
     at = lambda i, k: F.get(F.get("vec_win", F.lit(i)), F.lit(k))

@@ -147,3 +147,46 @@ def test_stats_guard_strict_raises(spark):
 def test_lognormal_edges_are_symmetric_in_log():
     e = np.log(T.lognormal_edges())
     assert len(e) == 11 and np.allclose(e, -e[::-1])
+
+
+def test_centroid_distance_in_the_jvm_and_beyond(spark):
+    """All sizes up to five on either side, against an exhaustive matching; up to three without a Python worker."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for n, m in itertools.product(range(6), range(6)):
+        rows += [(len(rows) + k, [(rng.random(), rng.random()) for _ in range(n)], [(rng.random(), rng.random()) for _ in range(m)]) for k in range(2)]
+
+    def brute(gt, gen):
+        if not gt or not gen:
+            return None if not gt else 0.5
+        dist = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+        small, large = sorted((gt, gen), key=len)
+        least = min(sum(dist(a, b) for a, b in zip(small, p)) for p in itertools.permutations(large, len(small)))
+        return (least + max(0, len(gt) - len(gen)) * 0.5) / len(gt)
+
+    schema = "id int, gt array<struct<x: double, y: double>>, gen array<struct<x: double, y: double>>"
+    for part in (rows, [r for r in rows if max(len(r[1]), len(r[2])) <= 3]):
+        out = E.centroid_distance(spark.createDataFrame(part, schema), "gt", "gen", 0.5)
+        got = {r.id: r.tcd for r in out.collect()}
+        want = {i: brute(a, b) for i, a, b in part}
+        assert got.keys() == want.keys() and all(got[i] == want[i] if want[i] is None else abs(got[i] - want[i]) < 1e-12 for i in want)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_and_patterns(spark):
+    from kinetable.operators.ranking import first_rows
+    from kinetable.operators.sampling import pick_episodes
+    from kinetable.operators.stats import frequent_patterns
+
+    df = spark.range(20000).select("id", ((F.col("id") * 7919) % 101).alias("u"), (F.col("id") % 2).alias("g"))
+    order = sorted(range(20000), key=lambda i: (i * 7919 % 101, i))
+    for n in (0, 1, 150, 10000, 19999, 20000, 30000):
+        assert sorted(r.id for r in first_rows(df, n, ["u", "id"]).collect()) == sorted(order[:n])
+    many = pick_episodes(df, 5000, F.col("u"), ["g"], ["id"]).collect()
+    assert sorted(r.id for r in many) == sorted([i for i in order if i % 2 == 0][:5000] + [i for i in order if i % 2][:5000])
+    points = [([float(c * 10 + d / 10)], c * 100 + d) for c in range(3) for d in range((c + 1) * 10)]
+    got = frequent_patterns(spark.createDataFrame(points, "v array<double>, k int"), "v", F.col("k") % 100, k=3, top=2).collect()
+    assert [r["size"] for r in got] == [30, 20] and abs(got[0].centroid[0] - 21.45) < 1e-9

@@ -26,6 +26,29 @@ def test_lake_round_trip_and_pruning(spark, tmp_path):
     assert len(found) == 1 and found[0][0].endswith("/lake/3")
 
 
+def test_lake_writing_is_taken_up_again(spark, tmp_path, monkeypatch):
+    """A finish that breaks off half way can be repeated; files in the way are found before any is moved."""
+    import pyarrow.fs
+    import pytest
+
+    frames = spark.range(60).select(F.concat(F.lit("a b+c%"), (F.col("id") % 3).cast("string")).alias("dataset_id"), (F.col("id") / 6).cast("long").alias("episode_index"), F.col("id").alias("frame_index"))
+    root = tmp_path / "lake"
+    monkeypatch.setattr(L, "finish_lake", lambda *a: None)
+    L.write_lake(frames, str(root))
+    monkeypatch.undo()
+    manifest = spark.read.parquet(str(root / "_writing" / "manifest")).collect()
+    assert len(manifest) == 33
+    store = pyarrow.fs.LocalFileSystem()
+    for source, target in manifest[:10]:
+        (root / target.split("/lake/")[1]).parent.mkdir(parents=True, exist_ok=True)
+        store.move(source.removeprefix("file:"), target)
+    assert L.finish_lake(spark, str(root)) == 33
+    assert sorted(p.name for p in root.iterdir()) == ["a b+c%0", "a b+c%1", "a b+c%2"]
+    assert len(list(root.glob("*/data/chunk-000/episode_00000*.parquet"))) == 30 and len(list(root.glob("*/meta/episodes.jsonl"))) == 3
+    with pytest.raises(Exception, match="cannot write"):
+        L.write_lake(frames, str(root))
+
+
 def test_read_frames_takes_the_episode_from_the_file_name(spark, tmp_path):
     d = tmp_path / "ds" / "data" / "chunk-000"
     d.mkdir(parents=True)
