@@ -3,7 +3,8 @@
 Markup is stripped so that each block element starts a new line, and a removed region (menus, headers and footers,
 sidebars, adverts, forms, comments) leaves a gap of empty lines; what is never shown, such as scripts, leaves none. The
 length of text outside links in a sliding window of lines surges where the main text begins and dives where it ends: all
-between the first surge and the last dive is the text, with the headings and short paragraphs that adjoin it.
+between the first surge and the last dive is the text, with the headings and short paragraphs that adjoin it. Where a page
+marks its article, the windows run over the article.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ _REGION = (
 #: Other words make it something else: ``has-sidebar`` is a layout, ``entry-header`` a part of the text.
 _ASIDE = re.compile(
     rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sticky|mobile|sub|{_REGION})[_-]+)*(?:{_REGION})"
-    r"(?:[_-]+(?:area|bar|block|box|button|buttons|container|content|form|holder|icons|inner|item|items|left|right|top|bottom|"
+    r"(?:[_-]+(?:area|author|bar|block|body|card|entry|meta|teaser|teasers|thread|box|button|buttons|container|content|form|holder|icons|inner|item|items|left|right|top|bottom|"
     r"link|links|list|main|menu|panel|primary|secondary|section|slot|text|title|unit|widget|wrap|wrapper|posts|articles|stories|"
     rf"{_REGION}))*(?:[_-]*\d[\w-]*)?", re.I)
+#: Regions that never hold a page's own article.
+_FOREIGN = re.compile(r"(?:ad|ads|advert|adverts|advertisement|comment|comments|disqus|promo|related|replies|respond|sponsor|sponsored)(?![a-z])", re.I)
 _BLANKS = re.compile(r"\s+")
 #: Elements whose content is text up to their own end tag.
 _RAW = frozenset("script style textarea title noscript iframe".split())
@@ -56,7 +59,7 @@ class _Line(NamedTuple):
     text: str
     #: Characters outside links.
     plain: int
-    #: 0 outside what the page marks, 1 in ``main``, 2 in ``article``.
+    #: 0 outside what the page marks, -1 in ``main``, else the number of the outermost ``article``.
     marked: int
     #: The block element that the text stands in, its number and that of the element around it.
     tag: str
@@ -70,8 +73,8 @@ _GAP = _Line("", 0, 0, "", -1, -1)
 class _Open(NamedTuple):
     tag: str
     gone: bool
-    #: Removed for its class, id or role.
-    named: bool
+    #: Removed for its class, id or role: 1, or 2 where that says that the page's own article cannot be inside.
+    named: int
     number: int
 
 
@@ -87,8 +90,13 @@ class _Page:
         self.lines: list[_Line] = []
         self.parts: list[str] = []
         self.plain = self.started = 0
+        #: Open elements; where those of a tag, and those that break lines, stand among them.
         self.open: list[_Open] = []
-        self.hidden = self.articles = self.mains = self.links = self.headings = 0
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        #: Numbers of open elements that are removed, that are removed by name, and that are foreign.
+        self.hidden = self.named = self.foreign = 0
+        self.articles = self.numbered = self.mains = self.links = self.headings = 0
         self.unwrap, self.wrapped, self.titled = unwrap, False, False
         at = 0
         while m := _TAG.search(html, at):
@@ -121,35 +129,38 @@ class _Page:
     def _end_line(self) -> None:
         text = _BLANKS.sub(" ", "".join(self.parts)).strip()
         if text:
-            blocks = (x for x in reversed(self.open) if x.tag in _BREAKS)
-            own, around = next(blocks, None), next(blocks, None)
-            marked = 2 if self.articles else 1 if self.mains else 0
+            own = self.open[self.blocks[-1]] if self.blocks else None
+            around = self.open[self.blocks[-2]] if len(self.blocks) > 1 else None
+            marked = self.numbered if self.articles else -1 if self.mains else 0
             self.lines.append(_Line(text, min(self.plain, len(text)), marked, own.tag if own else "", own.number if own else 0, around.number if around else 0))
         self.parts.clear()
         self.plain = 0
 
     def _shown(self) -> None:
         """Open elements that were removed for their names are shown from here on."""
-        self.open = [x._replace(gone=False) if x.named else x for x in self.open]
-        self.hidden = sum(x.gone for x in self.open)
+        self.open = [x._replace(gone=False, named=0) if x.named else x for x in self.open]
+        self.hidden -= self.named
+        self.named = self.foreign = 0
 
     def _start(self, tag: str, attrs: str) -> None:
         inside = self.articles or self.mains
-        if tag in ("article", "main") and self.hidden and not inside and self.hidden == sum(x.gone and x.named for x in self.open):
+        if tag in ("article", "main") and self.hidden and not inside and self.hidden == self.named and not self.foreign:
             self.wrapped = True
             if self.unwrap:
                 self._shown()
         if tag == "h1" and inside and not self.titled:
             # What encloses the heading of the marked article is no region beside it.
-            if self.hidden and self.hidden == sum(x.gone and x.named for x in self.open):
+            if self.hidden and self.hidden == self.named and not self.foreign:
                 self._shown()
             self.titled = not self.hidden
         gone = tag in _REMOVED and not (tag == "header" and inside)
-        named = False
-        if not gone and attrs and tag not in ("html", "body", "main") and (tag != "article" or inside) and not (
-                inside and (self.headings or tag in _HEADINGS or tag == "header")):
-            named = any(_ASIDE.fullmatch(name) for _, a, b, c in _ATTR.findall(attrs) for name in (a or b or c).split())
-            gone = named
+        named = 0
+        if not gone and attrs and tag not in ("html", "body", "main") and not (inside and (self.headings or tag in _HEADINGS or tag == "header")):
+            names = [name for _, a, b, c in _ATTR.findall(attrs) for name in (a or b or c).split() if _ASIDE.fullmatch(name)]
+            foreign = any(map(_FOREIGN.search, names))
+            # An outermost article may be called a widget or a main section; a comment or a teaser is another's.
+            named = 2 if foreign else int(bool(names) and (tag != "article" or bool(inside)))
+            gone = named > 0
         if not self.hidden and (gone and tag not in _UNSEEN or tag in _BREAKS):
             self._end_line()
         if gone and not self.hidden and not inside and tag not in _UNSEEN:
@@ -157,26 +168,36 @@ class _Page:
         if tag in _VOID or attrs.endswith("/") and tag not in _BREAKS:
             return
         self.started += 1
+        if tag == "article" and not self.articles:
+            self.numbered += 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in _BREAKS:
+            self.blocks.append(len(self.open))
         self.open.append(_Open(tag, gone, named, self.started))
-        self.hidden += gone
-        self._count(tag, 1)
+        self._count(self.open[-1], 1)
 
-    def _count(self, tag: str, by: int) -> None:
-        self.articles += by * (tag == "article")
-        self.mains += by * (tag == "main")
-        self.links += by * (tag == "a")
-        self.headings += by * (tag in _HEADINGS)
+    def _count(self, x: _Open, by: int) -> None:
+        self.hidden += by * x.gone
+        self.named += by * (x.named > 0)
+        self.foreign += by * (x.named > 1)
+        self.articles += by * (x.tag == "article")
+        self.mains += by * (x.tag == "main")
+        self.links += by * (x.tag == "a")
+        self.headings += by * (x.tag in _HEADINGS)
 
     def _close(self, tag: str) -> None:
         if tag in _BREAKS and not self.hidden:
             self._end_line()
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag), None)
-        if at is None or tag == "p" and any(x.tag in _BREAKS and x.tag != "p" for x in self.open[at + 1:]):
+        # Known places, not a walk: a page may have any number of stray end tags.
+        at = (self.places.get(tag) or [-1])[-1]
+        if at < 0 or tag == "p" and self.blocks[-1] > at:
             return
-        for x in self.open[at:]:
-            self.hidden -= x.gone
-            self._count(x.tag, -1)
-        del self.open[at:]
+        while len(self.open) > at:
+            x = self.open.pop()
+            self.places[x.tag].pop()
+            if x.tag in _BREAKS:
+                self.blocks.pop()
+            self._count(x, -1)
 
 
 def _text_like(line: _Line) -> bool:
@@ -213,18 +234,42 @@ def _span(lines: list[_Line]) -> tuple[int, int]:
     return first, last
 
 
+def _surges(lines: list[_Line]) -> bool:
+    return any(sum(x.plain for x in lines[i: i + WINDOW]) >= SURGE for i in range(len(lines)))
+
+
+def _of_article(lines: list[_Line]) -> list[_Line]:
+    """What the page marks as its article, or all, where it marks none or only what is small beside the rest.
+
+    Of several articles the largest counts, and such as are half as large: the others are teasers of other pages.
+    """
+    sizes: dict[int, int] = {}
+    for x in lines:
+        sizes[x.marked] = sizes.get(x.marked, 0) + x.plain * (x.marked != 0 or _text_like(x))
+    articles = {k: n for k, n in sizes.items() if k > 0}
+    rest = [x for x in lines if x.marked <= 0]
+    if not articles:
+        return [x for x in lines if x.marked] or lines
+    largest = max(articles.values())
+    if -1 in sizes and sizes[-1] > 2 * largest:
+        return [x for x in lines if x.marked < 0]
+    if sizes.get(0, 0) > 2 * largest and _surges(rest):
+        return rest
+    return [x for x in lines if x.marked > 0 and 2 * articles[x.marked] >= largest]
+
+
 def main_text(html: str | None) -> str:
-    """Lines from the first surge to the last dive, and all of a marked article, joined by line feeds."""
+    """Lines from the first surge to the last dive of the article, or of the page where none is marked, joined by line feeds."""
     if not html:
         return ""
     page = _Page(html)
     lines = page.lines
-    if page.wrapped and not any(x.marked for x in lines):
+    # A last resort: the page's only text is in an article that stands in a region named as if it were none.
+    if page.wrapped and not any(x.marked for x in lines) and not _surges(lines):
         lines = _Page(html, unwrap=True).lines
-    if any(x.marked for x in lines):
-        lines = [x for x in lines if x.marked]
+    lines = _of_article(lines)
     first, last = _span(lines)
-    return "\n".join(x.text for i, x in enumerate(lines) if x.text and (x.marked == 2 or first <= i < last))
+    return "\n".join(x.text for x in lines[first:last] if x.text)
 
 
 def extracted(df: DataFrame, html: str = "html") -> DataFrame:
