@@ -298,8 +298,8 @@ def _found(docs: DataFrame, unnamed: DataFrame | None) -> DataFrame:
     has = sig.where(F.col("digest").isNotNull())
     classes = staged(has.groupBy("digest").agg(F.min("node").alias("rep")), "near-classes")
     reps = staged(
-        has.join(classes.hint("merge"), "digest").where(F.col("node") == F.col("rep")).select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
-        .dropDuplicates(["node", "n"]), "near-reps")
+        has.join(classes.hint("merge"), "digest").where(F.col("node") == F.col("rep")).select("node", "digest", F.col("n_shingles").alias("n"), "bands", "sketch")
+        .dropDuplicates(["node", "digest"]).drop("digest"), "near-reps")
 
     # Round one: each bucket's members against its least node.
     rows = reps.select("node", F.explode("bands").alias("bucket"))
