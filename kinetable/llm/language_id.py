@@ -12,7 +12,6 @@ cost under every language, backed off where needed, and a context holds every la
 from __future__ import annotations
 
 import pickle
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +22,11 @@ from kinetable.llm.common import annotated, bounded_sample, broadcast_model, fol
 ORDER = 4
 #: Training documents of a language, about; texts of more characters are not sampled.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 100_000
+#: More languages than this are refused: their samples come to the driver.
+MAX_LANGUAGES = 500
 #: Positions scored at once.
 CHUNK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,7 +190,12 @@ def fit(samples: dict[str, list[bytes]]) -> Model:
 
 
 def trained(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from about ``rows`` documents of each language, outside fold 0, texts of at most ``SAMPLE_CHARS``."""
+    """A model from about ``rows`` documents of each language, outside fold 0, texts of at most ``SAMPLE_CHARS``.
+
+    A column with more than ``MAX_LANGUAGES`` values is no list of languages, and an error.
+    """
+    if df.select(lang).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"column {lang!r} has more than {MAX_LANGUAGES} values")
     usable = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(
         F.col("t").isNotNull() & F.col("l").isNotNull() & (fold("k") != 0) & (F.length("t") <= SAMPLE_CHARS))
     samples: dict[str, list[bytes]] = {}
@@ -212,7 +217,7 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = pickle.loads(shared.value).ready()
 
         def run(texts: list) -> list[list]:
-            known = [i for i, t in enumerate(texts) if t and model.languages and _LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             if known:
                 bits = model.bits([texts[i].encode() for i in known])
