@@ -6,33 +6,9 @@ that fraction, each run of rows holds the sources in proportion, so equal cuts m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from kinetable.session import staged
-
-#: Rows that one task orders, on average.
-BLOCK_ROWS = 10_000
-
-
-def _digits(h: Column, blocks: int) -> Column:
-    """Block 0 to blocks - 1 of a hexadecimal hash, in the hash's own order."""
-    return F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * blocks / F.lit(float(1 << 32))).cast("long")
-
-
-def _numbered(df: DataFrame, group: list[str], block: str, order: list[str], label: str) -> DataFrame:
-    """``df`` with ``_r``, a row's number from 0 in its group, and ``_all``, the group's rows.
-
-    Rows are dealt out by ``block`` alone, whose blocks are even whatever the groups are, and numbered inside it. The
-    table of blocks is counted with map-side combining; its prefix sums give each block's first number.
-    """
-    blocks = df.groupBy(*group, block).agg(F.count(F.lit(1)).alias("_n"))
-    per = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    upto = per.orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = staged(blocks.select(*group, block, (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(per).alias("_all")), label)
-    inner = Window.partitionBy(block, *group).orderBy(*order)
-    numbered = df.repartition(block).withColumn("_i", F.row_number().over(inner) - 1)
-    return numbered.join(blocks, [*group, block]).withColumn("_r", F.col("_before") + F.col("_i")).drop("_i", "_before")
+from pyspark.sql import DataFrame, functions as F
 
+from kinetable.operators.ranking import in_ranges, ordered_position, position
 
 def interleaved(df: DataFrame, shards: int = 24, source: str = "source", key: str = "doc_id", text: str = "text", seed: int = 20) -> DataFrame:
     """Columns ``key``, ``size`` (UTF-8 bytes and 8), ``text_crc32``, ``law`` ('rows'), ``shard``, ``slot`` and ``grown_shard`` (null).
@@ -40,7 +16,7 @@ def interleaved(df: DataFrame, shards: int = 24, source: str = "source", key: st
     Counts of shards differ by one at most, and of a source in a shard from its share by one row or two. A null source
     is a source of its own; null and empty texts weigh 8. Rows with equal keys get different slots; among rows equal in
     key and text the order is free, as they cannot be told apart. With fewer rows than shards, some shards are empty.
-    Only ids, hashes and sizes are shuffled, never texts. Group size plays no part: a hot source has more blocks.
+    Only ids, hashes and sizes are shuffled, never texts. Group size plays no part: ranges of the order are even.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = df.select(
@@ -48,12 +24,11 @@ def interleaved(df: DataFrame, shards: int = 24, source: str = "source", key: st
         (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"))
     slim = slim.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("k").cast("string"), F.lit("null")), F.col("crc").cast("string"))))
     total = df.count()
-    blocks = max(1, -(-total // BLOCK_ROWS))
-    one = _numbered(slim.withColumn("b", _digits(F.col("h"), blocks)), ["s"], "b", ["h", "k"], "source-blocks")
-    # The fraction (2 r + 1) / (2 n), equal in Spark and SQL as one division of whole numbers.
+    # Sampled ranges of the whole order are even, whatever the sources are: one may hold most rows, or each a single one.
+    one = position(in_ranges(slim, ["s", "h", "k"]), ["s"], ["h", "k"], F.col("_range"), "_r", "_all")
+    # The fraction (2 r + 1) / (2 n), equal in Spark and SQL as one division of whole numbers; the hash parts equal ones.
     two = one.select("k", "s", "size", "crc", "h", ((2 * F.col("_r") + 1) / (2 * F.col("_all"))).alias("f"))
-    two = staged(two.withColumn("b", F.least(F.floor(F.col("f") * blocks), F.lit(blocks - 1))), "fractions")
-    out = _numbered(two, [], "b", ["f", "h", "k", "s"], "mixture-blocks")
+    out = ordered_position(two, ["f", "h", "k", "s"], "_r")
     shard = F.expr(f"_r * {shards} div greatest({total}, 1)")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return out.withColumn("shard", shard).select(
