@@ -6,8 +6,10 @@ Hashes and positions are shuffled to count and find lines; texts move once, to m
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from kinetable.llm.common import BLANK_CHARS, ascii_lower, packed
+from kinetable.operators.skew import heavy_keys, split_join
 from kinetable.session import staged
 
 #: A key in so many documents, or more, is dropped; keys of fewer code points never are.
@@ -36,7 +38,9 @@ def dedup_lines(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min
     """
     row = df.select(packed(df))
     t = F.col("row")[text].cast("string")
-    keyed = row.select(F.xxhash64(t).alias("ra"), F.xxhash64(F.lit("text"), t).alias("rb"), _hashes(t, min_chars).alias("hs"))
+    ids = {"ra": F.xxhash64(t), "rb": F.xxhash64(F.lit("text"), t)}
+    # Lines are split, trimmed and hashed once; what follows reads the hashes.
+    keyed = staged(row.select(*[c.alias(n) for n, c in ids.items()], _hashes(t, min_chars).alias("hs")), "line-hashes")
     # Pre-aggregated before the exchange: a line in a third of all documents is one row of each task.
     frequent = (
         keyed.select(F.explode(F.array_distinct(F.filter("hs", lambda h: h.isNotNull()))).alias("h"))
@@ -47,11 +51,12 @@ def dedup_lines(df: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min
     lines = keyed.select("ra", "rb", F.posexplode("hs").alias("pos", "h")).where(F.col("h").isNotNull())
     hit = lines.select("ra", "rb", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b")).join(frequent, ["a", "b"], "left_semi")
     drops = hit.groupBy("ra", "rb").agg(F.collect_set("pos").alias("drop"))
-    parts = F.split(F.coalesce(t, F.lit("")), "\n", -1)
-    return (
-        row.withColumns({"ra": F.xxhash64(t), "rb": F.xxhash64(F.lit("text"), t)}).join(drops, ["ra", "rb"], "left")
-        .select("row", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"), parts.alias("parts"))
-        .select("row", F.size("parts").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"),
-                F.array_join(F.transform(
-                    F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "drop"), lambda i: F.get("parts", i)), "\n").alias("kept_text"))
-    )
+    # Copies of one text may be a third of all rows: they are dealt out by what else they have, such as their ids.
+    rest = [F.col("row")[f.name] for f in df.schema.fields if f.name != text and not isinstance(f.dataType, MapType)]
+    found = split_join(row.withColumns(ids), staged(drops, "line-drops"), ["ra", "rb"], "left", spread=F.xxhash64(F.lit(0), *rest), heavy=heavy_keys(keyed, ["ra", "rb"]))
+    whole = F.coalesce(t, F.lit(""))
+    parts = F.split(whole, "\n", -1)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drop"), lambda i: F.get(parts, i)), "\n")
+    return found.select(
+        "row", (F.length(whole) - F.length(F.replace(whole, F.lit("\n"))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drop").isNull(), whole).otherwise(kept).alias("kept_text"))

@@ -60,6 +60,16 @@ def test_near_duplicates(messy):
     assert copies == {want[9], None}
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """Both texts of document 1 have as many shingles; each has its own near copy."""
+    rnd = random.Random(8)
+    a, b = ([f"{rnd.randrange(10 ** 6)}" for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(a)), (6, near(b)), (7, "x " + " ".join(b)), (8, "nothing like it at all here")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows) == {1: 1, 5: 1, 6: 1, 7: 1, 8: 8}
+
+
 def test_near_duplicates_dense_group(spark):
     """A group whose members differ in places: chains of links, buckets with several components."""
     rnd = random.Random(3)
@@ -183,6 +193,26 @@ def brute_lines(texts, least):
     return [[x for x in (t or "").split("\n") if not (key(x) and seen[key(x)] >= least)] for t in texts]
 
 
+def test_line_dedup_of_a_text_copied_into_most_rows(spark):
+    """Two texts make up most rows; their copies are dealt out, and every row comes back."""
+    rows = [(i, "Same line\nown words here\n\tsame LINE \n", {"a": i}) for i in range(3000)] + [(i, "Own words here", None) for i in range(3000, 4000)]
+    rows += [(i, f"line {i}\nsame line", None) for i in range(4000, 4200)] + [(None, None, None), (None, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ra map<string, int>")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = line_dedup.dedup_lines(df)
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        got = Counter((r.row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == Counter((i, (t or "").count("\n") + 1, len((t or "").split("\n")) - len(k), "\n".join(k)) for (i, t, _), k in zip(rows, brute_lines([t for _, t, _ in rows], 10)))
+    assert max(sizes) < 3 * sum(sizes) / 32 + 50
+
+
 def test_line_dedup(messy, nothing):
     got = line_dedup.dedup_lines(messy).select("row.doc_id", "row.text", "n_lines", "n_dropped", "kept_text").collect()
     rows = [(r.doc_id, r.text) for r in messy.select("doc_id", "text").collect()]
@@ -276,11 +306,15 @@ def brute_shards(rows, shards, seed=20):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [10_000, 7])
-def test_sharding(messy, nothing, monkeypatch, block):
-    monkeypatch.setattr(sharding, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_sharding(spark, messy, nothing, merged):
+    """In one range, and in as many as there are shuffle partitions."""
     rows = [(r.doc_id, r.text, r.source) for r in messy.select("doc_id", "text", "source").collect()]
-    got = sharding.interleaved(messy, 6).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    try:
+        got = sharding.interleaved(messy, 6).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got) == brute_shards(rows, 6)
     assert max(Counter(r.shard for r in got).values()) - min(Counter(r.shard for r in got).values()) <= 1
     assert sharding.interleaved(nothing).collect() == []
@@ -293,6 +327,29 @@ def test_sharding_keeps_the_mixture(spark):
     assert all(abs(r["count"] - of[r["source"]]) <= 2 for r in per.collect())
 
 
+def test_sharding_of_many_sources_of_one_row(spark, monkeypatch):
+    """All fractions are equal: the hash parts them, and ranges stay even."""
+    from kinetable.operators import ranking
+
+    sizes, real = [], ranking.in_ranges
+
+    def watched(df, order):
+        out = real(df, order)
+        sizes.append([r[0] for r in out.groupBy("_range").count().select("count").collect()])
+        return out
+
+    monkeypatch.setattr(ranking, "in_ranges", watched)
+    monkeypatch.setattr(sharding, "in_ranges", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), "id").alias("source"), F.lit("x").alias("text"))
+        got = sharding.interleaved(df, 24).groupBy("shard").agg(F.count("slot").alias("n"), F.max("slot").alias("last")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 24 and all(r.n in (4166, 4167) and r["last"] == r.n - 1 for r in got)
+    assert len(sizes) == 2 and all(len(s) > 4 and max(s) < 3 * sum(s) / len(s) for s in sizes)
+
+
 def brute_bits(text, samples):
     seen = {}
     for s in samples:
@@ -315,6 +372,16 @@ def brute_bits(text, samples):
     return bits
 
 
+def test_only_letters_make_a_language(spark):
+    model = language_id.fit({"a": [b"some words of a text"], "b": ["andere W\u00f6rter".encode()]})
+    odd = spark.createDataFrame([(t,) for t in ("\u00bd \u00b2 \u2167", "\u2460 12 _", "\u00e4", "\u65e5", "1a")], "text string")
+    assert {r.row.text: r.lang_pred == "und" for r in language_id.predicted(odd, model).collect()} == {
+        "\u00bd \u00b2 \u2167": True, "\u2460 12 _": True, "\u00e4": False, "\u65e5": False, "1a": False}
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"), F.lit("x").alias("text"))
+    with pytest.raises(ValueError):
+        language_id.trained(many)
+
+
 def test_language_code_lengths(monkeypatch):
     samples = {"a": [b"abra cadabra", b"abc"], "b": ["über öl über".encode(), b""], "c": [b"zzz\x00z"]}
     model = language_id.fit(samples).ready()
@@ -333,7 +400,7 @@ def test_language_predictions(spark, messy, nothing):
     out = language_id.predicted(docs, model).select("row.doc_id", "row.lang", "lang_pred").where(fold("row.doc_id") == 0).collect()
     assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out)
     odd = language_id.predicted(messy, model).select("row.text", "lang_pred", "score").collect()
-    assert len(odd) == messy.count() and all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in odd)
+    assert len(odd) == messy.count() and all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in odd)
     assert all(0 <= r.score <= 1 for r in odd)
     none = language_id.predicted(messy, language_id.trained(nothing)).select("lang_pred").distinct().collect()
     assert [r[0] for r in none] == ["und"] and language_id.predicted(nothing, model).collect() == []
