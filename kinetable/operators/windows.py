@@ -195,11 +195,14 @@ def chunk_chain(
     )
 
 
-def index_map(steps: DataFrame, by: Sequence[str] = EPISODE, base: str = "base_index", block: int = 1 << 16) -> DataFrame:
-    """Position of every sample within its episode, ordered by base index (row form)."""
-    from kinetable.operators.ranking import int_block, position
+def index_map(steps: DataFrame, by: Sequence[str] = EPISODE, base: str = "base_index") -> DataFrame:
+    """Position of every sample within its episode, ordered by base index (row form).
 
-    return position(steps, by, [base], int_block(base, block), "episode_pos")
+    Sampled ranges of the whole order are even for dense and sparse base ids alike, and few.
+    """
+    from kinetable.operators.ranking import in_ranges, position
+
+    return position(in_ranges(steps, [*by, base]), by, [base], F.col("_range"), "episode_pos").drop("_range")
 
 
 def drop_arm_swap(windows: DataFrame, link_windows: Sequence[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def _(t):
     CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS episode_pos FROM orders""")
 def _(t):
     o = t["orders"].select((F.col("o_custkey") % 7).alias("dataset_id"), F.col("o_custkey").alias("episode_index"), F.col("o_orderkey").alias("base_index"))
-    return W.index_map(o, block=4096)
+    return W.index_map(o)
 
 
 def _split_oracle(keep):
