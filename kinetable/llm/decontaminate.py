@@ -7,6 +7,7 @@ can end there, a block that ends a pattern selects the bucket of its patterns, a
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -14,12 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from kinetable.llm.common import map_arrow, packed
+from kinetable.llm.common import map_arrow, packed, worker_state
 from kinetable.session import staged
 
 WINDOW = 13
-#: UTF-8 bytes of item texts that are searched for at once; a larger benchmark is taken in so many blocks.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of item texts that are searched for at once; a larger benchmark is taken in so many blocks. The tables of a
+#: block take up to 90 times its bytes, in each Python worker.
+BLOCK_BYTES = 4 << 20
 
 #: A-Z to lower case, and every other ASCII character but 0-9 and a-z to a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -109,10 +111,15 @@ def _searched(rows: DataFrame, at: int, items: list, window: int) -> DataFrame:
     """Columns ``row`` and ``_FIELDS`` with the occurrences of these items added to those already found."""
     schema = StructType([StructField("row", rows.schema["row"].dataType)] + StructType.fromDDL(_FIELDS).fields)
     arrow = to_arrow_schema(schema)
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    shared, token = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        tables = WuManber(shared.value, window)
+        # Made once in each worker; a worker keeps the tables of one block only.
+        held = worker_state("wu-manber", dict)
+        if held.get("token") != token:
+            held.clear()
+            held.update(token=token, tables=WuManber(shared.value, window))
+        tables = held["tables"]
         for batch in batches:
             row = batch.column(0)
             old = batch.select(["spans", "items"]).to_pylist() if batch.num_columns > 1 else [{"spans": [], "items": []}] * batch.num_rows
