@@ -182,3 +182,28 @@ def test_refined_quantiles_with_ties_and_groups(spark, accuracy):
     for g, xs in values.items():
         low = np.sort(xs)[int(0.5 * (len(xs) - 1))]
         assert np.allclose([got[g].a, got[g].b, got[g].c, got[g].d], [np.quantile(xs, 0.01), low, np.quantile(xs, 0.999), xs.max()])
+
+
+def test_merge_of_one_hot_instruction(spark):
+    """Most episodes have one instruction, many have none: ids are those of a loop, and no task holds the hot text."""
+    from kinetable.operators.quality import merge_reindex
+
+    rows = [(i * 3, "pick it up" if i % 3 else None if i % 9 == 0 else f"task {i % 50}", i % 7 + 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, "orig_idx long, instruction string, length long").repartition(9)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = merge_reindex(df)
+        sizes = sorted(r[1] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        got = sorted(tuple(r) for r in out.select("orig_idx", "episode_index", "frame_offset", "task_index").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks, offset, want = {}, 0, []
+    for n, (i, text, length) in enumerate(rows):
+        want.append((i, n, offset, tasks.setdefault(text, len(tasks))))
+        offset += length
+    assert got == want
+    assert sizes[-1] < 3 * sizes[len(sizes) // 2]
