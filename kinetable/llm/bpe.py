@@ -178,7 +178,8 @@ def encoded(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Columns ``row`` (all of ``df``), ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``.
 
     One row for each row of ``df``; null, empty and blank texts have no ids and decode to an empty text. Each row is
-    encoded by itself, so ties and repeated rows come out alike. ``path``: a tokenizer file that every executor has.
+    encoded by itself, so ties and repeated rows come out alike. An empty table gives an empty result, and columns of ``df``
+    stay inside ``row``, where names cannot clash. ``path``: a tokenizer file that every executor has.
     """
 
     def make():

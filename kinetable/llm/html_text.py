@@ -277,6 +277,7 @@ def extracted(df: DataFrame, html: str = "html") -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by line feeds
     in page order. Null, empty and textless pages give an empty text. Whole pages are read, of any length. Rows are judged
-    alone, so repeated pages come out alike.
+    alone, so repeated pages come out alike. An empty table gives an empty result, and columns of ``df`` stay inside ``row``,
+    where names cannot clash.
     """
     return annotated(df, lambda: lambda pages: [[main_text(p) for p in pages]], html, "main_text string")

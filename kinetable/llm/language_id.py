@@ -209,7 +209,8 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     The score is the language's posterior under equal priors, with code lengths as evidence. Texts that are null or
     have no letter are ``und`` with score 0, and so is every text where no language was learned; ties go to the name that
-    sorts first. Whole texts count, in bounded chunks. Rows are judged alone, so repeated rows come out repeated.
+    sorts first. Whole texts count, in bounded chunks. Rows are judged alone, so repeated rows come out repeated. An empty
+    table gives an empty result, and columns of ``df`` stay inside ``row``, where names cannot clash.
     """
     shared = broadcast_model(df.sparkSession, model)
 

@@ -186,7 +186,8 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Columns ``row`` (all of ``df``) and ``score`` in 0 to 1, one row for each row of ``df``.
 
     Null, empty and blank texts have features of 0 and are scored like any other. Whole texts count. Rows are judged
-    alone, so ties and repeated rows come out alike; without labels every score is 0.5.
+    alone, so ties and repeated rows come out alike; without labels every score is 0.5. An empty table gives an empty
+    result, and columns of ``df`` stay inside ``row``, where names cannot clash.
     """
     shared = broadcast_model(df.sparkSession, model)
 

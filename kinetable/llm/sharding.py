@@ -16,7 +16,8 @@ def interleaved(df: DataFrame, shards: int = 24, source: str = "source", key: st
     Counts of shards differ by one at most, and of a source in a shard from its share by one row or two. A null source
     is a source of its own; null and empty texts weigh 8. Rows with equal keys get different slots; among rows equal in
     key and text the order is free, as they cannot be told apart. With fewer rows than shards, some shards are empty.
-    Only ids, hashes and sizes are shuffled, never texts. Group size plays no part: ranges of the order are even.
+    An empty table gives an empty result; other columns of ``df`` are not read, so
+    their names cannot clash. Only ids, hashes and sizes are shuffled, never texts. Group size plays no part: ranges of the order are even.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = df.select(

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from messy_tables import SF_DIR
+from messy_tables import SF_DIR, messy  # noqa: F401
 from kinetable.llm.queries import QUERIES, tokenizer_path
 from test_corpus_operators import brute_components, brute_lines
 
@@ -72,3 +72,23 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
         assert stage(spark, docs.limit(0), SMALL).collect() == []
+
+
+def test_stages_on_messy_rows(spark, messy):
+    """Nulls in every column, blank and long texts, repeated rows and ids, and columns called as the operators' own."""
+    rows = Counter((r.doc_id, r.text) for r in messy.collect())
+    wordless = Counter({k: n for k, n in rows.items() if not (k[1] or "").split()})
+    good, lines, firsts, clean = (stage(spark, messy, SMALL) for _, stage in corpus_pipeline.STAGES[:-1])
+    kept = {}
+    for name, out in (("good", good), ("lines", lines), ("firsts", firsts), ("clean", clean)):
+        assert out.columns == messy.columns and out.schema == messy.schema, name
+        kept[name] = Counter((r.doc_id, r.text) for r in out.collect())
+    assert all(len((t or "").split()) >= 50 and rows[i, t] == n for (i, t), n in kept["good"].items()) and kept["good"]
+    assert sum(kept["lines"].values()) == messy.count() and Counter(i for i, _ in kept["lines"].elements()) == Counter(i for i, _ in rows.elements())
+    assert sum(n for (_, t), n in kept["lines"].items() if t is None) == sum(n for (_, t), n in rows.items() if t is None)
+    for name in ("firsts", "clean"):
+        assert not kept[name] - rows and not wordless - kept[name]
+    assert sum(kept["firsts"].values()) < sum(rows.values())
+    last = corpus_pipeline.STAGES[-1][1](spark, messy, SMALL).collect()
+    assert Counter(r.doc_id for r in last) == Counter(i for i, _ in rows.elements())
+    assert {r.n_tokens for r in last if (r.doc_id, None) in rows and rows[r.doc_id, None]} >= {0}
