@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: quality rules, line dedup, near-dedup, decontamination, encoding."""
+"""A training-data pipeline over ``documents``: quality rules, line dedup, near-dedup, decontamination, encoding.
+
+Every stage takes null, empty, blank and very long texts, null and repeated ids, repeated rows, empty tables and further
+columns of any name, and all but the last return the columns they got. What becomes of each case is said at the stage.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,17 @@ from kinetable.session import staged
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts go; rows are judged alone, so repeated rows stay or
+    go together."""
     return quality_rules.keep_good(docs)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that stand in many documents; ``n_chars`` follows the text."""
+    """Every document, without the lines that stand in many documents; ``n_chars`` follows the text.
+
+    Each row counts as a document, whatever its id. A text that loses no line stays as it is, a null one too; one that
+    loses all becomes empty.
+    """
     out = line_dedup.dedup_lines(docs)
     changed = F.col("n_dropped") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
@@ -25,17 +34,21 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
+    """One document of each group of near-duplicates, the one of the smallest id.
+
+    Texts without words are in no group and stay. Rows of one id are one document and stay or go together; of a group
+    without any id one row stays.
+    """
     return near_dedup.keep_first(docs)
 
 
 def unseen_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold benchmark passages."""
+    """Documents that do not hold benchmark passages. Texts without words stay; rows are judged alone."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digests of each document's token ids and of the text they decode to."""
+    """Number and digests of each document's token ids and of the text they decode to; a null text counts as empty."""
     return bpe_digests(docs)
 
 
