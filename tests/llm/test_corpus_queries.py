@@ -76,6 +76,9 @@ def test_stages_keep_columns(spark):
 
 def test_stages_on_messy_rows(spark, messy):
     """Nulls in every column, blank and long texts, repeated rows and ids, and columns called as the operators' own."""
+    prose = " ".join(f"word{i} the of{i} and{i}" for i in range(80))
+    extra = [(900, prose, "en", "s", 1, "r", 1, "x", 2)] * 2 + [(901, prose + " end.", None, None, None, None, None, None, None)]
+    messy = messy.union(spark.createDataFrame(extra, messy.schema))
     rows = Counter((r.doc_id, r.text) for r in messy.collect())
     wordless = Counter({k: n for k, n in rows.items() if not (k[1] or "").split()})
     good, lines, firsts, clean = (stage(spark, messy, SMALL) for _, stage in corpus_pipeline.STAGES[:-1])
@@ -83,7 +86,7 @@ def test_stages_on_messy_rows(spark, messy):
     for name, out in (("good", good), ("lines", lines), ("firsts", firsts), ("clean", clean)):
         assert out.columns == messy.columns and out.schema == messy.schema, name
         kept[name] = Counter((r.doc_id, r.text) for r in out.collect())
-    assert all(len((t or "").split()) >= 50 and rows[i, t] == n for (i, t), n in kept["good"].items()) and kept["good"]
+    assert all(len((t or "").split()) >= 50 and rows[i, t] == n for (i, t), n in kept["good"].items()) and kept["good"][900, prose] == 2
     assert sum(kept["lines"].values()) == messy.count() and Counter(i for i, _ in kept["lines"].elements()) == Counter(i for i, _ in rows.elements())
     assert sum(n for (_, t), n in kept["lines"].items() if t is None) == sum(n for (_, t), n in rows.items() if t is None)
     for name in ("firsts", "clean"):
