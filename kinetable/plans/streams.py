@@ -14,9 +14,12 @@ from kinetable.streaming import jobs as J
 
 
 def _stream(t, name):
-    """The table as a file stream, a few files per batch."""
+    """The table, one file or a folder of files, as a file stream.
+
+    Named by a pattern: a stream takes a plain path for a folder, and a filter on file names misses those in a folder.
+    """
     schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{{{name}}}.parquet")
 
 
 _WINDOWS = view("telemetry") + f""" SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, worker_rank, count(*) AS count, {rs('avg(seconds)')} AS mean_seconds, {rs('max(seconds)')} AS max_seconds FROM telemetry GROUP BY 1, 2"""
