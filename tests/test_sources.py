@@ -111,3 +111,33 @@ def test_shared_folder_follows_the_session(spark):
 
     assert scratch_path(spark, "x").startswith(shared_folder(spark).rstrip("/"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_listing_a_lake_takes_no_task_for_each_episode(spark, tmp_path):
+    sc, root = spark.sparkContext, str(tmp_path / "lake")
+    rows = [(d, e, f, [float(e), float(f)]) for d in (0, 1) for e in range(60) for f in range(2)]
+    frames = spark.createDataFrame(rows, "dataset_id long, episode_index long, frame_index long, vec array<double>")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    sc.setJobGroup("lake-listing", "lake")
+    try:
+        L.write_lake(frames, root)
+        back = L.read_frames(spark, [f"{root}/0", f"{root}/1"])
+        assert back.count() == len(rows)
+        jobs = sc.statusTracker().getJobIdsForGroup("lake-listing")
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    # Two datasets of 60 episodes: Spark would plan 60 tasks for the folders of each, and 120 for the files.
+    assert 0 < max(s.numTasks for s in stages if s) < 60
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_read_frames_takes_only_files_of_chunk_folders(spark, tmp_path):
+    one = spark.createDataFrame([(1,)], "frame_index long").coalesce(1)
+    for place in ("chunk-000/episode_000001.parquet", "chunk=7/episode_000002.parquet", "deep/er/episode_000003.parquet"):
+        one.write.parquet(str(tmp_path / "ds" / "data" / place))
+    (tmp_path / "ds" / "data" / "chunk-000" / "notes.txt").write_text("no table")
+    back = L.read_frames(spark, str(tmp_path / "ds"))
+    assert back.columns == ["frame_index", "dataset_path", "file_episode"]
+    assert back.count() == 2
