@@ -26,11 +26,7 @@ HISTORY_COLUMNS = (
 )
 
 
-def frame_decay(
-    frames: DataFrame, by: Sequence[str], phases: dict[str, tuple[int, int]] | None = None,
-    metric: str = "l1", order: str = "frame_index", extra: Sequence[str] = (),
-) -> DataFrame:
-    """Mean, std and slope over frames plus phase means, and plain means of ``extra``; one combinable aggregate."""
+def _decay(phases: dict[str, tuple[int, int]] | None, metric: str, order: str, extra: Sequence[str]) -> list[Column]:
     phases = PHASES if phases is None else phases
     cols = [
         F.count(metric).alias("num_frames"), F.avg(metric).alias(f"mean_{metric}"),
@@ -40,15 +36,29 @@ def frame_decay(
     for name, (lo, hi) in phases.items():
         inside = (F.col(order) >= lo) & (F.col(order) < hi)
         cols.append(F.avg(F.when(inside, F.col(metric))).alias(f"{metric}_{name}"))
-    return frames.groupBy(*by).agg(*cols, *[F.avg(m).alias(f"mean_{m}") for m in extra])
+    return [*cols, *[F.avg(m).alias(f"mean_{m}") for m in extra]]
+
+
+def frame_decay(
+    frames: DataFrame, by: Sequence[str], phases: dict[str, tuple[int, int]] | None = None,
+    metric: str = "l1", order: str = "frame_index", extra: Sequence[str] = (),
+) -> DataFrame:
+    """Mean, std and slope over frames plus phase means, and plain means of ``extra``; one combinable aggregate."""
+    return frames.groupBy(*by).agg(*_decay(phases, metric, order, extra))
 
 
 def episode_scores(frames: DataFrame, by: Sequence[str], phases: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """One row per episode: L1 and SSIM decay, and medians with coverage of GATC and TCD."""
-    out = frame_decay(frames, by, phases, extra=["ssim"])
+    """One row per episode: L1 and SSIM decay, and medians with coverage of GATC and TCD; one shuffle serves them all.
+
+    Frames without an episode are left out.
+    """
+    known = functools.reduce(lambda a, b: a & b, [F.col(b).isNotNull() for b in by], F.lit(True))
+    values, aggs = {}, _decay(phases, "l1", "frame_index", ["ssim"])
     for metric in ("gatc", "tcd"):
-        out = out.join(median_coverage(frames, metric, by, phases), list(by))
-    return out
+        more, coverage = _medians(metric, phases, "frame_index")
+        values |= more
+        aggs.append(coverage)
+    return grouped_medians(frames.where(known), by, values, aggs)
 
 
 def checkpoint_scores(episodes: DataFrame, by: Sequence[str] = ("checkpoint",), phases: Sequence[str] = tuple(PHASES)) -> DataFrame:
@@ -77,13 +87,18 @@ def median_coverage(
     order: str = "frame_index",
 ) -> DataFrame:
     """Median over valid frames, percentage of valid frames, and phase medians."""
+    values, coverage = _medians(metric, phases, order)
+    return grouped_medians(frames, by, values, [coverage])
+
+
+def _medians(metric: str, phases: dict[str, tuple[int, int]] | None, order: str) -> tuple[dict[str, Column], Column]:
+    """The columns whose medians are wanted, and the coverage."""
     phases = PHASES if phases is None else phases
     valid = _no_nan(metric)
     values = {f"{metric}_score": valid}
     for name, (lo, hi) in phases.items():
         values[f"{metric}_{name}_median"] = F.when((F.col(order) >= lo) & (F.col(order) < hi), valid)
-    coverage = (F.avg(valid.isNotNull().cast("double")) * 100.0).alias(f"{metric}_coverage")
-    return grouped_medians(frames, by, values, [coverage])
+    return values, (F.avg(valid.isNotNull().cast("double")) * 100.0).alias(f"{metric}_coverage")
 
 
 def ci95(metric: str) -> list[Column]:
