@@ -36,6 +36,8 @@ CODE_CATEGORIES = {
 INLINE_TERMS = 2000
 #: So few heads of terms are searched for one by one; more are looked up among the words of a text.
 FEW_HEADS = 32
+#: So many pairs of neighbouring characters of terms are looked for in word runs; with more, runs are not thinned out by them.
+MOST_PAIRS = 2000
 #: Bits of the filter by which rows of text are thinned out before they meet a longer list (a fixed 128 kB).
 FILTER_BITS = 1 << 20
 
@@ -116,7 +118,8 @@ def _holds(padded: Column, entry: Column, known: Column) -> Column:
     whole = F.when(entry["plain"] & known.isNotNull(), F.array_contains(known, term)).otherwise(pattern)
     token = F.rlike(padded, F.concat(F.lit(r" \p{Punct}*"), quoted, F.lit(r"\p{Punct}* ")))
     run = F.contains(padded, F.concat(F.lit(" "), term, F.lit(" ")))
-    return F.contains(padded, term) & F.when(entry["kind"] == "exact", whole).when(entry["kind"] == "censor", token).otherwise(run)
+    rare = F.contains(padded, term) & F.when(entry["kind"] == "exact", whole).otherwise(token)
+    return F.when(entry["kind"].isin("exact", "censor"), rare).otherwise(run)
 
 
 # A text is known by its own 128-bit hash: what a text holds does not depend on the row, so rows with null or
@@ -177,7 +180,7 @@ def found_terms(df: DataFrame, lists: dict[str, Terms], text: str, fold: bool, o
     met = staged(rows.select(*_TEXT_ID, F.explode(heads).alias("head")).distinct(), "term-heads")
     entry = F.struct("kind", "term_order", "term", "plain")
     candidates = split_join(met, listed, ["head"]).groupBy(*_TEXT_ID).agg(F.collect_set(entry).alias("_met"))
-    words = F.when(F.size("_met") > 0, _words(low))
+    words = F.when(F.size("_met") > 0, _words(low)) if "exact" in lists else F.lit(None).cast("array<string>")
     return with_once(_with_hits(rows, candidates), out, let(words, lambda w: held(F.col("_met"), w))).drop("_met")
 
 
@@ -276,20 +279,45 @@ def _budget_of(table: dict[tuple[int, int], int], n: int, length: Column) -> Col
 def word_ngrams(norm: Column, budgets: dict[tuple[int, int], int]) -> Column:
     """Distinct runs of words that have a budget, as ``(gram, n_words, depth)``.
 
-    A run's length follows from those of its words, so runs of other lengths are never put together.
+    One pattern for each number of words finds the runs, overlapping ones too, whose words are not too long.
     """
 
-    def runs(words: Column, sizes: Column, n: int) -> Column:
-        last = F.size(words) - n
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        length = lambda i: functools.reduce(lambda a, b: a + b, [F.get(sizes, i + k) for k in range(n)]) + (n - 1)
-        possible = F.filter(starts, lambda i: _budget_of(budgets, n, length(i)).isNotNull())
-        return F.transform(possible, lambda i: F.struct(
-            F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]).alias("gram"), F.lit(n).alias("n_words"), _budget_of(budgets, n, length(i)).alias("depth")))
+    def runs(text: Column, n: int) -> Column:
+        sizes = [m for k, m in budgets if k == n]
+        word = f"[^ ]{{{min(sizes) if n == 1 else 1},{max(sizes)}}}"
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?:^|(?<= ))(?=({word}(?: {word}){{{n - 1}}})(?![^ ]))"), F.lit(1)))
+        depth = lambda g: _budget_of(budgets, n, F.length(g))
+        possible = F.filter(F.filter(found, lambda g: F.length(g).between(min(sizes), max(sizes))), lambda g: depth(g).isNotNull())
+        return F.transform(possible, lambda g: F.struct(g.alias("gram"), F.lit(n).alias("n_words"), depth(g).alias("depth")))
 
     counts = sorted({k for k, _ in budgets})
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
-    return let(words, lambda ws: let(F.transform(ws, lambda w: F.length(w)), lambda sizes: F.array_distinct(F.concat(*[runs(ws, sizes, n) for n in counts]))))
+    return let(norm, lambda text: F.concat(*[runs(text, n) for n in counts]))
+
+
+def _enough_pairs(listed: DataFrame) -> Column:
+    """Whether a gram has enough neighbouring characters that may be neighbours in a term of as many words.
+
+    What is left of a gram and a term that pass is the same string. Neighbours in it lie in the term no farther apart than
+    the characters it loses allow, and each character that the gram loses parts two of its pairs at most.
+    """
+    at = listed.select("n_words", "term", "depth", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("i"))
+    at = at.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("i") + F.col("depth") + 1)))
+    at = at.select("n_words", F.substring("term", F.col("i"), F.lit(1)).alias("a"), F.substring("term", F.col("j"), F.lit(1)).alias("b"))
+    pairs = at.where("b <> ''").distinct().limit(MOST_PAIRS + 1).collect()
+    if len(pairs) > MOST_PAIRS:
+        return F.lit(True)
+    after: dict[int, dict[str, list[str]]] = {}
+    for n, a, b in pairs:
+        after.setdefault(n, {}).setdefault(a, []).append(b)
+    quoted = lambda c: c if c.isalnum() else "\\" + c
+    known = None
+    for n, chars in after.items():
+        pattern = "|".join(f"{quoted(a)}(?=[{''.join(map(quoted, sorted(bs)))}])" for a, bs in sorted(chars.items()))
+        count = F.size(F.regexp_extract_all("gram", F.lit(pattern), F.lit(0)))
+        known = F.when(F.col("n_words") == n, count) if known is None else known.when(F.col("n_words") == n, count)
+    if known is None:
+        return F.lit(True)
+    return F.coalesce(known, F.lit(0)) >= F.length("gram") - 1 - 2 * F.col("depth")
 
 
 def _similar_hits(rows: DataFrame, terms: DataFrame, cand: dict, term: dict, text: str, slack: float, fold: bool) -> DataFrame:
@@ -303,7 +331,7 @@ def _similar_hits(rows: DataFrame, terms: DataFrame, cand: dict, term: dict, tex
     n_words = F.size(F.split("term", " "))
     depth = functools.reduce(lambda a, n: F.coalesce(a, F.when(n_words == n, _budget_of(term, n, F.length("term")))), sorted({k for k, _ in term}), F.lit(None).cast("int"))
     listed = terms.select("term", "term_order", n_words.alias("n_words"), depth.alias("depth"), ((F.length("term") - slack) / F.length("term")).alias("floor"))
-    left = grams.select("gram", "n_words", "depth").distinct().withColumn("_sig", F.explode(_up_to(F.col("gram"), F.col("depth"), max(cand.values())))).drop("depth")
+    left = grams.select("gram", "n_words", "depth").distinct().where(_enough_pairs(listed)).withColumn("_sig", F.explode(_up_to(F.col("gram"), F.col("depth"), max(cand.values())))).drop("depth")
     right = listed.withColumn("_sig", F.explode(_up_to(F.col("term"), F.col("depth"), max(term.values())))).drop("depth")
     pairs = left.join(right, ["n_words", "_sig"], "inner").select("gram", "term", "term_order", "floor").distinct()
     # Usually few: staged, so that Spark knows their size when it plans the join back.
