@@ -21,9 +21,10 @@ OUTLIER_PCT = 0.5
 DRIFT_TOL = 0.05
 
 QUANTILE_ACCURACY = 10000
-#: Distinct values that are put in order for one quantile of one group, at most, and the cuts of a refining pass.
+#: Rows whose values are put in order for one quantile of one group, at most.
 RANGE_VALUES = 1 << 16
-RANGE_CUTS = 1000
+#: Cells of the first pass in a doubling of the value.
+MAGNITUDE_STEPS = 32
 
 
 def explode_dims(df: DataFrame, vector: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -31,6 +32,12 @@ def explode_dims(df: DataFrame, vector: str, keep: Sequence[str] = ()) -> DataFr
     return df.select(*keep, F.posexplode(vector).alias("dim", "value"))
 
 
+def _magnitude(v: Column) -> Column:
+    """Sign and binary logarithm in steps: never falls as ``v`` rises, and has no more than some hundred thousand values."""
+    steps = F.rint(F.log2(F.abs(v)) * MAGNITUDE_STEPS) + 131072.0
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * steps)
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -40,124 +47,138 @@ def exact_quantiles(
     accuracy: int = QUANTILE_ACCURACY,
     lower: Sequence[str] = (),
     most: int = RANGE_VALUES,
+    moments: bool = False,
 ) -> DataFrame:
     """Linear-interpolated (or, for names in ``lower``, lower-neighbour) quantiles per group, exact, without holding a group.
 
-    Pass one computes ``aggs`` and a mergeable sketch that brackets the wanted ranks
-    to a sliver of each group; its result (one row per group) is staged. Where a group is
-    so large that the sliver may hold more than ``most`` distinct values, refining passes
-    narrow it. The last pass counts the values below a bracket and tallies only those
-    inside it, both with map-side combine, and reads off the two neighbouring order
-    statistics. A bracket that misses its rank raises instead of guessing.
+    Pass one counts each group's values by magnitude, with map-side combine; the counts name the cell that holds a rank
+    and how many rows lie below it. Where a cell holds more than ``most`` rows, refining passes cut it in ``accuracy``
+    even ranges and keep the one with the rank. The last pass tallies only the values inside the cells and reads off the
+    two neighbouring order statistics. Cells out of order raise instead of guessing. ``aggs`` are taken in a scan of
+    their own; ``moments`` adds n, mean, std, min and max from the counts' scan.
     """
     names = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     keys = [F.col(b) for b in by] or [F.lit(0)]
-    # A struct key treats null group values as equal in the join below.
-    keyed = df.withColumn("_key", F.struct(*[k.alias(n) for k, n in zip(keys, names)]))
-    margin = 5.0 / accuracy
-    edges = []
-    for p in probs.values():
-        edges += [max(0.0, p - margin), min(1.0, p + margin)]
+    flat = df.withColumns(dict(zip(names, keys)))
+    # A struct key treats null group values as equal in the joins below.
+    key = F.struct(*names).alias("_key")
+    keyed = flat.withColumn("_key", key)
     v = F.col(value).cast("double")
-    sketch = keyed.groupBy("_key").agg(
-        *aggs,
-        F.count(v).alias("_n"),
-        F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), accuracy).alias("_edges"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
-    )
-    sketch = staged(sketch, "quantile-sketch")
-    v_now = F.col("_v")
-    columns, keeps, targets = [], [], []
-    for i, (name, p) in enumerate(probs.items()):
-        at = F.lit(p) * (F.col("_n") - 1)
-        at = F.floor(at).cast("double") if name in lower else at
-        # Small groups are tallied whole; the outermost brackets reach the extremes.
-        small = F.col("_n") <= 2 * accuracy
-        lo = F.col("_min") if edges[2 * i] == 0.0 else F.when(small, F.col("_min")).otherwise(F.col("_edges")[2 * i])
-        hi = F.col("_max") if edges[2 * i + 1] == 1.0 else F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1])
-        columns += [at.alias(f"_at{i}"), lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-        # Upper quantiles are counted from the top, so only a tail leaves the scan.
-        top = p > 0.5
-        keep = v_now >= F.col(f"_lo{i}") if top else v_now <= F.col(f"_hi{i}")
-        inside = (v_now >= F.col(f"_lo{i}")) & (v_now <= F.col(f"_hi{i}"))
-        keeps.append(keep)
-        targets.append(F.struct(
-            F.lit(name).alias("q"), F.col(f"_at{i}").alias("at"), F.lit(top).alias("top"),
-            keep.alias("keep"), F.when(inside, v_now).alias("x"),
-        ))
-    wanted = sketch.where("_n > 0").select("_key", "_n", *columns)
-    # A sketch is off by 1 / accuracy of the rows at either edge; small groups have few values anyway.
-    widest = F.col("_n") * (2 * margin + 4.0 / accuracy)
-    wanted = _refined(keyed, v, wanted, len(probs), F.when(F.col("_n") > 2 * accuracy, widest).otherwise(F.lit(0.0)), accuracy, most)
-    met = keyed.where(v.isNotNull()).select("_key", v.alias("_v")).join(wanted, "_key", "inner")
-    any_keep = keeps[0]
-    for k in keeps[1:]:
-        any_keep = any_keep | k
-    tallied = (
-        met.where(any_keep)
-        .select("_key", "_n", F.inline(F.array(*targets)))
-        .where("keep")
-        .groupBy("_key", "_n", "q", "at", "top", "x")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    counts = [F.count(v).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi")]
+    if moments:
+        counts += [F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2")]
+    cells = flat.groupBy(*names, _magnitude(v).alias("cell")).agg(*counts)
+    cells = staged(cells.select(key, *[c for c in cells.columns if c not in names]), "quantile-cells")
+    out = _merged_moments(cells, df.schema[value].dataType) if moments else cells.select("_key").distinct()
+    if aggs:
+        sums = flat.groupBy(*names).agg(*aggs)
+        out = out.join(staged(sums.select(key, *[c for c in sums.columns if c not in names]), "quantile-sums"), "_key")
+    n = F.sum("c").over(Window.partitionBy("_key"))
+    at = {q: F.lit(p) * (F.col("_n") - 1) for q, p in probs.items()}
+    ranks = [F.struct(F.lit(i).alias("i"), (F.floor(a).cast("double") if q in lower else a).alias("at")) for i, (q, a) in enumerate(at.items())]
+    first = cells.where("c > 0").select("_key", "cell", "c", "lo", "hi", F.lit(0).cast("long").alias("below"), n.alias("_n"))
+    wanted = staged(_wide(_narrowed(first.select("*", F.inline(F.array(*ranks)))), len(probs)), "quantile-ranges")
+    wanted = _refined(keyed, v, wanted, len(probs), accuracy, most)
+    if not wanted.where(_any_open(len(probs), 0)).isEmpty():
+        wanted = _replaced(wanted, _narrowed(_cells(keyed, v, wanted, len(probs), 0, lambda x, lo, hi: x)), len(probs))
+    picked = []
+    for i, q in enumerate(probs):
+        a, b, rank = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_at{i}")
+        missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
+        picked.append(F.when(_open(i, 0), missed).otherwise(a + (b - a) * (rank - F.floor(rank))).alias(q))
+    out = out.join(wanted.select("_key", *picked), "_key", "left")
+    return out.select(*[F.col(f"_key.{n}").alias(b) for n, b in zip(names, by)], *[c for c in out.columns if c != "_key"])
+
+
+def _merged_moments(cells: DataFrame, kind) -> DataFrame:
+    """n, mean, std, min and max per group; the scatter between cells is taken about the merged mean."""
+    n = F.sum("c")
+    mean = F.sum(F.col("mean") * F.col("c")).over(Window.partitionBy("_key")) / F.nullif(F.sum("c").over(Window.partitionBy("_key")), F.lit(0))
+    shift = F.col("mean") - F.col("_m")
+    std = F.sqrt(F.sum(F.col("m2") + F.col("c") * shift * shift) / F.nullif(n, F.lit(0)))
+    flat = (F.min("lo") == F.max("hi")) & (F.abs(F.min("lo")) < float("inf"))
+    return cells.withColumn("_m", mean).groupBy("_key").agg(
+        n.alias("n"), F.max("_m").alias("mean"), F.when(flat, 0.0).otherwise(std).alias("std"),
+        F.min("lo").cast(kind).alias("min"), F.max("hi").cast(kind).alias("max"),
     )
-    # Nulls stand for the counted tail: before the bracket, or after it when counting from the top.
-    end = F.when(F.col("x").isNull(), F.when(F.col("top"), 1).otherwise(-1)).otherwise(0)
-    w = Window.partitionBy("_key", "q")
-    upto = F.sum("_c").over(w.orderBy(end, "x")) + F.when(F.col("top"), F.col("_n") - F.sum("_c").over(w)).otherwise(0)
-    ranked = tallied.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-
-    def pick(rank: Column) -> Column:
-        hit = (F.col("_from") <= rank) & (rank < F.col("_upto")) & F.col("x").isNotNull()
-        return F.min(F.when(hit, F.col("x")))
-
-    picked = ranked.groupBy("_key", "q", "at").agg(pick(F.floor("at")).alias("_a"), pick(F.ceil("at")).alias("_b"))
-    frac = F.col("at") - F.floor("at")
-    exact = F.when(
-        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("quantile bracket missed")).cast("double")
-    ).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
-    quant = picked.withColumn("_x", exact).groupBy("_key").agg(
-        *[F.max(F.when(F.col("q") == n, F.col("_x"))).alias(n) for n in probs]
+
+
+def _narrowed(cells: DataFrame) -> DataFrame:
+    """The cell of each wanted rank ``at``: ``below`` rows before it, ``m`` rows inside from ``lo`` to ``hi``.
+
+    Where the two neighbours of a rank lie in two cells, they are the end of one and the start of the other: ``m`` is zero.
+    """
+    w = Window.partitionBy("_key", "i").orderBy("cell")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = cells.select("*", (F.col("below") + F.sum("c").over(w)).alias("_upto"), before.alias("_before"))
+    missed = F.raise_error(F.lit("quantile bracket missed"))
+    lo = F.when(F.col("_before") >= F.col("lo"), missed.cast("double")).otherwise(F.col("lo"))
+    cell = F.struct((F.col("_upto") - F.col("c")).alias("below"), lo.alias("lo"), "hi", F.col("c").alias("m"))
+
+    def holds(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("c") <= rank) & (rank < F.col("_upto")), cell))
+
+    found = ranked.groupBy("_key", "i", "at").agg(holds(F.floor("at")).alias("a"), holds(F.ceil("at")).alias("b"))
+    apart = F.when(F.col("a").isNull() | F.col("b").isNull(), missed.cast("boolean")).otherwise(F.col("a.below") != F.col("b.below"))
+    return found.withColumn("_apart", apart).select(
+        "_key", "i", "at", F.col("a.below").alias("below"),
+        F.when(F.col("_apart"), F.col("a.hi")).otherwise(F.col("a.lo")).alias("lo"),
+        F.when(F.col("_apart"), F.col("b.lo")).otherwise(F.col("a.hi")).alias("hi"),
+        F.when(F.col("_apart"), F.lit(0).cast("long")).otherwise(F.col("a.m")).alias("m"),
     )
-    out = sketch.drop("_n", "_edges", "_min", "_max").join(quant, "_key", "left")
-    return out.select(*[F.col(f"_key.{n}").alias(b) for n, b in zip(names, by)], *[c for c in out.columns if c != "_key"])
 
 
-def _refined(keyed: DataFrame, v: Column, wanted: DataFrame, n_probs: int, widest: Column, accuracy: int, most: int) -> DataFrame:
-    """``wanted`` with brackets that hold no more than ``most`` distinct values, give or take the sketch's error.
+_BRACKET = ("at", "below", "lo", "hi", "m")
+
 
-    A pass counts the rows below a wide bracket and cuts those inside it in ``RANGE_CUTS`` ranges of about equal count,
-    by a mergeable sketch; the ranges that hold the rank become the bracket. Each pass leaves about two in a thousand.
+def _wide(brackets: DataFrame, n_probs: int) -> DataFrame:
+    """One row per group with the brackets of all ranks side by side."""
+    pick = [F.max(F.when(F.col("i") == i, F.col(c))).alias(f"_{c}{i}") for i in range(n_probs) for c in _BRACKET]
+    return brackets.groupBy("_key").agg(*pick)
+
+
+def _replaced(wanted: DataFrame, brackets: DataFrame, n_probs: int) -> DataFrame:
+    """``wanted`` with the new brackets where there are some."""
+    names = [c for c in wanted.columns if c != "_key"]
+    new = _wide(brackets, n_probs).select("_key", *[F.col(c).alias(f"_new{c}") for c in names])
+    return wanted.join(new, "_key", "left").select("_key", *[F.coalesce(f"_new{c}", c).alias(c) for c in names])
+
+
+def _open(i: int, most: int) -> Column:
+    """Whether the bracket of rank ``i`` holds more than ``most`` rows of more than one value."""
+    return (F.col(f"_m{i}") > most) & (F.col(f"_lo{i}") < F.col(f"_hi{i}"))
+
+
+def _any_open(n_probs: int, most: int) -> Column:
+    any_open = F.lit(False)
+    for i in range(n_probs):
+        any_open = any_open | _open(i, most)
+    return any_open
+
+
+def _cells(keyed: DataFrame, v: Column, wanted: DataFrame, n_probs: int, most: int, cell) -> DataFrame:
+    """Counts, by ``cell(value, lo, hi)``, of the rows inside the brackets that hold more than ``most`` rows; only those leave the scan."""
+    x = F.col("_v")
+    any_inside, targets = F.lit(False), []
+    for i in range(n_probs):
+        inside = _open(i, most) & (x >= F.col(f"_lo{i}")) & (x <= F.col(f"_hi{i}"))
+        any_inside = any_inside | inside
+        targets.append(F.struct(F.lit(i).alias("i"), inside.alias("_in"), *[F.col(f"_{c}{i}").alias(c) for c in ("at", "below", "lo", "hi")]))
+    met = keyed.where(v.isNotNull()).select("_key", v.alias("_v")).join(wanted.where(_any_open(n_probs, most)), "_key").where(any_inside)
+    each = met.select("_key", "_v", F.inline(F.array(*targets))).where("_in")
+    return each.groupBy("_key", "i", "at", "below", cell(x, F.col("lo"), F.col("hi")).alias("cell")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+
+
+def _refined(keyed: DataFrame, v: Column, wanted: DataFrame, n_probs: int, accuracy: int, most: int) -> DataFrame:
+    """``wanted`` with brackets that hold no more than ``most`` rows, or one value only.
+
+    A pass cuts the wide brackets in ``accuracy`` even ranges. The ends of a bracket fall in different ranges, so each pass narrows it.
     """
-    wide = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_at{i}").alias("at"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi")) for i in range(n_probs)])
-    open_ = wanted.where(widest > most).select("_key", F.inline(wide), widest.alias("width")).where("lo < hi")
-    if open_.isEmpty():
-        return wanted
-    open_ = staged(open_, "quantile-ranges")
-    rows = keyed.where(v.isNotNull()).select("_key", v.alias("_v"))
-    cuts = F.array(*[F.lit(k / RANGE_CUTS) for k in range(RANGE_CUTS + 1)])
-    closed = None
-    while True:
-        inside = F.when(F.col("_v").between(F.col("lo"), F.col("hi")), F.col("_v"))
-        counted = rows.join(open_, "_key").where("_v <= hi").groupBy("_key", "i", "at", "lo", "hi").agg(
-            F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count(inside).alias("m"), F.percentile_approx(inside, cuts, accuracy).alias("cuts"))
-        slack = 2.0 / accuracy
-        first = F.floor(((F.floor("at") - F.col("below")) / F.col("m") - slack) * RANGE_CUTS).cast("int")
-        last = F.ceil(((F.ceil("at") + 1 - F.col("below")) / F.col("m") + slack) * RANGE_CUTS).cast("int")
-        lo = F.when(first <= 0, F.col("lo")).otherwise(F.get("cuts", first))
-        hi = F.when(last >= RANGE_CUTS, F.col("hi")).otherwise(F.get("cuts", last))
-        width = F.col("m") * ((last - first) / F.lit(float(RANGE_CUTS)) + 2 * slack)
-        narrowed = staged(counted.select("_key", "i", "at", lo.alias("lo"), hi.alias("hi"), width.alias("width")), "quantile-ranges")
-        fits = (F.col("width") <= most) | (F.col("lo") >= F.col("hi"))
-        done = narrowed.where(fits)
-        closed = done if closed is None else closed.union(done)
-        open_ = narrowed.where(~fits)
-        if open_.isEmpty():
-            break
-    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    found = closed.groupBy("_key").agg(*[pick(c, i).alias(f"_new_{c}{i}") for i in range(n_probs) for c in ("lo", "hi")])
-    new = {f"_{c}{i}": F.coalesce(f"_new_{c}{i}", f"_{c}{i}") for i in range(n_probs) for c in ("lo", "hi")}
-    return wanted.join(staged(found, "quantile-ranges"), "_key", "left").withColumns(new).select(*wanted.columns)
+    while not wanted.where(_any_open(n_probs, most)).isEmpty():
+        even = _cells(keyed, v, wanted, n_probs, most, lambda x, lo, hi: F.floor((x - lo) / (hi - lo) * accuracy))
+        wanted = staged(_replaced(wanted, _narrowed(even), n_probs), "quantile-ranges")
+    return wanted
 
 
 def grouped_medians(
@@ -211,6 +232,9 @@ def value_stats(
 ) -> DataFrame:
     """count/mean/std/min/max and quantiles of a long table, and ``more`` aggregates."""
     probs = Q01_Q99 if probs is None else probs
+    kind = long.schema[value].dataType.typeName()
+    if probs and not approx and kind in ("double", "float"):
+        return exact_quantiles(long, by, value, probs, more, moments=True)
     aggs = [
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
@@ -219,9 +243,11 @@ def value_stats(
         F.max(value).alias("max"),
         *more,
     ]
-    if approx or not probs:
-        return long.groupBy(*by).agg(*aggs, *approx_quantiles(value, probs))
-    return exact_quantiles(long, by, value, probs, aggs)
+    if not probs:
+        return long.groupBy(*by).agg(*aggs)
+    if not approx:
+        return exact_quantiles(long, by, value, probs, aggs)
+    return long.groupBy(*by).agg(*aggs, *approx_quantiles(value, probs))
 
 
 def vector_stats(

@@ -63,11 +63,10 @@ def _frames_wide(t) -> DataFrame:
     """Customer histories as episodes of 4-value frames, numbered without a per-customer sort."""
     o = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("episode_index"))
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    rows = t["lineitem"].select(
-        *order, F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("vec"),
-    ).join(o, "l_orderkey")
+    rows = t["lineitem"].select(*order, "l_discount", "l_tax").join(o, "l_orderkey")
     numbered = position(rows, ["episode_index"], order, int_block("l_orderkey", 4096), "frame_index")
-    return numbered.select((F.col("episode_index") % 8).alias("dataset_id"), "episode_index", "frame_index", "vec")
+    vec = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("vec")
+    return numbered.select((F.col("episode_index") % 8).alias("dataset_id"), "episode_index", "frame_index", vec)
 
 
 def _episodes(t) -> DataFrame:
