@@ -219,8 +219,9 @@ def _small_medians(df: DataFrame, by: Sequence[str], values: dict[str, Column],
     return grouped.select(*[c for c in grouped.columns if c != "_rows"], *[median(n).alias(n) for n in values])
 
 
-def approx_quantiles(value: str, probs: dict[str, float], accuracy: int = QUANTILE_ACCURACY) -> list[Column]:
-    return [F.percentile_approx(value, p, accuracy).alias(n) for n, p in probs.items()]
+def approx_quantiles(value: str, probs: dict[str, float], accuracy: int = QUANTILE_ACCURACY) -> Column:
+    """All quantiles of one sketch, as an array."""
+    return F.percentile_approx(value, list(probs.values()), accuracy)
 
 
 Q01_Q99 = {"q01": 0.01, "q99": 0.99}
@@ -247,7 +248,8 @@ def value_stats(
         return long.groupBy(*by).agg(*aggs)
     if not approx:
         return exact_quantiles(long, by, value, probs, aggs)
-    return long.groupBy(*by).agg(*aggs, *approx_quantiles(value, probs))
+    rows = long.groupBy(*by).agg(*aggs, approx_quantiles(value, probs).alias("_q"))
+    return rows.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(probs)}).drop("_q")
 
 
 def vector_stats(
