@@ -133,6 +133,63 @@ def test_listing_a_lake_takes_no_task_for_each_episode(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
 
 
+def test_lake_files_take_no_folder_each_and_frames_are_made_once(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    frames = spark.range(400).selectExpr("id % 2 AS dataset_id", "id div 4 AS episode_index", "id AS frame_index")
+    monkeypatch.setattr(L, "finish_lake", lambda *a: None)
+    L.write_lake(frames.mapInPandas(seen, frames.schema), str(tmp_path / "lake"))
+    # 200 files of 100 episodes in two datasets, each written once from rows made once.
+    assert made.value == 400
+    assert len(list((tmp_path / "lake" / "_writing" / "data").glob("**/*.parquet"))) == 200
+    assert sum(p.is_dir() for p in (tmp_path / "lake").rglob("*")) < 60
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        listed = L.list_files(spark, str(tmp_path / "lake" / "_writing" / "data"), "*.parquet")
+        assert listed.rdd.getNumPartitions() <= 2 and listed.count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lake_files_keep_types_values_and_lengths(spark, tmp_path):
+    """Episodes longer than a batch, odd names, nulls and types of Spark's own come back as they went."""
+    import pytest
+
+    frames = spark.range(90).select(
+        F.when(F.col("id") < 30, F.lit("")).when(F.col("id") >= 60, F.lit("b/c d")).alias("dataset_id"),
+        F.when(F.col("id") % 30 < 25, 1_234_567).otherwise(-3).alias("episode_index"), (F.col("id") % 7).alias("frame_index"),
+        F.expr("CASE WHEN id % 3 > 0 THEN array(id, NULL) END").alias("vec"), F.expr("map('k', named_struct('a', id))").alias("m"),
+        F.expr("timestamp_micros(id - 9999999999999999)").alias("ts"), F.expr("timestamp_ntz '2020-01-02 03:04:05'").alias("ntz"),
+        F.expr("date '1500-01-01' + CAST(id AS INT)").alias("day"), F.expr("CAST(id AS DECIMAL(25, 3))").alias("dec"),
+        F.expr("make_dt_interval(0, 0, 0, id)").alias("span"), F.expr("encode(CAST(id AS STRING), 'utf-8')").alias("raw"), F.lit(2).cast("byte").alias("b"),
+    )
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, root = spark.conf.get(size), str(tmp_path / "lake")
+    try:
+        spark.conf.set(size, "7")
+        L.write_lake(frames, root)
+    finally:
+        spark.conf.set(size, before)
+    null = f"{root}/__HIVE_DEFAULT_PARTITION__"
+    names = sorted(str(p.relative_to(root)) for p in (tmp_path / "lake").rglob("*.parquet"))
+    assert names == [f"{d}/data/{e}.parquet" for d in ("__HIVE_DEFAULT_PARTITION__", "b/c d") for e in ("chunk--01/episode_-00003", "chunk-1234/episode_1234567")]
+    back = L.read_frames(spark, [null, f"{root}/b/c d"]).drop("dataset_path", "file_episode")
+    assert back.schema.simpleString() == frames.schema.simpleString()
+    assert sorted(map(str, back.collect())) == sorted(map(str, frames.collect()))
+    lengths = spark.read.schema(L.EPISODE_SCHEMA).json(f"{null}/meta/episodes.jsonl").select("episode_index", "length").collect()
+    assert [tuple(x) for x in lengths] == [(-3, 10), (1_234_567, 50)]
+    L.write_lake(frames.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").rglob("*.parquet"))
+    with pytest.raises(Exception, match="no episode number"):
+        L.write_lake(frames.withColumn("episode_index", F.lit(None).cast("long")), str(tmp_path / "unnumbered"))
+
+
 def test_read_frames_takes_only_files_of_chunk_folders(spark, tmp_path):
     one = spark.createDataFrame([(1,)], "frame_index long").coalesce(1)
     for place in ("chunk-000/episode_000001.parquet", "chunk=7/episode_000002.parquet", "deep/er/episode_000003.parquet"):
